@@ -1,0 +1,19 @@
+"""Cutting of lineage with files that survive the loss of executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as read back from a reliable checkpoint, so that it's computed once.
+
+    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset and no folder was
+    set on the context (tests on one machine), a temporary one is made.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
