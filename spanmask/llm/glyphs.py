@@ -7,9 +7,9 @@ and orders and recomposes combining marks by their canonical class.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,8 @@ HYPHENS = "‐‑﹣－"
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 #: Ranges of <compat> characters that keep their look: digraphs, radicals, ligatures.
 COMPAT = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0x2E80, 0x2FD5), (0xFB00, 0xFB17))
+#: Code points that can have another form: all but ASCII, unified ideographs, Hangul syllables, surrogates and private use.
+BLOCKS = ((0, 0x20), (0x7F, 0x3400), (0xA000, 0xAC00), (0xD7B0, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE01F0))
 
 
 def _visible_form(ch: str) -> str:
@@ -52,9 +54,7 @@ def table() -> dict[str, str]:
     """Every code point whose form differs from itself; its size is bounded by Unicode (about 8,000 rows)."""
     alike = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK} {LATIN}".split()}
     out = {}
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4 or 0x20 <= cp < 0x7F:
-            continue
+    for cp in chain(*(range(a, b) for a, b in BLOCKS)):
         ch = chr(cp)
         form = "".join(alike.get(x, x) for x in _visible_form(ch))
         if form != ch:
@@ -79,10 +79,13 @@ def mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"_p": list(t), "_f": list(t.values())}))
 
 
-@F.pandas_udf("string")
-def _recompose(s: pd.Series) -> pd.Series:
+def _recompose(text: Column) -> Column:
     """Canonical order of marks by class, then composition; null stays null."""
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def visible(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmask.llm import encode, glyphs
+from spanmask.llm import encode, glyphs, leak, level
 from spanmask.sources.tables import table
 
 
@@ -16,5 +16,13 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leak.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "gold_prospectus"), "id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return level.levels(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "reading_labels"), "doc_id", "band")
+
+
+QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
