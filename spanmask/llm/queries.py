@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanmask.llm import encode, glyphs, leak, level
+from spanmask.llm import encode, glyphs, leak, level, pieces, sentences
 from spanmask.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.units(table(spark, sf, "blocks"), "block_key", "raw_text")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.alike(table(spark, sf, "blocks"), "block_key", "raw_text")
 
 
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf, "blocks"), "block_key", "raw_text")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every oversized block once (by its first piece), and whether it holds a stretch that no boundary breaks."""
+    forced = F.when(F.col("stretch") > pieces.LIMIT, "forced").otherwise("natural")
+    return p4_pieces(spark, sf).where("piece_no = 0").select("block_key", forced.alias("cut_kind"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -24,5 +39,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return level.levels(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "reading_labels"), "doc_id", "band")
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
