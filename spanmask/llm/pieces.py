@@ -68,16 +68,16 @@ def valleys(text: str, cuts: list[int]) -> np.ndarray:
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """Pieces (start, end, cut) of a text longer than ``limit``; a shorter one is one piece.
 
-    Each piece after the first starts ``overlap`` code points before the end of the one before. ``cut`` is how the
+    Each piece after the first starts ``overlap`` code points before the end of the one before, so a piece is longer than that. ``cut`` is how the
     piece ends: sentence, blank, forced or end (of the text).
     """
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
-    out, start, done = [], 0, 0
+    out, start = [], 0
     # A window at a time, so that memory doesn't grow with the text.
     while n - start > limit:
-        low, high = max(done + 1, start + int(limit * FILL)), start + limit
+        done, low, high = start + overlap, start + int(limit * FILL), start + limit
         begin = max(0, start - BLOCK)
         window = text[begin : high + BLOCK]
         cuts = [begin + m.end() for m in _END.finditer(window)]
@@ -94,7 +94,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
                 while end > done + 1 and _JOINING.match(text[end]):  # a mark stays with its letter
                     end -= 1
         out.append((start, end, kind))
-        start, done = end - overlap, end
+        start = end - overlap
     return [*out, (start, n, "end")]
 
 
