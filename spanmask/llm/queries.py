@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.llm import encode, glyphs, leak, level, pieces, sentences
+from spanmask.llm import encode, glyphs, leak, level, names, pieces, sentences
 from spanmask.sources.tables import table
 
 
@@ -17,6 +17,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.alike(table(spark, sf, "blocks"), "block_key", "raw_text")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.linked_pairs(names.variants(table(spark, sf, "spans"), "entity_id", "doc_id", "text"), "entity_id")
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.pieces(table(spark, sf, "blocks"), "block_key", "raw_text")
 
@@ -39,5 +43,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return level.levels(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "reading_labels"), "doc_id", "band")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
