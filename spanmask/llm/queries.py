@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.llm import encode, glyphs, leak, level, names, pieces, sentences
+from spanmask.llm import encode, glyphs, leak, level, names, pieces, places, sentences
 from spanmask.sources.tables import table
 
 
@@ -31,6 +31,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).where("piece_no = 0").select("block_key", forced.alias("cut_kind"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.linked_pairs(places.locations(table(spark, sf, "spans"), "entity_id", "text"), "entity_id")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_column(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -43,5 +47,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return level.levels(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "reading_labels"), "doc_id", "band")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
