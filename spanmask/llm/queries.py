@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.llm import encode, glyphs, leak, level, names, pieces, places, sentences
+from spanmask.llm import encode, glyphs, leak, level, names, personal, pieces, places, sentences
 from spanmask.sources.tables import table
 
 
@@ -31,6 +31,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).where("piece_no = 0").select("block_key", forced.alias("cut_kind"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    records, blocks = table(spark, sf, "synthetic_benchmark"), table(spark, sf, "blocks")
+    tagger = personal.fit(records, "id", "text", "entities")
+    shape = lambda df, key, origin: df.select(F.lit(origin).alias("origin"), F.col(key).cast("string").alias("rec_id"), "label", "pii_start", "pii_end")
+    here = personal.spans(records.where("entities is null"), "id", "text", tagger)
+    there = personal.spans(blocks, "block_key", "raw_text", tagger)
+    return shape(here, "id", "synthetic_benchmark").unionByName(shape(there, "block_key", "blocks"))
+
+
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    records, blocks = table(spark, sf, "synthetic_benchmark"), table(spark, sf, "blocks")
+    tagger = personal.fit(records, "id", "text", "entities")
+    here = personal.masked(records, "id", "text", tagger).select(F.lit("synthetic_benchmark").alias("origin"), F.col("id").alias("rec_id"), "masked")
+    there = personal.masked(blocks, "block_key", "raw_text", tagger).select(F.lit("blocks").alias("origin"), F.col("block_key").cast("string").alias("rec_id"), "masked")
+    return here.unionByName(there)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.linked_pairs(places.locations(table(spark, sf, "spans"), "entity_id", "text"), "entity_id")
 
@@ -47,5 +64,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return level.levels(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "reading_labels"), "doc_id", "band")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
