@@ -10,8 +10,12 @@ from spanmask.functions.spantext import SPANS, matches, span
 
 SOURCE = "rule_detector"
 _NAME = r"\p{Lu}[\p{L}'’]+"
-ORGANISATION = rf"{_NAME}(?:[ ](?:{_NAME}|and|of|&)){{0,6}}[ ](?:Private[ ]Limited|Pvt\.?[ ]Ltd\.?|Limited|Ltd\.?|LLP)(?![\p{{L}}])"
-PERSON = rf"(?:(?<=Mr\.[ ])|(?<=Ms\.[ ])|(?<=Mrs\.[ ])|(?<=Dr\.[ ])|(?<=Shri[ ])|(?<=Smt\.[ ])|(?<=Contact[ ]Person:[ ])|(?<=Attn\.[ ])){_NAME}(?:[ ](?:\p{{Lu}}\.|{_NAME})){{1,3}}"
+ORGANISATION = rf"(?:(?!Company\b|The\b|Our\b|Office\b){_NAME})(?:[ ](?:{_NAME}|[IVX]+|and|of|&)){{0,6}}[ ](?:Private[ ]Limited|Pvt\.?[ ]Ltd\.?|Limited|Ltd\.?|LLP)(?![\p{{L}}])"
+# What stands before a name, and the offices that stand behind one.
+CUES = ("Mr. ", "Ms. ", "Mrs. ", "Dr. ", "Shri ", "Smt. ", "Contact Person: ", "Attn. ", "Name: ", "Customer ", "Employee ", "Nominee: ", "including, ")
+OFFICES = r"CEO|CFO|CTO|COO|CS|KMP|Chair(?:man|person)|Promoter|Partner|Company[ ]Secretary|Compliance[ ]Officer|(?:[A-Z][a-z]+[- ])*Director|Chief[ ][A-Z][a-z]+[ ]Officer"
+_PERSON_NAME = rf"{_NAME}(?:[ ](?:\p{{Lu}}\.|{_NAME})){{1,3}}"
+PERSON = "(?:" + "|".join(f"(?<={c.replace('.', '[.]').replace(' ', '[ ]')})" for c in CUES) + rf"){_PERSON_NAME}|(?<![\p{{L}}.]){_PERSON_NAME}(?=,[ ](?:the[ ])?(?:{OFFICES})\b)"
 DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2} [A-Z][a-z]{2,8},? \d{4}\b|\b[A-Z][a-z]{2,8} \d{1,2}, \d{4}\b"
 
 
