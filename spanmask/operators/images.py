@@ -6,7 +6,7 @@ Readers and drawing libraries are plugged in; without one an image has no boxes
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,15 +41,6 @@ def personal_boxes(found: Column) -> Column:
     return F.filter(found, lambda b: F.size(identifiers(b["text"])) > 0)
 
 
-def redacted(content: Column, hidden: Column, blur: float | None = None) -> Column:
-    """The image with its boxes blackened, or blurred by a radius; the input where no drawing library is there or it fails."""
-
-    def run(images: pd.Series, boxes_: pd.Series) -> pd.Series:
-        return pd.Series([_hide(a, b, blur) for a, b in zip(images, boxes_)])
-
-    return F.pandas_udf(run, "binary")(content, hidden)
-
-
 def _hide(data: bytes | None, hidden: list[dict] | None, blur: float | None) -> bytes | None:
     if data is None or hidden is None or not len(hidden):
         return data
@@ -75,6 +66,14 @@ def _hide(data: bytes | None, hidden: list[dict] | None, blur: float | None) ->
 
 
 def scan(images: DataFrame, reader: Callable[[bytes], list[dict]] | None = None, blur: float | None = None) -> DataFrame:
-    """(doc_id, name, content): every image, personal boxes hidden."""
+    """The images (any columns, one of them ``content``) with personal boxes blackened, or blurred by a radius.
+
+    An image stays as it is where no drawing library is there, where it can't be read, or where it has no such box.
+    """
     with_boxes = images.withColumn("_b", personal_boxes(boxes(F.col("content"), reader)))
-    return with_boxes.withColumn("content", redacted(F.col("content"), F.col("_b"), blur)).drop("_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(content=[_hide(a, b, blur) for a, b in zip(pdf["content"], pdf["_b"])]).drop(columns="_b")
+
+    return with_boxes.mapInPandas(run, images.schema)
