@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.llm.cut import cut
+from spanmask.sources.lineage import cut
 
 # Letters of other alphabets with the shape of a Latin letter, in pairs.
 CYRILLIC = "АA ВB ЕE НH ІI ЈJ КK МM ОO РP СC ТT ХX ЅS ҮY аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵv"
@@ -123,7 +123,7 @@ def alike(df: DataFrame, key: str, text: str) -> DataFrame:
     their different spellings, and only groups with several are expanded to rows, so that a text repeated any
     number of times costs no more than its rows; texts are compared by 128-bit hashes.
     """
-    one = df.select(F.col(key), F.col(text)).where(visible(F.col(text))).dropDuplicates([key])
+    one = df.select(F.col(key), F.col(text)).where(visible(F.col(text)) & F.col(key).isNotNull()).dropDuplicates([key])
     forms = unify(one, key, text, {"_r": F.unhex(F.md5(F.col(text)))})
     hashed = cut(forms.select(F.col(key).alias("_k"), F.unhex(F.md5("form")).alias("_c"), "_r"))
     spread = hashed.groupBy("_c").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi")).where("_lo <> _hi").select("_c")

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmask.llm.cluster import components, within
-from spanmask.llm.cut import cut
 from spanmask.llm.glyphs import fold
+from spanmask.sources.lineage import cut
 
 EDITS = 2
 # Titles, legal forms, abbreviations of business words, and short forms of given names.
@@ -247,13 +247,13 @@ def _compatible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
-    """(entity, cluster): the cluster of every mention that is linked with another spelling or repeats one.
+    """(entity, cluster): the cluster of every mention that is a name; entities come out as strings.
 
     Names are compared within a ``scope`` only. Null, empty and over-long texts, texts with digits and
     single words that belong to no fuller name are no names; repeated rows (same entity) count once; columns besides the
     three aren't read. A name that fits several fuller ones stays with its own spelling.
     """
-    rows = df.select(F.col(entity).alias("_e"), F.col(scope).alias("_d"), F.col(text).alias("_t")).where("_t is not null and _d is not null and _e is not null").dropDuplicates(["_e"])
+    rows = df.select(F.col(entity).cast("string").alias("_e"), F.col(scope).cast("string").alias("_d"), F.col(text).alias("_t")).where("_t is not null and _d is not null and _e is not null").dropDuplicates(["_e"])
     parsed = cut(rows.mapInPandas(_parsed, "_e string, _d string, kind string, parts array<string>, form string, rank int").withColumn("_p", F.concat_ws("|", "kind", "form", F.concat_ws(" ", "parts"))))
     spelled = parsed.groupBy("_p").agg(*(F.min(c).alias(c) for c in ("kind", "parts", "form", "rank")), F.count_distinct("_d").alias("times"))
     # How often a part stands last, over all filings, tells surnames from given names.

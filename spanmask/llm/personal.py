@@ -373,15 +373,14 @@ class Tagger:
         self.weights = w
         # Skip potentials: how much more often recurring tokens share a pair of classes than chance has it, in half measure.
         k = len(CLASSES) + 1
-        pairs, single = np.full((k, k), 0.5), np.full(k, 1.0)
+        pairs = np.full((k, k), 0.5)
         for toks, y in zip(texts, gold):
             for i, j in self.recurring(toks):
                 a, b = CLASS_OF[y[i]], CLASS_OF[y[j]]
                 pairs[a, b] += 0.5
                 pairs[b, a] += 0.5
-                single[a] += 1
-                single[b] += 1
-        expected = np.outer(single, single) / single.sum() ** 2
+        share = pairs.sum(axis=1) / pairs.sum()
+        expected = np.outer(share, share)
         pmi = np.clip(0.5 * np.log(pairs / pairs.sum() / expected), -1.5, 1.5)
         self.skip = pmi[CLASS_OF[:, None], CLASS_OF[None, :]].astype(np.float32)
         self._fresh()

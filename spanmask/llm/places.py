@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmask.llm.cluster import components, within
-from spanmask.llm.cut import cut
 from spanmask.llm.names import plain
+from spanmask.sources.lineage import cut
 
 #: Rows after each row of a pass that it is compared with. Spellings of one place differ by typos only after
 #: parsing, so they lie side by side in at least one of the orders.
@@ -119,7 +119,7 @@ def locations(df: DataFrame, entity: str, text: str) -> DataFrame:
     equal spellings are compared once, whatever their number; columns besides the two aren't read. A street without
     city joins any city only if all spellings agree in one.
     """
-    rows = df.select(F.col(entity).alias("_e"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"\d") & F.col("_e").isNotNull()).dropDuplicates(["_e"])
+    rows = df.select(F.col(entity).cast("string").alias("_e"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"\d") & F.col("_e").isNotNull()).dropDuplicates(["_e"])
     strings = ", ".join(f"{c} string" for c in FIELDS)
     mentions = cut(rows.mapInPandas(_parsed, f"_e string, {strings}").withColumn("_n", F.concat_ws("|", *FIELDS[:-1])))
     once = mentions.groupBy("_n").agg(*(F.min(c).alias(c) for c in FIELDS))

@@ -38,6 +38,16 @@ GOES_ON = frozenset(
 #: Words that continue a company's name after a dotted abbreviation.
 FIRM = frozenset("ltd ltd. limited private pvt pvt. llp (p) & inc inc. and sys sys. works dyes co co. corp".split())
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember january february march may june july october december".split())
+#: Texts that every fit includes, so that a table of few texts is segmented as well.
+SEEDS = (
+    "Revenue rose. Costs fell in 2019. The board met on Friday. Did the lender agree? No. 5 was withdrawn! Mr. Long of Acme Ltd. paid Rs. 38.71 to him.",
+    'The court held: "The claim fails. Costs follow." The firm paid. "Is it fair?" asked the clerk. (See note 4.) The U.S. dollar fell, i.e. by 3 per cent. We sell to the U.K. The plant runs.',
+    "General Information\nThe registrar sealed the\nbox at 4.15 p.m. on that day.\nThe box was opened.\n\nAnother heading\n\nThe end came. A. B. Long signed it.",
+    "本公司发行新股。“价格公平。”谁来付款？请勿透露！配当は30円とする。株式を発行しました。",
+    "ราคาหุ้นละ 67.40 บาท คณะกรรมการอนุมัติแผนงานแล้ว ผู้สอบบัญชีรับรองงบการเงินแล้ว ราคาหุ้นละ 15 บาท",
+    "हे खरे आहे का? रु. 94 इतकी रक्कम जमा केली. कंपनी ने शेयर जारी किए। लाभ बढ़ा। وافق مجلس الإدارة على الخطة. بلغ السعر 44 ريال للسهم. هل اطلع المستثمر؟",
+    "Der Kurs fiel um 38 Prozent, d. h. auf den Stand. Am 5. März tagte der Rat. ¿Recibió el folleto? El Sr. Long firmó el acta. « Le prix est juste. » Voir l'art. 7. M. Long préside.",
+)
 _PLACE = re.compile(
     rf"(?P<mark>[{re.escape(MARKS)}]+)(?P<close>(?:[ \xa0  ]»|[{re.escape(CLOSERS)}])*)(?P<gap>\s*)|(?P<line>[^\S\n]*\n\s*)|(?<=[{BARE}])(?P<bare>[^\S\n]+)(?=[{BARE}])"
 )
@@ -140,7 +150,7 @@ def places(text: str) -> list[Place]:
             p.mail = bool(_MAIL.search(s, max(0, m.start() - 50), m.start())) if "\n" in p.gap and not mark else False
         if inside is None:
             inside = _spans_inside(s) if re.search(r"[\"“„«「『(（\[]", s) else []
-        p.quoted = any(a < m.start() < b for a, b in inside) if inside else False
+        p.quoted = any(a < p.start - 1 < b for a, b in inside) if inside else False
         p.reversed = mark == "." and len(p.left) == 1 and bool(_REVERSED.search(s, max(0, m.start() - 60), m.start()))
         head = s[s.rfind("\n", 0, p.start) + 1 : p.start].split() if "\n" in p.gap else []
         p.title = bool(head) and len(head) <= 8 and all(w[:1].isupper() or w.lower() in ("of", "the", "for", "and", "to", "in") for w in head)
@@ -194,6 +204,7 @@ def features(p: Place) -> list[str]:
     go = left in GOES_ON or left.rsplit("(", 1)[-1] in GOES_ON or left.rsplit("/", 1)[-1] in GOES_ON
     firm = right in FIRM or right.rstrip(".,") in FIRM and left in ("pvt", "co", "engg")
     out = ["bias", f"b={base}", f"q={p.quoted}{gap == 'nn'}", f"c={bool(p.close)}{base}", f"L={left[-12:]}|{gap}", f"R={right[:12]}|{mark}", f"S={shape}{p.reversed}{base}", f"s={shape}{p.reversed}"]
+    out.append(f"go={go and p.mark == '.'}{firm and p.mark == '.'}{gap}{p.right_kind}")
     if go:
         out.append(f"go={p.mark == '.'}{gap == 'nn'}")
     if firm:
@@ -203,12 +214,13 @@ def features(p: Place) -> list[str]:
     if p.reversed:
         out.append("reversed")
     if p.mark:
+        out.append(f"mn={gap}{go and p.mark == '.'}{firm}")
         if shape == "0" and len(left) < 3 and right.rstrip(".,") in MONTHS:
             out.append("month")
         if gap == "0":
             out.append(f"tight={len(left) > 1}{p.right[:2].isupper()}{'.' in left.strip('.')}{bool(p.close)}{p.right_kind}{p.mark == '.'}")
     else:
-        out += [f"bare={p.bare}{p.digits}{gap}", f"t={p.title}{p.right_kind}", f"comma={p.left.endswith((',', ';', ':'))}"]
+        out += [f"nl={gap}{p.right_kind == 'lower'}{p.left.endswith((',', ';', ':'))}{p.quoted}", f"bare={p.bare}{p.digits}{gap}", f"t={p.title}{p.right_kind}", f"comma={p.left.endswith((',', ';', ':'))}"]
         if left in ("the", "of", "and", "in", "on", "at", "to", "by", "for"):
             out.append("function")
     return out
@@ -233,7 +245,7 @@ class Field:
 
     def fit(self, texts: list[str], penalty: float = 1e-5, rounds: int = 150) -> "Field":
         seqs: list[tuple[list[list[str]], list[int]]] = []
-        for t in texts:
+        for t in [*texts, *SEEDS * 3]:
             # A script without end marks is learnt from marked text as well: the marks go, the boundaries stay.
             bare = [] if t.isascii() else places(stripped(t))
             for ps in (places(t), bare):
@@ -242,8 +254,6 @@ class Field:
                     seqs.append(([features(p) for p in chain], [int(convention(p)) for p in chain]))
         seen = Counter(f for fs, _ in seqs for f in {x for y in fs for x in y})
         index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
-        if not seqs:
-            return self
         size = max(len(y) for _, y in seqs)
         ids = [[[index[f] for f in fs if f in index] for fs in x] for x, _ in seqs]
         rows = np.concatenate([np.full(len(f), at) for at, f in enumerate(f for x in ids for f in x)]).astype(np.int64)
