@@ -22,8 +22,8 @@ from spanmask.sources.lineage import cut
 
 RUN, GRAM = 12, 5
 WINDOW = RUN - GRAM + 1
-#: Fingerprints of the items up to which they are broadcast (16 bytes each and their ids); beyond it, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Fingerprints of the items, and characters of their texts, up to which they are broadcast; beyond it, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 30_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _KNOWN: dict[str, int] = {}
@@ -115,7 +115,8 @@ def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     docs = corpus.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     tests = items.select(F.col(item_key).alias("_ik"), F.col(item_text).alias("_it")).where("_it is not null").dropDuplicates(["_ik"])
     marks = cut(tests.select("_ik", F.explode(_prints("_it")).alias("_h")))
-    small = marks.count() <= BROADCAST_ROWS
+    tests = tests.join(marks.select("_ik").distinct(), "_ik", "left_semi")
+    small = marks.count() <= BROADCAST_ROWS and (tests.agg(F.sum(F.length("_it"))).first()[0] or 0) <= BROADCAST_CHARS
     bound = F.broadcast if small else (lambda x: x)
     found = docs.select("_k", F.explode(_prints("_t")).alias("_h")).join(bound(marks), "_h").select("_k", "_ik").distinct()
     pairs = found.join(docs.dropDuplicates(["_k"]), "_k").join(bound(tests), "_ik").select("_k", "_ik", "_t", "_it")

@@ -30,9 +30,8 @@ _JOINING = re.compile(r"[̀-ͯ​-‏⁠︀-️﻿֑-ֽً-ٰٟऀ-ः़ा-ॏ
 def longest_stretch(text: str) -> int:
     """Code points of the longest stretch without blank, line break or sentence end."""
     last, longest = 0, 0
-    for at in sorted({m.end() for m in _BLANK.finditer(text)} | {m.end() for m in _END.finditer(text)} | {len(text)}):
-        inner = text[last:at].rstrip()
-        longest, last = max(longest, len(inner)), at
+    for start, end in sorted([m.span() for m in _BLANK.finditer(text)] + [m.span() for m in _END.finditer(text)] + [(len(text), len(text))]):
+        longest, last = max(longest, start - last), max(last, end)
     return longest
 
 

@@ -65,4 +65,9 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+_BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_CLOSE = "[\"''”’)\\]»]*"
+SQL: dict[str, str] = {
+    "p4_found": "SELECT block_key, CASE WHEN list_max(list_transform(string_split_regex(t, '" + _BLANK + "|[。！？｡।॥؟۔]+[\"''”’)\\]」』）】»]*|[.!?…]+" + _CLOSE + _BLANK + "'), lambda x: length(x))) > 1500 THEN 'forced' ELSE 'natural' END AS cut_kind "
+    "FROM (SELECT block_key, any_value(raw_text) AS t FROM blocks GROUP BY block_key) WHERE length(t) > 1500",
+}
