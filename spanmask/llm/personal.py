@@ -26,10 +26,14 @@ from spanmask.llm.sentences import INVISIBLE, _one_to_one
 FIT_RECORDS = 2000
 ROUNDS = 2  # of messages over the skip edges
 CLASSES = ("PERSON", "ORGANIZATION", "ADDRESS", "EMAIL", "PHONE", "SSN_TAX_ID", "CREDIT_CARD", "DATE_OF_BIRTH", "IP_ADDRESS")
-LABELS = ("O", *(f"{p}-{c}" for c in CLASSES for p in "BI"))
+#: Classes whose pieces are words; a piece of the others is mostly one token, so one label will do.
+WORDED = CLASSES[:3]
+LABELS = ("O", *(f"{p}-{c}" for c in CLASSES for p in ("BI" if c in WORDED else "B")))
 L = len(LABELS)
-#: Class of each label: 0 none, then the classes in order.
-CLASS_OF = np.array([0, *(i + 1 for i in range(len(CLASSES)) for _ in "BI")])
+#: Class of each label: 0 none, then the classes in order; and the labels of each class's first and further tokens.
+CLASS_OF = np.array([0, *(i + 1 for i, c in enumerate(CLASSES) for _ in ("BI" if c in WORDED else "B"))])
+FIRST = [0, *(LABELS.index(f"B-{c}") for c in CLASSES)]
+NEXT = [0, *(LABELS.index(f"{'I' if c in WORDED else 'B'}-{c}") for c in CLASSES)]
 OFFSETS = (0, -1, 1, -2, 2)
 WIDTH = 14
 
@@ -51,13 +55,26 @@ _IDEOGRAPH = "぀-ヿ㐀-鿿豈-﫿"
 _NUMBER, _WORD, _REST = r"\d+(?:,\d+)*(?:\.\d+)?%?", rf"[{_IDEOGRAPH}]|(?:(?![{_IDEOGRAPH}])[^\W\d_])(?:(?![{_IDEOGRAPH}])[^\W\d_]|[ा-ॏऀ-ःั-๎̀-ͯ])*", r"\n+|\S"
 
 
+#: A word that can't begin any of the shapes, and marks that can't either: most tokens are found by these, tried first.
+_SURE_WORD = _WORD.replace(")*", ")*+") + r"(?![@+%_\d]|[-./:]\w| \d{4} [A-Z]\b|\s?[\[(]at|\s@|\sAT\s)"
+_MONTHS = rf"(?!{_MONTH} \d)"
+
+
 def _grammar(kinds: tuple[str, ...]) -> re.Pattern[str]:
-    shapes = [f"(?P<{k}>{SHAPES[k].replace(chr(92) + '1', '(?P=' + k + '_s)').replace(chr(92) + '2', '(?P=' + k + '_s)').replace('([ -]?)', '(?P<' + k + '_s>[ -]?)').replace('([- ])', '(?P<' + k + '_s>[- ])')})" for k in kinds]
-    return re.compile("|".join([*shapes, f"(?P<number>{_NUMBER})", f"(?P<word>{_WORD})", f"(?P<rest>{_REST})"]))
+    shapes = []
+    for k in kinds:  # groups inside a shape get names of their own
+        rx = SHAPES[k]
+        for i, group in enumerate(("([ -]?)", "([- ])"), 1):
+            if group in rx:
+                rx = rx.replace(group, f"(?P<{k}_s>{group[1:-1]})").replace("\\1", f"(?P={k}_s)").replace("\\2", f"(?P={k}_s)")
+        shapes.append(f"(?P<{k}>{rx})")
+    return re.compile("|".join([f"{_MONTHS}(?P<word>{_SURE_WORD})", "(?P<rest>[,;:!?.)\"])", *shapes, f"(?P<number>{_NUMBER})", f"(?P<word_>{_WORD})", f"(?P<rest_>{_REST})"]))
 
 
 _ALL, _NO_MAIL = _grammar(tuple(SHAPES)), _grammar(tuple(k for k in SHAPES if k != "mail"))
 _PLAIN = re.compile(f"(?P<word>{_WORD})|(?P<rest>{_REST})")
+#: What the groups' names stand for.
+_KIND = {g: g.rstrip("_") if not g.endswith("_s") else g[:-2] for g in {*_ALL.groupindex, *_PLAIN.groupindex}}
 _HAS_MAIL, _HAS_DIGIT = re.compile(r"@|at\]|\(at\)|\sAT\s"), re.compile(r"\d")
 _DIGITS = str.maketrans("0123456789", "0000000000")
 _CLEAN: dict[int, str] = {}
@@ -79,11 +96,7 @@ def clean(text: str) -> tuple[str, list[int] | None]:
 def tokens(s: str) -> list[tuple[str, str, int, int]]:
     """(kind, text, start, end) of each token of a clean text."""
     pattern = _PLAIN if not _HAS_DIGIT.search(s) and not _HAS_MAIL.search(s) else _ALL if _HAS_MAIL.search(s) else _NO_MAIL
-    out = []
-    for m in pattern.finditer(s):
-        kind = m.lastgroup
-        out.append((kind[:-2] if kind.endswith("_s") else kind, m[0], m.start(), m.end()))
-    return out
+    return [(_KIND[m.lastgroup], m[0], *m.span()) for m in pattern.finditer(s)]
 
 
 def type_key(kind: str, word: str) -> tuple[str, str]:
@@ -119,7 +132,7 @@ def gold_labels(toks: list[tuple[str, str, int, int]], entities: list[tuple[int,
         for i, (_, _, a, b) in enumerate(toks):
             ra, rb = (at[a], at[b - 1] + 1) if at else (a, b)
             if ra < end and rb > start:
-                out[i] = 1 + 2 * c + (not first)
+                out[i] = (FIRST if first else NEXT)[c + 1]
                 first = False
     return out
 
@@ -399,7 +412,7 @@ class Tagger:
                     i += 1
                     continue
                 c, j = CLASS_OF[tags[i]], i + 1
-                while j < len(tags) and tags[j] == 2 * c:
+                while j < len(tags) and tags[j] == NEXT[c]:
                     j += 1
                 for a, b in parted(ts, i, j) if c == 1 else [(i, j)]:
                     b -= 1
