@@ -109,3 +109,10 @@ def ablation(pred: DataFrame, gold: DataFrame, configs: dict[str, tuple[str, ...
 
 def counts_by_type(df: DataFrame, spans: str = "spans") -> DataFrame:
     return df.select(F.explode(spans).alias("s")).groupBy("s.type").agg(F.count("*").alias("n"))
+
+
+def benchmark(records: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per class, overall) of ``found`` (id, spans) against labelled records (id, text, entities)."""
+    pred = exploded(found.select("id", F.transform("spans", lambda s: F.struct(s["type"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))).alias("e")), "id", "e")
+    classes = per_class(pred, exploded(records, "id", "entities"))
+    return classes, overall(classes, tokens_of(records, "text"))

@@ -147,6 +147,12 @@ def pseudonyms(values: DataFrame, key: bytes, scope: str = "scope_id") -> DataFr
     return out.withColumn("pseudonym", F.when(F.col("_r") > 1, _numbered(F.col("type"), F.col("pseudonym"), F.col("_r"))).otherwise(F.col("pseudonym"))).select(scope, "token", "type", "value", "pseudonym", "salt")
 
 
+def looked_up(values: DataFrame, known: DataFrame, key: bytes, scope: str = "scope_id") -> DataFrame:
+    """``values`` with the pseudonym that their scope already has for them, null if none."""
+    tokened = values.withColumn("token", token(F.col("type"), F.col("text"), key))
+    return tokened.join(known.select(scope, "token", "pseudonym"), [scope, "token"], "left")
+
+
 def vault(names: DataFrame, key: bytes) -> DataFrame:
     """(token, payload): the originals, sealed; a token of several scopes stands once."""
     return names.groupBy("token").agg(F.min("value").alias("_v")).select("token", seal(F.col("_v"), key, F.col("token")).alias("payload"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmask.functions.spantext import NO_SPANS, SPANS, splice
-from spanmask.operators import pseudonym, registry, rules
+from spanmask.operators import images, pseudonym, registry, rules
 from spanmask.operators.address import address
 from spanmask.operators.detect import identifiers, numbered
 from spanmask.operators.normalize import raw_place, with_normal_form
 from spanmask.operators.resolve import resolved
 from spanmask.operators.score import scored
+from spanmask.sources import docx
 from spanmask.sources.lineage import cut
 
 
@@ -74,3 +75,24 @@ def redact_documents(found: DataFrame, key: bytes) -> DataFrame:
     joined = found.select("doc_id", "block_id", "raw_text").join(changes, ["doc_id", "block_id"], "left")
     new = splice(F.col("raw_text"), F.col("_c"), lambda c: c["pseudonym"])
     return joined.select("doc_id", "block_id", F.when(F.col("_c").isNull(), F.col("raw_text")).otherwise(new).alias("redacted"))
+
+
+def text_results(df: DataFrame, text: str, key: bytes, with_rules: bool = False) -> DataFrame:
+    """(original_text, redacted_text, total_entities, entities) of each text that isn't empty, as the text interface answers."""
+    found = redact_text(df.where(F.length(text) > 0), text, key, "_r", with_rules)
+    each = lambda s: F.struct(s["text"].alias("original"), s["type"].alias("type"), s["confidence"].alias("confidence"), pseudonym.fake(s["type"], s["text"], pseudonym.token(s["type"], s["text"], key), F.lit(0)).alias("pseudonym"))
+    return found.select(F.col(text).alias("original_text"), F.col("_r").alias("redacted_text"), F.size("spans").alias("total_entities"), F.transform("spans", each).alias("entities"))
+
+
+def process_files(spark: SparkSession, path: str, folder: str, key: bytes, reader=None) -> DataFrame:
+    """Word files of a path, redacted into a folder that all executors share; one row for each: blocks, spans, spans by type.
+
+    ``reader`` is an optical reader for embedded images; without one, images are kept.
+    """
+    blocks = docx.read_blocks(spark, path).withColumn("block_key", F.xxhash64("doc_id", "block_id"))
+    found = cut(detect_documents(blocks))
+    pictures = images.scan(docx.read_images(spark, path), reader) if reader else None
+    docx.write_files(docx.rewrite(spark, path, replacements(found, key), pictures), folder)
+    each = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", "s.type").agg(F.count("*").alias("n"))
+    by = each.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("pii_by_type"), F.sum("n").alias("total_pii_detected"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("total_blocks_processed")).join(by, "doc_id", "left").na.fill({"total_pii_detected": 0})

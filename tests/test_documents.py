@@ -182,3 +182,44 @@ def test_redaction_leaves_no_raw_value(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "i int, t string, spans string").drop("spans")
     got = {r["i"]: r["redacted"] for r in pipeline.redact_text(df, "t", KEY, with_rules=True).collect()}
     assert not any(x in got[0] for x in ("asha@", "9876543210", "Asha Rao")) and got[1] == "" and got[2] is None
+
+
+def test_files_end_to_end(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.docx").write_bytes(word_file(para(("Contact Person: Asha Rao, mail asha@x.example.com", "")), para(("Later Asha Rao and Mr. Rao spoke.", "")), TABLE))
+    out = pipeline.process_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), KEY).first()
+    text = " ".join(b["raw_text"] for b in docx.blocks_of((tmp_path / "out" / "a.docx").read_bytes()))
+    assert out["total_blocks_processed"] == 6 and out["pii_by_type"]["EMAIL"] == 2 and out["pii_by_type"]["PERSON"] == 3
+    assert not any(x in text for x in ("asha@", "Asha", "Rao"))
+
+
+def test_text_results_and_known_pseudonyms(spark):
+    df = spark.createDataFrame([("mail a@b.example.com",), ("",), (None,)], "t string")
+    row = pipeline.text_results(df, "t", KEY).collect()
+    assert len(row) == 1 and row[0]["total_entities"] == 1 and row[0]["entities"][0]["pseudonym"] in row[0]["redacted_text"]
+    values = spark.createDataFrame([("s", "PERSON", "Asha Rao"), ("s", "PERSON", "Unknown One")], "scope_id string, type string, text string")
+    known = pseudonym.pseudonyms(values.limit(1), KEY)
+    got = {r["text"]: r["pseudonym"] for r in pseudonym.looked_up(values, known, KEY).collect()}
+    assert got["Asha Rao"] and got["Unknown One"] is None
+
+
+def test_sql_functions(spark):
+    from spanmask.functions.sql import register
+
+    assert "email_spans" in register(spark)
+    spark.createDataFrame([(1, "😀 a@b.co, 10.0.0.1; 4012 8888 8888 1881 4012 8888 8888 1882"), (2, None)], "k int, t string").createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT k, inline(s) FROM (SELECT k, concat(email_spans(t), ipv4_spans(t), card_spans(t)) AS s FROM texts)").collect()
+    assert [(r["k"], r["start"], r["end"], r["text"]) for r in rows] == [(1, 2, 8, "a@b.co"), (1, 10, 18, "10.0.0.1"), (1, 20, 39, "4012 8888 8888 1881")]
+    assert spark.sql("SELECT spans_of('xaxx', 'x+').start AS s").first()["s"] == [0, 2]
+
+
+def test_own_detector(spark):
+    from spanmask.functions.spantext import matches, span
+    from spanmask.operators import detect
+
+    detect.register("plate", lambda t: F.transform(matches(t, r"\bKA-\d{4}\b"), lambda m: span("PLATE", m["text"], m["start"], m["end"], 0.9, "own")).cast(SPANS))
+    try:
+        got = spark.range(1).select(detect.identifiers(F.lit("car KA-1234")).alias("s")).first()["s"]
+        assert [(x["type"], x["start"]) for x in got] == [("PLATE", 4)]
+    finally:
+        del detect.DETECTORS["plate"]
