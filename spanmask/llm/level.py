@@ -58,12 +58,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int, rate: float = 0.1) -> np.ndarray:
-    """Multinomial logistic regression with an L2 penalty by Adam over all rows; y holds target distributions."""
-    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int, rate: float = 0.1, basis: np.ndarray | None = None) -> np.ndarray:
+    """Multinomial logistic regression with an L2 penalty by Adam over all rows; y holds target distributions.
+
+    With a ``basis`` the features are x @ basis, which is never formed.
+    """
+    w = np.zeros((x.shape[1] if basis is None else basis.shape[1], y.shape[1]), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        g = x.T @ (softmax(x @ w) - y) / len(x) + penalty * w
+        z = x @ (w if basis is None else basis @ w)
+        g = x.T @ (softmax(z) - y) / len(x)
+        g = (g if basis is None else basis.T @ g) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -112,13 +117,14 @@ class Level:
             for w in s:
                 if w in words:
                     counts[r, words[w]] += 1.0 / len(s)
-        spell = np.zeros((len(words), len(self.features)), np.float32)
+        spell = np.zeros((len(words) + 2, len(self.features) + 2), np.float32)
         for w, i in words.items():
             for f in word_features(w):
                 if f in self.features:
                     spell[i, self.features[f]] += 1
-        x = np.concatenate([counts @ spell, np.stack([np.ones(len(rows)), np.log([len(s) for s, _ in rows])], axis=1).astype(np.float32)], axis=1)
-        w = fit_logistic(x, np.stack([y for _, y in rows]).astype(np.float32), 1e-4, 150)
+        spell[-2, -2] = spell[-1, -1] = 1
+        x = np.concatenate([counts, np.stack([np.ones(len(rows)), np.log([len(s) for s, _ in rows])], axis=1).astype(np.float32)], axis=1)
+        w = fit_logistic(x, np.stack([y for _, y in rows]).astype(np.float32), 1e-4, 150, basis=spell)
         self.weights, self.shape, self.known = w[:-2], w[-2:], {}
 
     def document(self, sents: list[list[str]]) -> np.ndarray:

@@ -254,18 +254,19 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     three aren't read. A name that fits several fuller ones stays with its own spelling.
     """
     rows = df.select(F.col(entity).cast("string").alias("_e"), F.col(scope).cast("string").alias("_d"), F.col(text).alias("_t")).where("_t is not null and _d is not null and _e is not null").dropDuplicates(["_e"])
-    parsed = cut(rows.mapInPandas(_parsed, "_e string, _d string, kind string, parts array<string>, form string, rank int").withColumn("_p", F.concat_ws("|", "kind", "form", F.concat_ws(" ", "parts"))))
+    parsed = cut(rows.mapInPandas(_parsed, "_e string, _d string, kind string, parts array<string>, form string, rank int").withColumn("_p", F.unhex(F.md5(F.concat_ws("|", "kind", "form", F.concat_ws(" ", "parts"))))))
     spelled = parsed.groupBy("_p").agg(*(F.min(c).alias(c) for c in ("kind", "parts", "form", "rank")), F.count_distinct("_d").alias("times"))
     # How often a part stands last, over all filings, tells surnames from given names.
     at = spelled.where("kind = 'P'").select("_p", "times", "form", F.posexplode("parts").alias("i", "token"), F.size("parts").alias("n"))
     stands = at.groupBy("token").agg(((F.sum(F.when(F.expr("i = n - 1"), F.col("times")).otherwise(0)) + 0.5) / (F.sum("times") + 1)).alias("surely"))
     ends = at.where("i = 0 or i = n - 1").join(stands, "token").groupBy("_p").agg(F.min_by("surely", "i").alias("first"), F.max_by("surely", "i").alias("last"))
     turned = spelled.join(ends, "_p", "left").select("_p", "kind", "parts", "form", F.coalesce("first", F.lit(0.0)).alias("first"), F.coalesce("last", F.lit(1.0)).alias("last"))
-    parts = turned.mapInPandas(_turned, "_p string, parts array<string>")
-    mentions = cut(parsed.drop("parts").join(parts, "_p").withColumn("_n", F.concat_ws("|", "_d", "kind", F.concat_ws(" ", "parts"))))
+    parts = turned.mapInPandas(_turned, "_p binary, parts array<string>")
+    # Names go by 128-bit hashes from here on, so that joins move little.
+    mentions = cut(parsed.select("_e", "_d", "kind", "rank", "_p").join(parts, "_p").withColumn("_n", F.unhex(F.md5(F.concat_ws("|", "_d", "kind", F.concat_ws(" ", "parts"))))))
     names = cut(mentions.groupBy("_n").agg(*(F.min(c).alias(c) for c in ("_d", "kind", "parts", "rank"))))
     seen = cut(names.select("_d", F.explode("parts").alias("token")).distinct().groupBy("token").agg(F.count("*").cast("int").alias("seen")))
-    blocks = cut(names.mapInPandas(_blocks, "_d string, _n string, token string, initial string"))
+    blocks = cut(names.mapInPandas(_blocks, "_d string, _n binary, token string, initial string"))
     pairs = token_pairs(blocks.select("_d", "token").distinct(), seen)
     # Equal initials, or one side a single word.
     other = blocks.select("_d", F.col("_n").alias("_o"), F.col("token").alias("other"), F.col("initial").alias("initial_o"))
@@ -278,7 +279,7 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     b = names.select(*(F.col(c).alias(o) for c, o in (("_n", "_o"), ("kind", "kind_o"), ("parts", "parts_o"), ("rank", "rank_o"))))
     wide = found.join(a, "_n").join(b, "_o")
     words = wide.select("_n", "_o", F.explode(F.array_union("parts", "parts_o")).alias("token")).join(seen, "token").groupBy("_n", "_o").agg(F.collect_list("token").alias("words"), F.collect_list("seen").alias("counts"))
-    checked = cut(wide.join(words, ["_n", "_o"]).mapInPandas(_compatible, "_d string, _n string, _o string, rank int, rank_o int"))
+    checked = cut(wide.join(words, ["_n", "_o"]).mapInPandas(_compatible, "_d string, _n binary, _o binary, rank int, rank_o int"))
     # Full names first: links of equal rank make clusters.
     linked = components(checked.where("rank = rank_o and rank >= 2"), "_n", "_o")
     own = names.join(linked.select(F.col("node").alias("_n"), "root"), "_n", "left").select("_n", "_d", "kind", "rank", F.coalesce("root", "_n").alias("root"))

@@ -121,7 +121,7 @@ def locations(df: DataFrame, entity: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(entity).cast("string").alias("_e"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"\d") & F.col("_e").isNotNull()).dropDuplicates(["_e"])
     strings = ", ".join(f"{c} string" for c in FIELDS)
-    mentions = cut(rows.mapInPandas(_parsed, f"_e string, {strings}").withColumn("_n", F.concat_ws("|", *FIELDS[:-1])))
+    mentions = cut(rows.mapInPandas(_parsed, f"_e string, {strings}").withColumn("_n", F.unhex(F.md5(F.concat_ws("|", *FIELDS[:-1])))))
     once = mentions.groupBy("_n").agg(*(F.min(c).alias(c) for c in FIELDS))
     spelled = cut(once.join(once.groupBy("street").agg(F.count("*").alias("seen")), "street"))
     keyed = spelled.withColumns({"backwards": F.reverse("street"), "consonants": F.regexp_replace("street", "(?<!^)[aeiouhy]", ""), "inner": F.substring("street", 3, 20)})
@@ -133,7 +133,7 @@ def locations(df: DataFrame, entity: str, text: str) -> DataFrame:
         links = near if links is None else links.unionByName(near)
     pairs = links.select(F.least("_n", "_o").alias("_n"), F.greatest("_n", "_o").alias("_o")).distinct()
     wide = pairs.join(spelled, "_n").join(spelled.select(F.col("_n").alias("_o"), *(F.col(c).alias(f"{c}_o") for c in (*FIELDS, "seen"))), "_o")
-    same = cut(wide.mapInPandas(_kept, "_n string, _o string"))
+    same = cut(wide.mapInPandas(_kept, "_n binary, _o binary"))
     # Spellings with city or pin make the clusters; those without join one only.
     known = spelled.select("_n", ((F.col("city") != "") | (F.col("pin") != "")).alias("_full"))
     told = same.join(known, "_n").join(known.select(F.col("_n").alias("_o"), F.col("_full").alias("_full_o")), "_o")
