@@ -82,14 +82,10 @@ def fake(kind: Column, value: Column, tok: Column, salt: Column) -> Column:
     trust = has("trust") & ~has("limited", "ltd", "llp")
     suffix = F.when(has("private limited"), "Private Limited").when(has("pvt. ltd.", "pvt ltd"), "Pvt. Ltd.").when(has("limited"), "Limited").when(has("ltd"), "Ltd.").when(has("llp"), "LLP").when(trust, "Family Trust").otherwise("Limited")
     firm = F.concat(F.when(trust, d.pick("firm", X.POOLS["trust"])).otherwise(d.pick("firm", X.POOLS["firm"])), F.lit(" "), suffix)
-    plot, phase, sector = d.text("plot", 10, 99), d.pick("phase", ["I", "II", "III"]), d.text("sector", 1, 25)
-    place = (
-        F.when(has("chakan", "birdewadi", "khed"), F.concat(F.lit("Plot "), plot, F.lit("/B, Phase "), phase, F.lit(", Chakan MIDC Industrial Area, Taluka Khed, Pune – 410 501, Maharashtra, India")))
-        .when(has("baner", "montreal"), F.concat(F.lit("Suite "), d.text("suite", 201, 599), F.lit(", Tower B, Millennium Business Park, Baner, Pune – 411 045, Maharashtra, India")))
-        .when(has("lower parel", "one world", "mumbai"), F.concat(d.pick("floor", ["12th", "15th", "18th", "22nd"]), F.lit(" Floor, Tower A, Peninsula Corporate Park, Lower Parel, Mumbai 400013, Maharashtra, India")))
-        .when(has("andheri", "sakinaka"), F.concat(d.pick("floor", ["4th", "5th", "6th"]), F.lit(" Floor, Crystal Business Plaza, Andheri-Kurla Road, Sakinaka, Mumbai 400072, Maharashtra, India")))
-        .otherwise(F.concat(F.lit("Plot "), plot, F.lit(", Sector "), sector, F.lit(", MIDC Industrial Estate, Pune 411018, Maharashtra, India")))
-    )
+    end = F.lit(X.REGIONS[-1][1])
+    for words, region in reversed(X.REGIONS[:-1]):
+        end = F.when(has(*words), F.lit(region)).otherwise(end)
+    place = F.concat(F.lit("Unit "), d.text("unit", 10, 999), F.lit(", Floor "), d.text("floor", 1, 25), F.lit(", "), end)
     # Few users share one domain, so the token's digits tell them apart inside the local part, where they keep it valid.
     user = F.when(has("cs"), F.lit("cs.compliance")).when(has("compliance", "connect"), F.lit("compliance")).otherwise(d.pick("user", X.POOLS["user"]))
     mail = F.concat(user, F.when(salt > 0, F.concat(F.lit("."), F.substring(tok, 1, 6), salt.cast("string"))).otherwise(F.lit("")), F.lit(f"@{X.MAIL_DOMAIN}"))
