@@ -222,12 +222,15 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def token_pairs(tokens: DataFrame, seen: DataFrame) -> DataFrame:
     """(_d, token, other): equal and similar tokens of a filing, each pair in both orders."""
     shape = "_d string, token string, size int, place int, piece string"
-    longer = tokens.where(F.length("token") > 3)
-    index = longer.mapInPandas(_keys(False), shape)
-    probe = longer.mapInPandas(_keys(True), shape).withColumnRenamed("token", "other")
-    near = index.join(probe, ["_d", "size", "place", "piece"]).where("token <> other").select("_d", "token", "other").distinct()
-    counted = near.join(seen, "token").join(seen.select(F.col("token").alias("other"), F.col("seen").alias("seen_other")), "other")
-    good = counted.mapInPandas(_verified, "_d string, token string, other string")
+    # Keys and words travel as 64-bit hashes; a collision only adds a pair that the check by words below turns down.
+    words = cut(tokens.where(F.length("token") > 3).withColumn("_w", F.xxhash64("_d", "token")))
+    key = F.xxhash64("_d", "size", "place", "piece").alias("_h")
+    index = words.mapInPandas(_keys(False), shape).select(key, F.xxhash64("_d", "token").alias("_w"))
+    probe = words.mapInPandas(_keys(True), shape).select(key, F.xxhash64("_d", "token").alias("_v"))
+    near = index.join(probe, "_h").where("_w <> _v").select("_w", "_v").distinct()
+    counted = words.join(seen, "token")
+    other = counted.select(F.col("_d").alias("_o"), F.col("token").alias("other"), F.col("_w").alias("_v"), F.col("seen").alias("seen_other"))
+    good = near.join(counted, "_w").join(other, "_v").where("_d = _o").mapInPandas(_verified, "_d string, token string, other string")
     back = good.select("_d", F.col("other").alias("token"), F.col("token").alias("other"))
     return good.unionByName(back).unionByName(tokens.select("_d", "token", F.col("token").alias("other"))).distinct()
 
