@@ -19,15 +19,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = cut(both.unionByName(both.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))).distinct())
     roots = cut(edges.groupBy("_u").agg(F.min("_v").alias("_m")).select(F.col("_u").alias("node"), F.least("_u", "_m").alias("root")))
     while True:
-        jumped = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_far")), "root").select("node", F.col("_far").alias("root"))
+        jumped = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_far")), "root").select("node", F.col("_far").alias("root"), F.col("root").alias("_was"))
         near = edges.join(jumped.select(F.col("node").alias("_v"), F.col("root").alias("_r")), "_v").groupBy(F.col("_u").alias("node")).agg(F.min("_r").alias("_r"))
         # The root's own label falls with its members', so that whole components join at once.
-        fell = jumped.join(near, "node").select("root", F.least("root", "_r").alias("_low")).groupBy("root").agg(F.min("_low").alias("_low"))
-        new = cut(jumped.join(fell, "root").select("node", F.col("_low").alias("root"), (F.col("_low") < F.col("root")).alias("_moved")))
-        moved = new.where("_moved").limit(1).count()
-        same = roots.join(new.select("node", F.col("root").alias("_now")), "node").where("root <> _now").limit(1).count() == 0
+        fell = jumped.join(near, "node").groupBy("root").agg(F.min(F.least("root", "_r")).alias("_low"))
+        new = cut(jumped.join(fell, "root").select("node", F.col("_low").alias("root"), (F.col("_low") != F.col("_was")).alias("_moved")))
         roots = new.select("node", "root")
-        if not moved and same:
+        if not new.where("_moved").limit(1).count():
             return roots
 
 

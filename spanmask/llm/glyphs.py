@@ -20,7 +20,7 @@ from spanmask.sources.lineage import cut
 # Letters of other alphabets with the shape of a Latin letter, in pairs.
 CYRILLIC = "АA ВB ЕE НH ІI ЈJ КK МM ОO РP СC ТT ХX ЅS ҮY аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ѵv"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϳj ρp"
-LATIN = "ɑa ɡg ıi"
+LATIN = "ɑa ɡg"
 #: Kinds of blank besides U+0020 and of hyphen besides U+002D.
 BLANKS = "\t               　"
 HYPHENS = "‐‑﹣－"

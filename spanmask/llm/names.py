@@ -90,11 +90,6 @@ def parse(text: str | None) -> tuple[str, list[str], str] | None:
     return "P", low, ""
 
 
-def oriented(parts: list[str], order: str, first: float, last: float) -> list[str]:
-    """A person's parts with the surname last; first and last are how surely these parts are surnames."""
-    return parts if order == "sorted" or first <= last or len(parts[-1]) < 2 and first < 0.5 else [*parts[1:], parts[0]]
-
-
 def rank(kind: str, parts: list[str]) -> int:
     """How complete a name is: 3 full, 2 without middle name, 1 with an initial or acronym, 0 one word."""
     if kind == "W":
@@ -185,23 +180,21 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["_e", "_d", "kind", "parts", "form", "rank"])
 
 
-def _turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(parts=[oriented(list(p), f, x, y) if k == "P" else list(p) for k, p, f, x, y in zip(pdf["kind"], pdf["parts"], pdf["form"], pdf["first"], pdf["last"])])[["_p", "parts"]]
+_PAYLOAD = "kind string, parts array<string>, counts map<string,int>, rank int"
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A name's identifying tokens, each with the initials that the rest may begin with (* for a single word)."""
+    """A name's identifying token with the initials that the rest may begin with (* for a single word), and the name."""
     for pdf in batches:
         rows = []
-        for d, n, kind, parts in zip(pdf["_d"], pdf["_n"], pdf["kind"], pdf["parts"]):
+        for d, n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_d", "_n", "kind", "parts", "counts", "rank"))):
             g = parts[0]
             if kind == "P":
                 got = {(parts[-1], i) for i in {g[0], SHORT.get(g, g)[0]}} if len(parts[-1]) > 2 else set()
             else:
                 got = {(g, "#" if kind == "O" else "*")} if kind in "OW" else set()
-            rows += [(d, n, s, i) for s, i in got]
-        yield pd.DataFrame(rows, columns=["_d", "_n", "token", "initial"])
+            rows += [(d, n, t, i, kind, parts, counts, level) for t, i in got]
+        yield pd.DataFrame(rows, columns=["_d", "_n", "token", "initial", "kind", "parts", "counts", "rank"])
 
 
 def _keys(probe: bool):
@@ -238,15 +231,15 @@ def token_pairs(tokens: DataFrame, seen: DataFrame) -> DataFrame:
 def _compatible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = []
-        for ka, pa, kb, pb, words, counts in zip(*(pdf[c] for c in ("kind", "parts", "kind_o", "parts_o", "words", "counts"))):
-            pa, pb, seen = list(pa), list(pb), dict(zip(words, counts))
+        for ka, pa, ca, kb, pb, cb in zip(*(pdf[c] for c in ("kind", "parts", "counts", "kind_o", "parts_o", "counts_o"))):
+            pa, pb, seen = list(pa), list(pb), dict(ca) | dict(cb)
             if ka == kb == "P":
                 keep.append(same_person(pa, pb, seen))
             elif ka == kb == "O":
                 keep.append(same_firm(pa, pb, seen))
             else:
                 keep.append("W" in (ka, kb))
-        yield pdf.loc[keep, ["_d", "_n", "_o", "rank", "rank_o"]]
+        yield pdf.loc[keep, ["_n", "_o", "rank", "rank_o"]]
 
 
 def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
@@ -260,45 +253,44 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     parsed = cut(rows.mapInPandas(_parsed, "_e string, _d string, kind string, parts array<string>, form string, rank int").withColumn("_p", F.unhex(F.md5(F.concat_ws("|", "kind", "form", F.concat_ws(" ", "parts"))))))
     spelled = parsed.groupBy("_p").agg(*(F.min(c).alias(c) for c in ("kind", "parts", "form", "rank")), F.count_distinct("_d").alias("times"))
     # How often a part stands last, over all filings, tells surnames from given names.
-    at = spelled.where("kind = 'P'").select("_p", "times", "form", F.posexplode("parts").alias("i", "token"), F.size("parts").alias("n"))
+    at = spelled.where("kind = 'P'").select("_p", "times", F.posexplode("parts").alias("i", "token"), F.size("parts").alias("n"))
     stands = at.groupBy("token").agg(((F.sum(F.when(F.expr("i = n - 1"), F.col("times")).otherwise(0)) + 0.5) / (F.sum("times") + 1)).alias("surely"))
     ends = at.where("i = 0 or i = n - 1").join(stands, "token").groupBy("_p").agg(F.min_by("surely", "i").alias("first"), F.max_by("surely", "i").alias("last"))
-    turned = spelled.join(ends, "_p", "left").select("_p", "kind", "parts", "form", F.coalesce("first", F.lit(0.0)).alias("first"), F.coalesce("last", F.lit(1.0)).alias("last"))
-    parts = turned.mapInPandas(_turned, "_p binary, parts array<string>")
+    turn = (F.col("kind") == "P") & (F.col("form") != "sorted") & (F.col("first") > F.col("last")) & ((F.length(F.element_at("parts", -1)) > 1) | (F.col("first") >= 0.5))
+    parts = spelled.join(ends, "_p", "left").select("_p", F.when(turn, F.expr("concat(slice(parts, 2, size(parts)), slice(parts, 1, 1))")).otherwise(F.col("parts")).alias("parts"))
     # Names go by 128-bit hashes from here on, so that joins move little.
     mentions = cut(parsed.select("_e", "_d", "kind", "rank", "_p").join(parts, "_p").withColumn("_n", F.unhex(F.md5(F.concat_ws("|", "_d", "kind", F.concat_ws(" ", "parts"))))))
-    names = cut(mentions.groupBy("_n").agg(*(F.min(c).alias(c) for c in ("_d", "kind", "parts", "rank"))))
-    seen = cut(names.select("_d", F.explode("parts").alias("token")).distinct().groupBy("token").agg(F.count("*").cast("int").alias("seen")))
-    blocks = cut(names.mapInPandas(_blocks, "_d string, _n binary, token string, initial string"))
+    plain_names = mentions.groupBy("_n").agg(*(F.min(c).alias(c) for c in ("_d", "kind", "parts", "rank")))
+    tokens = cut(plain_names.select("_n", "_d", F.explode("parts").alias("token")).distinct())
+    seen = cut(tokens.select("_d", "token").distinct().groupBy("token").agg(F.count("*").cast("int").alias("seen")))
+    counts = tokens.join(seen, "token").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("token", "seen"))).alias("counts"))
+    names = cut(plain_names.join(counts, "_n"))
+    blocks = cut(names.mapInPandas(_blocks, f"_d string, _n binary, token string, initial string, {_PAYLOAD}"))
     pairs = token_pairs(blocks.select("_d", "token").distinct(), seen)
-    # Equal initials, or one side a single word.
-    other = blocks.select("_d", F.col("_n").alias("_o"), F.col("token").alias("other"), F.col("initial").alias("initial_o"))
-    multi, single = "initial <> '*'", "initial = '*'"
-    left = blocks.where(multi).join(pairs, ["_d", "token"]).select("_d", "_n", "other", "initial")
-    full = left.join(other.withColumnRenamed("initial_o", "initial"), ["_d", "other", "initial"]).where("_n < _o").select("_d", "_n", "_o")
-    ones = blocks.where(single).join(pairs, ["_d", "token"]).select("_d", "_n", "other").join(other.where("initial_o <> '*'"), ["_d", "other"]).select("_d", "_n", "_o")
-    found = full.unionByName(ones).distinct()
-    a = names.select("_n", "kind", "parts", "rank")
-    b = names.select(*(F.col(c).alias(o) for c, o in (("_n", "_o"), ("kind", "kind_o"), ("parts", "parts_o"), ("rank", "rank_o"))))
-    wide = found.join(a, "_n").join(b, "_o")
-    words = wide.select("_n", "_o", F.explode(F.array_union("parts", "parts_o")).alias("token")).join(seen, "token").groupBy("_n", "_o").agg(F.collect_list("token").alias("words"), F.collect_list("seen").alias("counts"))
-    checked = cut(wide.join(words, ["_n", "_o"]).mapInPandas(_compatible, "_d string, _n binary, _o binary, rank int, rank_o int"))
+    # Equal initials, or one side a single word; what the check needs travels along.
+    renamed = {"_n": "_o", "token": "other"} | {c: f"{c}_o" for c in ("kind", "parts", "counts", "rank")}
+    there = blocks.withColumnsRenamed(renamed)
+    left = blocks.join(pairs, ["_d", "token"]).drop("token")
+    full = left.where("initial <> '*'").join(there, ["_d", "other", "initial"]).where("_n < _o")
+    ones = left.where("initial = '*'").drop("initial").join(there.where("initial <> '*'").drop("initial"), ["_d", "other"])
+    found = full.drop("initial").unionByName(ones)
+    checked = cut(found.mapInPandas(_compatible, "_n binary, _o binary, rank int, rank_o int").distinct())
     # Full names first: links of equal rank make clusters.
     linked = components(checked.where("rank = rank_o and rank >= 2"), "_n", "_o")
-    own = names.join(linked.select(F.col("node").alias("_n"), "root"), "_n", "left").select("_n", "_d", "kind", "rank", F.coalesce("root", "_n").alias("root"))
-    both = checked.select("_n", "_o", "rank", "rank_o").unionByName(checked.select(F.col("_o").alias("_n"), F.col("_n").alias("_o"), F.col("rank_o").alias("rank"), F.col("rank").alias("rank_o")))
+    own = cut(names.join(linked.select(F.col("node").alias("_n"), "root"), "_n", "left").select("_n", "rank", F.coalesce("root", "_n").alias("root")))
+    both = checked.where("rank < rank_o").unionByName(checked.where("rank > rank_o").select(F.col("_o").alias("_n"), F.col("_n").alias("_o"), F.col("rank_o").alias("rank"), F.col("rank").alias("rank_o")))
     call = names.where("kind = 'A'").select("_d", "_n", F.element_at("parts", 1).alias("call"))
     firms = names.where("kind = 'O'").select("_d", F.col("_n").alias("_o"), F.array_join(F.transform("parts", lambda w: F.substring(w, 1, 1)), "").alias("_l"))
     calls = firms.select("_d", "_o", F.explode(F.array(F.concat("_l", F.lit("l")), F.concat("_l", F.lit("pl")), "_l")).alias("call"))
-    both = cut(both.unionByName(call.join(calls, ["_d", "call"]).select("_n", "_o", F.lit(1).alias("rank"), F.lit(3).alias("rank_o"))))
-    fixed = cut(own.where("rank = 3").select("_n", "root"))
+    every = both.unionByName(call.join(calls, ["_d", "call"]).select("_n", "_o", F.lit(1).alias("rank"), F.lit(3).alias("rank_o")))
+    # Names already linked at a level decide together.
+    up = cut(every.join(own.select("_n", "root"), "_n").select("root", "_o", "rank"))
+    fixed = own.where("rank = 3").select("_n", "root")
     for level in (2, 1, 0):
-        mine = own.where(F.col("rank") == level)
-        target = both.where((F.col("rank") == level) & (F.col("rank_o") > level)).join(fixed.select(F.col("_n").alias("_o"), F.col("root").alias("_to")), "_o")
-        # Names already linked at this level decide together.
-        choice = mine.join(target.select("_n", "_to"), "_n").groupBy("root").agg(F.min("_to").alias("_lo"), F.max("_to").alias("_hi")).where("_lo = _hi").select("root", F.col("_lo").alias("_to"))
-        got = mine.join(choice, "root", "left")
-        got = got.where("_to is not null") if level == 0 else got
+        target = up.where(F.col("rank") == level).join(fixed.select(F.col("_n").alias("_o"), F.col("root").alias("_to")), "_o")
+        choice = target.groupBy("root").agg(F.min("_to").alias("_lo"), F.max("_to").alias("_hi")).where("_lo = _hi").select("root", F.col("_lo").alias("_to"))
+        # A single word that belongs to nothing is no name.
+        got = own.where(F.col("rank") == level).join(choice, "root", "left" if level else "inner")
         fixed = cut(fixed.unionByName(got.select("_n", F.coalesce("_to", "root").alias("root"))))
     return mentions.join(fixed, "_n").select(F.col("_e").alias(entity), F.col("root").alias("cluster"))
 
