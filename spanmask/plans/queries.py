@@ -10,7 +10,7 @@ from spanmask.operators import address as address_op
 from spanmask.operators import detect, evaluate, normalize, pseudonym, registry, resolve, rules, score
 from spanmask.functions.spantext import SPANS, span
 from spanmask.plans import pipeline
-from spanmask.sources.tables import table
+from spanmask.sources.tables import spread, table
 
 #: A fixed key, so that results can be compared; a deployment derives its own.
 MASTER, SALT = bytes(range(32)), bytes(range(16))
@@ -18,7 +18,7 @@ TOKEN_KEY, VAULT_KEY = pseudonym.derive(MASTER, SALT)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
+    return spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("t")))
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,7 +308,7 @@ def detect_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 def pii_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """Identifiers by type and language, with subtotals."""
-    docs = table(spark, sf, "documents").select("lang", F.explode(detect.identifiers(F.col("text"), ("email", "ipv4", "credit_card"))).alias("s"))
+    docs = spread(table(spark, sf, "documents").select("lang", "text")).select("lang", F.explode(detect.identifiers(F.col("text"), ("email", "ipv4", "credit_card"))).alias("s"))
     return docs.select("lang", F.col("s.type").alias("span_type")).rollup("span_type", "lang").agg(F.count("*").alias("n"))
 
 

@@ -28,3 +28,13 @@ def ship(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the folder ``sf_dir`` (a file or a folder of files)."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A small file is one partition, which would leave all cores but one idle in front of expensive expressions; a large
+    table has more partitions than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
