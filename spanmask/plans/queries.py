@@ -328,6 +328,9 @@ _OF_TYPE = lambda name, kind: f"SELECT doc_id AS k, '{kind}' AS span_type FROM (
 SQL |= {
     "pii_by_type": "SELECT span_type, lang, count(*) AS n FROM (" + " UNION ALL ".join(_OF_TYPE(n, k) for n, k in (("detect_email", "EMAIL"), ("detect_ipv4", "IP_ADDRESS"), ("detect_credit_card", "CREDIT_CARD"))) + ") JOIN documents ON k = doc_id GROUP BY ROLLUP (span_type, lang)",
 }
+SQL["detect_birth_dates"] = sql_found(
+    "(SELECT *, v AS text, t[greatest(b - 80, 0) + 1:b + length(v) + 80] AS w FROM " + sql_matches(BLOCKS_SQL, rules.DATE) + ")", "block_key", "DATE_OF_BIRTH", where=f"{_TRY} IS NOT NULL AND {_hit(X.BIRTH_CUE)} AND NOT {_hit(X.FILING_CUE)}"
+)
 QUERIES |= {f.__name__: f for f in (detect_address, detect_names, detect_birth_dates, detect_pii, pii_by_type, redact_documents, redact_filings)}
 
 
@@ -394,6 +397,23 @@ SQL |= {
     "pseudonymize_card": f"SELECT entity_id, w[1:4] || ' ' || w[5:8] || ' ' || w[9:12] || ' ' || w[13:16] AS pseudonym FROM (SELECT entity_id, c || ((10 - {_SUM} % 10) % 10) AS w FROM (SELECT entity_id, pseudonym AS c FROM ({_sql_fakes('CREDIT_CARD', _PARTIAL)})))",
     "vault_roundtrip": f"SELECT token, min(trim(text)) AS value, true AS guarded FROM (SELECT text, {sql_token('type', 'text')} AS token FROM {ENTITIES_SQL} AS x WHERE type IS NOT NULL AND text IS NOT NULL) GROUP BY token",
 }
+_LOUD = lambda out: f"CASE WHEN upper(v) = v AND lower(v) <> v THEN upper({out}) ELSE {out} END"
+_HAS = lambda *xs: "regexp_matches(lower(v), " + q("|".join(x.replace(".", r"\.") for x in xs)) + ")"
+_TITLE_OF = f"regexp_extract(v, {_TITLE_SQL})"
+_BODY_OF = f"trim(v[length({_TITLE_OF}) + 1:])"
+_GIVEN = f"CASE WHEN regexp_matches(lower({_TITLE_OF}), '^(?:ms\\.|mrs\\.|smt\\.)') THEN {sql_pick('given', X.POOLS['woman'])} ELSE {sql_pick('given', X.POOLS['man'])} END"
+_MIDDLE = f"CASE WHEN len(string_split_regex({_BODY_OF}, '\\s+')) >= 3 THEN {sql_pick('middle', X.POOLS['middle'])} || ' ' ELSE '' END"
+_TRUST = f"({_HAS('trust')} AND NOT {_HAS('limited', 'ltd', 'llp')})"
+_SUFFIX = f"CASE WHEN {_HAS('private limited')} THEN 'Private Limited' WHEN {_HAS('pvt. ltd.', 'pvt ltd')} THEN 'Pvt. Ltd.' WHEN {_HAS('limited')} THEN 'Limited' WHEN {_HAS('ltd')} THEN 'Ltd.' WHEN {_HAS('llp')} THEN 'LLP' WHEN {_TRUST} THEN 'Family Trust' ELSE 'Limited' END"
+_REGION = "CASE " + " ".join(f"WHEN {_HAS(*w)} THEN {q(r)}" for w, r in X.REGIONS[:-1]) + f" ELSE {q(X.REGIONS[-1][1])} END"
+_LETTER = lambda n: f"{q(X.LETTERS)}[{sql_draw(n, 1, len(X.LETTERS))}]"
+SQL |= {
+    "pseudonymize_person": _sql_fakes("PERSON", _LOUD(f"({_TITLE_OF} || ({_GIVEN}) || ' ' || ({_MIDDLE}) || {sql_pick('surname', X.POOLS['surname'])})")),
+    "pseudonymize_organization": _sql_fakes("ORGANIZATION", _LOUD(f"((CASE WHEN {_TRUST} THEN {sql_pick('firm', X.POOLS['trust'])} ELSE {sql_pick('firm', X.POOLS['firm'])} END) || ' ' || ({_SUFFIX}))")),
+    "pseudonymize_address": _sql_fakes("ADDRESS", _LOUD(f"('Unit ' || {sql_draw('unit', 10, 999)} || ', Floor ' || {sql_draw('floor', 1, 25)} || ', ' || ({_REGION}))")),
+    "pseudonymize_email": _sql_fakes("EMAIL", f"(CASE WHEN {_HAS('cs')} THEN 'cs.compliance' WHEN {_HAS('compliance', 'connect')} THEN 'compliance' ELSE {sql_pick('user', X.POOLS['user'])} END) || '@{X.MAIL_DOMAIN}'"),
+    "pseudonymize_tax_id": _sql_fakes("SSN_TAX_ID", f"CASE WHEN contains(v, '-') AND length(v) = 11 THEN {sql_draw('area', 100, 665)} || '-' || {sql_draw('group', 10, 99)} || '-' || {sql_draw('serial', 1000, 9999)} WHEN regexp_matches(v, '^\\d{{8}}$') THEN '0' || {sql_draw('din', 1000000, 9999999)} ELSE {_LETTER('a')} || {_LETTER('b')} || {_LETTER('c')} || 'PH' || {sql_draw('pan', 1000, 9999)} || {_LETTER('e')} END"),
+}
 QUERIES |= {f.__name__: f for f in (entity_tokens, pseudonym_map, vault_roundtrip)}
 QUERIES |= {f"pseudonymize_{n}": _fakes(k) for n, k in (("ip", "IP_ADDRESS"), ("dob", "DATE_OF_BIRTH"), ("phone", "PHONE"), ("card", "CREDIT_CARD"), ("person", "PERSON"), ("organization", "ORGANIZATION"), ("address", "ADDRESS"), ("email", "EMAIL"), ("tax_id", "SSN_TAX_ID"))}
 
