@@ -25,6 +25,8 @@ from spanmask.llm.sentences import INVISIBLE, _one_to_one
 #: Labelled records the field is fitted on, chosen by a hash of their ids. Every row is tagged.
 FIT_RECORDS = 2000
 ROUNDS = 2  # of messages over the skip edges
+#: Characters that are tagged at a time and tokens whose passes run side by side; they bound a worker's memory only.
+PORTION_CHARS, GROUP_TOKENS = 2_000_000, 30_000
 CLASSES = ("PERSON", "ORGANIZATION", "ADDRESS", "EMAIL", "PHONE", "SSN_TAX_ID", "CREDIT_CARD", "DATE_OF_BIRTH", "IP_ADDRESS")
 #: Classes whose pieces are words; a piece of the others is mostly one token, so one label will do.
 WORDED = CLASSES[:3]
@@ -269,7 +271,7 @@ class Tagger:
         at = 0
         while at < len(order):
             group, size = [], 0
-            while at < len(order) and len(group) < 512 and (not group or len(texts[order[at]]) * (len(group) + 1) <= 20_000):
+            while at < len(order) and (not group or len(texts[order[at]]) * (len(group) + 1) <= GROUP_TOKENS):
                 group.append(order[at])
                 size = len(texts[order[at]])
                 at += 1
@@ -481,7 +483,7 @@ def _batches(pdf: pd.DataFrame, tagger: Tagger) -> Iterator[tuple[object, str, l
     keys, texts, at = pdf["_k"].tolist(), pdf["_t"].tolist(), 0
     while at < len(texts):
         part, size = at, 0
-        while at < len(texts) and (at == part or size + len(texts[at]) < 400_000):
+        while at < len(texts) and (at == part or size + len(texts[at]) < PORTION_CHARS):
             size += len(texts[at])
             at += 1
         different = list(dict.fromkeys(texts[part:at]))
