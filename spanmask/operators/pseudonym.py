@@ -88,7 +88,7 @@ def fake(kind: Column, value: Column, tok: Column, salt: Column) -> Column:
     place = F.concat(F.lit("Unit "), d.text("unit", 10, 999), F.lit(", Floor "), d.text("floor", 1, 25), F.lit(", "), end)
     # Few users share one domain, so the token's digits tell them apart inside the local part, where they keep it valid.
     user = F.when(has("cs"), F.lit("cs.compliance")).when(has("compliance", "connect"), F.lit("compliance")).otherwise(d.pick("user", X.POOLS["user"]))
-    mail = F.concat(user, F.when(salt > 0, F.concat(F.lit("."), F.substring(tok, 1, 6), salt.cast("string"))).otherwise(F.lit("")), F.lit(f"@{X.MAIL_DOMAIN}"))
+    mail = F.concat(user, F.lit("."), F.substring(tok, 1, 8), F.when(salt > 0, salt.cast("string")).otherwise(F.lit("")), F.lit(f"@{X.MAIL_DOMAIN}"))
     near = v.contains("20") & (v.contains("+") | v.contains("91"))
     phone = F.when(near, F.concat(F.when(v.contains("+ "), F.lit("+ 91 20 ")).otherwise(F.lit("+91 20 ")), d.text("near", 4000, 4999), F.lit(" "), d.text("line", 1000, 9999))).otherwise(F.concat(F.lit("+91 98"), d.digits("mobile", 8)))
     letter = lambda n: F.substring(F.lit(X.LETTERS), d.between(n, 1, len(X.LETTERS)).cast("int"), F.lit(1))

@@ -411,7 +411,7 @@ SQL |= {
     "pseudonymize_person": _sql_fakes("PERSON", _LOUD(f"({_TITLE_OF} || ({_GIVEN}) || ' ' || ({_MIDDLE}) || {sql_pick('surname', X.POOLS['surname'])})")),
     "pseudonymize_organization": _sql_fakes("ORGANIZATION", _LOUD(f"((CASE WHEN {_TRUST} THEN {sql_pick('firm', X.POOLS['trust'])} ELSE {sql_pick('firm', X.POOLS['firm'])} END) || ' ' || ({_SUFFIX}))")),
     "pseudonymize_address": _sql_fakes("ADDRESS", _LOUD(f"('Unit ' || {sql_draw('unit', 10, 999)} || ', Floor ' || {sql_draw('floor', 1, 25)} || ', ' || ({_REGION}))")),
-    "pseudonymize_email": _sql_fakes("EMAIL", f"(CASE WHEN {_HAS('cs')} THEN 'cs.compliance' WHEN {_HAS('compliance', 'connect')} THEN 'compliance' ELSE {sql_pick('user', X.POOLS['user'])} END) || '@{X.MAIL_DOMAIN}'"),
+    "pseudonymize_email": _sql_fakes("EMAIL", f"(CASE WHEN {_HAS('cs')} THEN 'cs.compliance' WHEN {_HAS('compliance', 'connect')} THEN 'compliance' ELSE {sql_pick('user', X.POOLS['user'])} END) || '.' || tok[1:8] || '@{X.MAIL_DOMAIN}'"),
     "pseudonymize_tax_id": _sql_fakes("SSN_TAX_ID", f"CASE WHEN contains(v, '-') AND length(v) = 11 THEN {sql_draw('area', 100, 665)} || '-' || {sql_draw('group', 10, 99)} || '-' || {sql_draw('serial', 1000, 9999)} WHEN regexp_matches(v, '^\\d{{8}}$') THEN '0' || {sql_draw('din', 1000000, 9999999)} ELSE {_LETTER('a')} || {_LETTER('b')} || {_LETTER('c')} || 'PH' || {sql_draw('pan', 1000, 9999)} || {_LETTER('e')} END"),
 }
 QUERIES |= {f.__name__: f for f in (entity_tokens, pseudonym_map, vault_roundtrip)}
