@@ -43,9 +43,9 @@ def redact_text(df: DataFrame, text: str, key: bytes, out: str = "redacted", wit
 def detect_documents(blocks: DataFrame, key: str = "block_key", with_rules: bool = True, model_spans: str | None = None) -> DataFrame:
     """Blocks (key, doc_id, raw_text, ...) with spans in normal text, names of a document carried to all its blocks.
 
-    The names need one shuffle by document; detection and arbitration stay in the row.
+    The names need one shuffle by document; detection and arbitration stay in the row. ``key`` must be unique and not null.
     """
-    normal = with_normal_form(blocks)
+    normal = with_normal_form(blocks).drop("orig_to_norm")
     found = normal.withColumn("_c", candidates(F.col("norm_text"), with_rules))
     if model_spans:
         found = found.withColumn("_c", numbered(F.concat(F.col("_c"), F.coalesce(F.col(model_spans), NO_SPANS()))))
