@@ -1,10 +1,13 @@
 """Personal information in free text (problem 5): a skip-chain conditional random field.
 
 Texts become tokens, numbers and mail addresses in any disguise being one token each. Neighbouring tokens share a
-chain; tokens that recur in a text with a capital letter are joined by skip edges. Messages pass over chain and skip
-edges in turn (loopy belief propagation); the messages of the skip edges then stand beside the tokens' own scores
-in a Viterbi pass. Chain and token weights are fitted on labelled records by maximum likelihood, the skip edges'
-potentials on the labels that recurring tokens have there.
+chain; tokens that recur in a text with a capital letter, or in a script without case, are joined by skip edges.
+Messages pass over chain and skip edges in turn (loopy belief propagation); the messages of the skip edges then stand
+beside the tokens' own scores in a Viterbi pass. Chain and token weights are fitted on labelled records by maximum
+likelihood, the skip edges' potentials on the labels that recurring tokens have there.
+
+Texts of one document share their skip edges: the beliefs of a first pass are added up by document and word, also over
+words that are a letter away, and reach the equal and similar words of the document's other texts as one message each.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spanmask.llm.glyphs import visible
 from spanmask.llm.sentences import INVISIBLE, _one_to_one
+from spanmask.sources.lineage import cut
 
 #: Labelled records the field is fitted on, chosen by a hash of their ids. Every row is tagged.
 FIT_RECORDS = 2000
@@ -36,6 +40,8 @@ L = len(LABELS)
 CLASS_OF = np.array([0, *(i + 1 for i, c in enumerate(CLASSES) for _ in ("BI" if c in WORDED else "B"))])
 FIRST = [0, *(LABELS.index(f"B-{c}") for c in CLASSES)]
 NEXT = [0, *(LABELS.index(f"{'I' if c in WORDED else 'B'}-{c}") for c in CLASSES)]
+#: Labels to classes: a token's beliefs by class are its beliefs by label times this.
+TO_CLASS = np.eye(len(CLASSES) + 1, dtype=np.float32)[CLASS_OF]
 OFFSETS = (0, -1, 1, -2, 2)
 WIDTH = 14
 
@@ -139,6 +145,11 @@ def gold_labels(toks: list[tuple[str, str, int, int]], entities: list[tuple[int,
     return out
 
 
+def linkable(kind: str, word: str) -> bool:
+    """Whether a token may have skip edges: words of more than three letters with a capital, or in a script without case."""
+    return kind == "word" and len(word) > 3 and not word[0].islower()
+
+
 def parted(toks: list[tuple[str, str, int, int]], i: int, j: int) -> list[tuple[int, int]]:
     """A run of name tokens, parted at commas that don't follow a lone surname: those separate two names."""
     out, begin, n = [], i, 0
@@ -253,20 +264,19 @@ class Tagger:
 
     @staticmethod
     def recurring(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, int]]:
-        """Skip edges: each capitalised word with its last occurrence before."""
+        """Skip edges: each linkable word with its last occurrence before."""
         last: dict[str, int] = {}
         out = []
         for i, (kind, word, _, _) in enumerate(toks):
-            if kind == "word" and len(word) > 3 and word[0].isupper():
+            if linkable(kind, word):
                 low = word.lower()
                 if low in last:
                     out.append((last[low], i))
                 last[low] = i
         return out
 
-    def tag(self, texts: list[list[tuple[str, str, int, int]]]) -> list[np.ndarray]:
-        """Labels of each text's tokens."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+    def scored(self, texts: list[list[tuple[str, str, int, int]]], outer: list[dict[str, np.ndarray]] | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Groups of texts with their lengths and their tokens' scores, messages included; ``outer`` are those of other texts by word."""
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
         at = 0
         while at < len(order):
@@ -277,14 +287,46 @@ class Tagger:
                 at += 1
             lens = np.array([len(texts[i]) for i in group])
             em = self.emissions([self.ids(texts[i]) for i in group], size)
+            for r, g in enumerate(group):
+                if outer and outer[g]:
+                    for i, (kind, word, _, _) in enumerate(texts[g]):
+                        if linkable(kind, word) and (message := outer[g].get(word.lower())) is not None:
+                            em[r, i] += message
             edges = [(r, i, j) for r, g in enumerate(group) for i, j in self.recurring(texts[g])]
             if edges:
                 em = em + self.skips(em, lens, edges)
+            yield group, lens, em
+
+    def tag(self, texts: list[list[tuple[str, str, int, int]]], outer: list[dict[str, np.ndarray]] | None = None) -> list[np.ndarray]:
+        """Labels of each text's tokens."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        for group, lens, em in self.scored(texts, outer):
             tags = self.viterbi(em, lens)
             for r, i in enumerate(group):
                 out[i] = tags[r, : lens[r]]
         return out
 
+    def beliefs(self, texts: list[str]) -> list[dict[str, np.ndarray]]:
+        """The mean belief by class of each linkable word of each text, before it hears of other texts."""
+        toks = [tokens(clean(t)[0]) for t in texts]
+        places = [[(i, word.lower()) for i, (kind, word, _, _) in enumerate(ts) if linkable(kind, word)] for ts in toks]
+        some = [i for i, at in enumerate(places) if at]
+        out: list[dict[str, np.ndarray]] = [{} for _ in texts]
+        for group, lens, em in self.scored([toks[i] for i in some]):
+            p = self.marginals(em, lens)[0] @ TO_CLASS
+            for r, g in enumerate(group):
+                by: dict[str, list[int]] = defaultdict(list)
+                for i, word in places[some[g]]:
+                    by[word].append(i)
+                out[some[g]] = {word: p[r, at[0]] if len(at) == 1 else p[r, at].mean(axis=0) for word, at in by.items()}
+        return out
+
+    def message(self, belief: np.ndarray) -> np.ndarray:
+        """What tokens of such a belief by class (the last axis) say over a skip edge, as log messages by label."""
+        kernel = np.exp(self.skip[FIRST])[:, FIRST]
+        m = np.log(np.maximum(belief, 1e-9) @ kernel)[..., CLASS_OF]
+        return (m - m.mean(axis=-1, keepdims=True)).astype(np.float32)
+
     def skips(self, em: np.ndarray, lens: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
         """Loopy messages: the sum of log messages that reach each token over its skip edges."""
         rows = sorted({r for r, _, _ in edges})
@@ -401,12 +443,12 @@ class Tagger:
         self._fresh()
         return self
 
-    def found(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    def found(self, texts: list[str], outer: list[dict[str, np.ndarray]] | None = None) -> list[list[tuple[str, int, int]]]:
         """(label, start, end) in raw places of each text's personal information, organisations included."""
         cleaned = [clean(t) for t in texts]
         toks = [tokens(s) for s, _ in cleaned]
         out = []
-        for (s, at), ts, tags in zip(cleaned, toks, self.tag(toks)):
+        for (s, at), ts, tags in zip(cleaned, toks, self.tag(toks, outer)):
             got, i = [], 0
             tags = tags.tolist()
             while i < len(tags):
@@ -478,25 +520,98 @@ def fit(labelled: DataFrame, key: str, text: str, entities: str) -> Tagger | Non
     return Tagger().fit(*examples(records)) if records else None
 
 
-def _batches(pdf: pd.DataFrame, tagger: Tagger) -> Iterator[tuple[object, str, list[tuple[str, int, int]]]]:
-    """(key, text, findings) of each row, equal texts being tagged once, in portions of bounded size."""
-    keys, texts, at = pdf["_k"].tolist(), pdf["_t"].tolist(), 0
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of portions of bounded size."""
+    at = 0
     while at < len(texts):
         part, size = at, 0
         while at < len(texts) and (at == part or size + len(texts[at]) < PORTION_CHARS):
             size += len(texts[at])
             at += 1
-        different = list(dict.fromkeys(texts[part:at]))
-        got = dict(zip(different, tagger.found(different)))
-        yield from ((k, t, [x for x in got[t] if x[0] != "ORGANIZATION"]) for k, t in zip(keys[part:at], texts[part:at]))
+        yield part, at
+
 
+def _batches(pdf: pd.DataFrame, tagger: Tagger) -> Iterator[tuple[object, str, list[tuple[str, int, int]]]]:
+    """(key, text, findings) of each row; equal texts that hear nothing from other texts are tagged once in a portion."""
+    keys, texts = pdf["_k"].tolist(), pdf["_t"].tolist()
+    heard = pdf["_w"].tolist() if "_w" in pdf else [None] * len(texts)
+    for part, end in _portions(texts):
+        which: dict[tuple[str, int], int] = {}
+        rows, at = [], []
+        for i in range(part, end):
+            name = (texts[i], -1 if heard[i] is None else i)
+            if name not in which:
+                which[name] = len(rows)
+                rows.append(i)
+            at.append(which[name])
+        outer: list[dict[str, np.ndarray]] = [{} for _ in rows]
+        hearing = [r for r, i in enumerate(rows) if heard[i] is not None]
+        if hearing:
+            flat = np.concatenate([pdf["_b"].iloc[rows[r]] for r in hearing]).reshape(-1, len(CLASSES) + 1)
+            said, n = tagger.message(flat), 0
+            for r in hearing:
+                words = heard[rows[r]]
+                outer[r] = dict(zip(words, said[n : n + len(words)]))
+                n += len(words)
+        got = tagger.found([texts[i] for i in rows], outer)
+        yield from ((keys[i], texts[i], [x for x in got[a] if x[0] != "ORGANIZATION"]) for i, a in zip(range(part, end), at))
+
+
+def heard(one: DataFrame, tagger: Tagger) -> DataFrame:
+    """(_k, _w, _b): the words of each text that occur in other texts of its document ``_d``, and what those believe of them.
+
+    ``_b`` holds a belief by class for each word, the mean over the document's other texts in which the word or a
+    similar one stands. Similar are words that differ by one letter added, lost or changed, or by two letters side by
+    side in turned order. Sums are formed by document and word before any join, so that a document's size doesn't matter.
+    """
+    parts = [f"c{i}" for i in range(len(CLASSES) + 1)]
 
-def spans(df: DataFrame, key: str, text: str, tagger: Tagger | None) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, scopes, texts = pdf["_k"].tolist(), pdf["_d"].tolist(), pdf["_t"].tolist()
+            for part, end in _portions(texts):
+                different = list(dict.fromkeys(texts[part:end]))
+                got = dict(zip(different, tagger.beliefs(different)))
+                rows = [(keys[i], scopes[i], w, b) for i in range(part, end) for w, b in got[texts[i]].items()]
+                out = pd.DataFrame([r[:3] for r in rows], columns=["_k", "_d", "word"])
+                beliefs = np.array([r[3] for r in rows], np.float32).reshape(-1, len(parts))
+                yield out.assign(**{c: beliefs[:, i] for i, c in enumerate(parts)})
+
+    kinds = {c: one.schema[c].dataType.simpleString() for c in ("_k", "_d")}
+    # No word begins with anything but a capital or a letter beyond ASCII.
+    able = one.where(F.col("_d").isNotNull() & F.col("_t").rlike(r"[A-Z]|[^\x00-\x7F]"))
+    said = cut(able.mapInPandas(run, f"_k {kinds['_k']}, _d {kinds['_d']}, word string, " + ", ".join(f"{c} float" for c in parts)))
+    words = cut(said.groupBy("_d", "word").agg(F.count("*").alias("n"), *(F.sum(c).cast("float").alias(c) for c in parts)).withColumn("_i", F.xxhash64("_d", "word")))
+    # Words are similar if they are one word after the loss of a letter; pairs found by hashes are verified by the words.
+    shorter = F.expr("array_distinct(concat(array(word), transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1)))))")
+    meet = words.select("_i", "_d", F.explode(shorter).alias("s")).groupBy(F.xxhash64("_d", "s").alias("h")).agg(F.collect_set("_i").alias("ids")).where("size(ids) > 1")
+    near = meet.select(F.explode("ids").alias("_i"), "ids").select("_i", F.explode("ids").alias("_j")).where("_i <> _j").distinct()
+    there = words.select(F.col("_i").alias("_j"), F.col("_d").alias("_e"), F.col("word").alias("other"), "n", *parts)
+    close = F.expr("levenshtein(word, other) = 1 or length(word) = length(other) and levenshtein(word, other) = 2 and array_sort(split(word, '')) = array_sort(split(other, ''))")
+    both = near.join(words.select("_i", "_d", "word"), "_i").join(there, "_j").where("_d = _e").where(close)
+    every = words.unionByName(both.select("_d", "word", "n", *parts, "_i")).groupBy("_d", "word").agg(*(F.sum(c).alias(f"{c}_s") for c in ("n", *parts))).where("n_s > 1")
+    others = F.array(*((F.col(f"{c}_s") - F.col(c)) / (F.col("n_s") - 1) for c in parts)).cast("array<float>")
+    got = said.join(every, ["_d", "word"]).groupBy("_k").agg(F.collect_list(F.struct("word", others.alias("b"))).alias("m"))
+    return got.select("_k", F.col("m.word").alias("_w"), F.flatten("m.b").alias("_b"))
+
+
+def _rows(df: DataFrame, key: str, text: str, document: str | None) -> DataFrame:
+    return df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *([F.col(document).alias("_d")] if document else []))
+
+
+def _hearing(one: DataFrame, tagger: Tagger | None) -> DataFrame:
+    if "_d" not in one.columns or not tagger:
+        return one
+    return one.drop("_d").join(heard(one.where(visible(F.col("_t"))), tagger), "_k", "left")
+
+
+def spans(df: DataFrame, key: str, text: str, tagger: Tagger | None, document: str | None = None) -> DataFrame:
     """(key, label, pii_start, pii_end): a row for each piece of personal information in the text of each distinct ``key``.
 
     Null, empty and blank texts have none; repeated rows (same key) count once; the longest texts are read whole;
-    columns besides the two aren't read; without a fitted ``tagger`` there are no rows. Organisations are tagged as well,
-    so that they aren't taken for persons, but are no personal information.
+    columns besides these aren't read; without a fitted ``tagger`` there are no rows. Organisations are tagged as well,
+    so that they aren't taken for persons, but are no personal information. Texts of one ``document`` hear of each
+    other's words; without a ``document``, or where it is null, each text stands alone.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -505,8 +620,8 @@ def spans(df: DataFrame, key: str, text: str, tagger: Tagger | None) -> DataFram
             rows = [(k, c, a, b) for k, _, found in _batches(pdf, tagger) for c, a, b in found] if tagger else []
             yield pd.DataFrame(rows, columns=["_k", "label", "pii_start", "pii_end"])
 
-    one = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(visible(F.col("_t"))).dropDuplicates(["_k"])
-    return one.mapInPandas(run, f"_k {kind}, label string, pii_start int, pii_end int").withColumnRenamed("_k", key)
+    one = _rows(df, key, text, document).where(visible(F.col("_t"))).dropDuplicates(["_k"])
+    return _hearing(one, tagger).mapInPandas(run, f"_k {kind}, label string, pii_start int, pii_end int").withColumnRenamed("_k", key)
 
 
 def replaced(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -518,11 +633,11 @@ def replaced(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def masked(df: DataFrame, key: str, text: str, tagger: Tagger | None) -> DataFrame:
+def masked(df: DataFrame, key: str, text: str, tagger: Tagger | None, document: str | None = None) -> DataFrame:
     """(key, masked): each distinct ``key`` with its text, every piece of personal information as a typed placeholder.
 
     Null texts stay null, empty and blank ones stay as they are; the rest of a text isn't touched. Without a fitted
-    ``tagger`` texts stay as they are.
+    ``tagger`` texts stay as they are. ``document`` is as for spans.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -533,5 +648,5 @@ def masked(df: DataFrame, key: str, text: str, tagger: Tagger | None) -> DataFra
             rows += [(k, None) for k in pdf["_k"][pdf["_t"].isna()]]
             yield pd.DataFrame(rows, columns=["_k", "masked"])
 
-    one = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"])
-    return one.mapInPandas(run, f"_k {kind}, masked string").withColumnRenamed("_k", key)
+    one = _rows(df, key, text, document).dropDuplicates(["_k"])
+    return _hearing(one, tagger).mapInPandas(run, f"_k {kind}, masked string").withColumnRenamed("_k", key)

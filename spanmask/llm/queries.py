@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     tagger = personal.fit(records, "id", "text", "entities")
     shape = lambda df, key, origin: df.select(F.lit(origin).alias("origin"), F.col(key).cast("string").alias("rec_id"), "label", "pii_start", "pii_end")
     here = personal.spans(records.where("entities is null"), "id", "text", tagger)
-    there = personal.spans(blocks, "block_key", "raw_text", tagger)
+    there = personal.spans(blocks, "block_key", "raw_text", tagger, "doc_id")
     return shape(here, "id", "synthetic_benchmark").unionByName(shape(there, "block_key", "blocks"))
 
 
@@ -44,7 +44,7 @@ def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
     records, blocks = table(spark, sf, "synthetic_benchmark"), table(spark, sf, "blocks")
     tagger = personal.fit(records, "id", "text", "entities")
     here = personal.masked(records, "id", "text", tagger).select(F.lit("synthetic_benchmark").alias("origin"), F.col("id").alias("rec_id"), "masked")
-    there = personal.masked(blocks, "block_key", "raw_text", tagger).select(F.lit("blocks").alias("origin"), F.col("block_key").cast("string").alias("rec_id"), "masked")
+    there = personal.masked(blocks, "block_key", "raw_text", tagger, "doc_id").select(F.lit("blocks").alias("origin"), F.col("block_key").cast("string").alias("rec_id"), "masked")
     return here.unionByName(there)
 
 

@@ -189,3 +189,24 @@ def test_queries_are_whole():
 
     code = inspect.getsource(queries)
     assert ".limit(" not in code and "sample" not in code
+
+
+def test_texts_of_a_document_hear_of_each_other(spark, tagger):
+    told = "The meeting of 01/02/1990 was held by Asha Wexlorny again, said Asha Wexlorny."
+    rows = [(1, "d", told), (2, "d", told + " "), (3, "d", "Wexlorny"), (4, "d", "Wexlrony"), (5, "e", "Wexlorny"), (6, None, "Wexlorny"), (7, "d", "Monday"), (8, "d", "वेक्सलोर"), (9, "d", "वेक्सलोर")]
+    df = spark.createDataFrame(rows, "k bigint, d string, t string")
+    one = df.select(*(personal.F.col(a).alias(b) for a, b in (("k", "_k"), ("t", "_t"), ("d", "_d"))))
+    heard = {r["_k"]: dict(zip(r["_w"], zip(*[iter(r["_b"])] * 10))) for r in personal.heard(one, tagger).collect()}
+    assert sorted(heard) == [1, 2, 3, 4, 8, 9] and set(heard[3]) == {"wexlorny"} and set(heard[4]) == {"wexlrony"}
+    own = tagger.beliefs([told, "Wexlorny", "Wexlrony"])
+    want = (2 * own[0]["wexlorny"] + own[2]["wexlrony"]) / 3  # leaves out its own belief
+    assert abs(want - heard[3]["wexlorny"]).max() < 1e-5 and want.argmax() == 1
+    # A word that hardly looks like a name on its own is one by its document.
+    odd = personal.Tagger()
+    odd.__setstate__(tagger.__getstate__())
+    odd.begin = tagger.begin.copy()
+    alone = odd.emissions([odd.ids(personal.tokens("Wexlorny"))], 1)[0, 0] + odd.begin
+    first = personal.LABELS.index("B-PERSON")
+    odd.begin[first] -= alone[first] - alone[0] + 0.1
+    spans = lambda *doc: {r["_k"] for r in personal.spans(one, "_k", "_t", odd, *doc).where("label = 'PERSON' and pii_start = 0").collect()}
+    assert 3 in spans("_d") and not {3, 5, 6} & spans() and not {5, 6} & spans("_d")
