@@ -3,8 +3,8 @@
 Tokens that identify (a person's possible surnames, an organisation's first word) are linked by a pigeonhole segment
 join: each is cut into EDITS + 1 segments, which stand in an inverted index by filing, length and segment; a token
 within EDITS edits holds one of them at a shifted place. Pairs from the index are verified with a banded edit
-distance. Names that share an identifying token are then compared part by part (order, initials, short forms,
-legal forms); full names form clusters, and shorter forms join the one cluster they can belong to.
+distance. A person's given name must begin alike or be linked in the same way. Names that share an identifying
+token are then compared part by part (order, initials, short forms, legal forms); full names form clusters, and shorter forms join the one cluster they can belong to.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ WORDS = dict(
 )
 SHORT = dict(
     p.split("=")
-    for p in "vicky=victoria vicki=victoria nick=nicholas theo=theodore teddy=theodore dan=daniel danny=daniel bill=william will=william billy=william sue=susan susie=susan beth=elizabeth liz=elizabeth betty=elizabeth lizzie=elizabeth sasha=alexander alex=alexander sandy=alexander peg=margaret peggy=margaret maggie=margaret meg=margaret bob=robert rob=robert bobby=robert tom=thomas tommy=thomas mike=michael mick=michael steve=stephen steven=stephen pat=patricia patty=patricia tricia=patricia kate=katherine kathy=katherine katie=katherine catherine=katherine jen=jennifer jenny=jennifer greg=gregory ed=edward eddie=edward ned=edward rick=richard dick=richard rich=richard pepe=jose venky=venkatesh tanu=tanvi ganu=ganesh harsh=harshad sid=siddharth subbu=subramaniam mohd=mohammed mohammad=mohammed muhammad=mohammed meena=meenakshi mini=meenakshi puja=pooja dipak=deepak lila=leela leila=leela chander=chandra suneeta=sunita kittu=krishna krish=krishna babu=prakash".split()
+    for p in "vicky=victoria vicki=victoria nick=nicholas theo=theodore teddy=theodore dan=daniel danny=daniel bill=william will=william billy=william sue=susan susie=susan beth=elizabeth liz=elizabeth betty=elizabeth lizzie=elizabeth sasha=alexander alex=alexander sandy=alexander peg=margaret peggy=margaret maggie=margaret meg=margaret bob=robert rob=robert bobby=robert tom=thomas tommy=thomas mike=michael mick=michael steve=stephen steven=stephen pat=patricia patty=patricia tricia=patricia kate=katherine kathy=katherine katie=katherine catherine=katherine jen=jennifer jenny=jennifer greg=gregory ed=edward eddie=edward ned=edward rick=richard dick=richard rich=richard pepe=jose venky=venkatesh tanu=tanvi ganu=ganesh harsh=harshad sid=siddharth subbu=subramaniam mohd=mohammed mohammad=mohammed muhammad=mohammed meena=meenakshi mini=meenakshi puja=pooja dipak=deepak lila=leela leila=leela chander=chandra suneeta=sunita kittu=krishna krish=krishna babu=prakash bijoy=vijay eshwar=ishwar".split()
 )
 _INITIALS = re.compile(r"[A-Z]{2,3}")
 _ACRONYM = re.compile(r"(?:[A-Z]\.?){3,6}\Z")
@@ -184,7 +184,7 @@ _PAYLOAD = "kind string, parts array<string>, counts map<string,int>, rank int"
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A name's identifying token with the initials that the rest may begin with (* for a single word), and the name."""
+    """A name's identifying token with the initials that the rest may begin with (* for a single word), its given name in full, and the name."""
     for pdf in batches:
         rows = []
         for d, n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_d", "_n", "kind", "parts", "counts", "rank"))):
@@ -193,8 +193,9 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 got = {(parts[-1], i) for i in {g[0], SHORT.get(g, g)[0]}} if len(parts[-1]) > 2 else set()
             else:
                 got = {(g, "#" if kind == "O" else "*")} if kind in "OW" else set()
-            rows += [(d, n, t, i, kind, parts, counts, level) for t, i in got]
-        yield pd.DataFrame(rows, columns=["_d", "_n", "token", "initial", "kind", "parts", "counts", "rank"])
+            given = SHORT.get(g, g) if kind == "P" else None
+            rows += [(d, n, t, i, given, kind, parts, counts, level) for t, i in got]
+        yield pd.DataFrame(rows, columns=["_d", "_n", "token", "initial", "given", "kind", "parts", "counts", "rank"])
 
 
 def _keys(probe: bool):
@@ -265,15 +266,21 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     seen = cut(tokens.select("_d", "token").distinct().groupBy("token").agg(F.count("*").cast("int").alias("seen")))
     counts = tokens.join(seen, "token").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("token", "seen"))).alias("counts"))
     names = cut(plain_names.join(counts, "_n"))
-    blocks = cut(names.mapInPandas(_blocks, f"_d string, _n binary, token string, initial string, {_PAYLOAD}"))
+    blocks = cut(names.mapInPandas(_blocks, f"_d string, _n binary, token string, initial string, given string, {_PAYLOAD}"))
     pairs = token_pairs(blocks.select("_d", "token").distinct(), seen)
     # Equal initials, or one side a single word; what the check needs travels along.
     renamed = {"_n": "_o", "token": "other"} | {c: f"{c}_o" for c in ("kind", "parts", "counts", "rank")}
-    there = blocks.withColumnsRenamed(renamed)
-    left = blocks.join(pairs, ["_d", "token"]).drop("token")
+    # Given names that differ in their first letter have no initial in common; how frequent they are is for the check by parts.
+    given = blocks.where("given is not null").select("_d", F.col("given").alias("token")).distinct()
+    apart = token_pairs(given, given.select("token").distinct().withColumn("seen", F.lit(1))).where("substring(token, 1, 1) <> substring(other, 1, 1)").select("_d", F.col("token").alias("given"), F.col("other").alias("given_o"))
+    once = F.col("initial") == F.substring("given", 1, 1)
+    more = blocks.where(once).drop("initial").join(pairs, ["_d", "token"]).drop("token").join(apart, ["_d", "given"]).drop("given")
+    more = more.join(blocks.where(once).drop("initial").withColumnsRenamed(renamed | {"given": "given_o"}), ["_d", "other", "given_o"]).drop("given_o").where("_n < _o")
+    there = blocks.drop("given").withColumnsRenamed(renamed)
+    left = blocks.drop("given").join(pairs, ["_d", "token"]).drop("token")
     full = left.where("initial <> '*'").join(there, ["_d", "other", "initial"]).where("_n < _o")
     ones = left.where("initial = '*'").drop("initial").join(there.where("initial <> '*'").drop("initial"), ["_d", "other"])
-    found = full.drop("initial").unionByName(ones)
+    found = full.drop("initial").unionByName(ones).unionByName(more)
     checked = cut(found.mapInPandas(_compatible, "_n binary, _o binary, rank int, rank_o int").distinct())
     # Full names first: links of equal rank make clusters.
     linked = components(checked.where("rank = rank_o and rank >= 2"), "_n", "_o")

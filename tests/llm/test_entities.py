@@ -45,6 +45,12 @@ def test_scopes_ambiguity_and_nothing(spark):
     assert names.linked_pairs(fn(spark.createDataFrame([], SCHEMA)), "entity_id").count() == 0
 
 
+def test_given_names_that_begin_with_another_letter(spark):
+    fn = lambda df: names.variants(df, "entity_id", "doc_id", "text")
+    groups = [["Iqbal Krebarski", "Eqbal Krebarski"], ["Vijay Taleldski", "Bijoy Taleldski"], ["Eshwar Gorabnath", "Ishwar Gorabnath", "Ishwar Gorabnathh"]]
+    assert clusters(spark, fn, [t for g in groups for t in g] + ["Asha Krebarski", "Iqbal Gorley", "Akbar Gorley"]) == pairs(*groups)
+
+
 def test_segments_find_every_word_within_two_edits():
     rng = random.Random(1)
     for _ in range(3000):
