@@ -26,6 +26,13 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "blocks").select("block_key", F.col("norm_text").alias("t")).where("t is not null").dropDuplicates(["block_key"])
 
 
+def _every_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct blocks with their normal text, formed here from the raw text where no cleaner gave one."""
+    one = table(spark, sf, "blocks").select("block_key", "norm_text", "raw_text").where("norm_text is not null or raw_text is not null").dropDuplicates(["block_key"])
+    made = normalize.normalized(F.when(F.col("norm_text").isNull(), F.col("raw_text")))
+    return one.select("block_key", F.coalesce("norm_text", made["norm_text"]).alias("t"))
+
+
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "spans").dropDuplicates(["entity_id"])
 
@@ -287,12 +294,12 @@ QUERIES |= {f.__name__: f for f in (score_spans, merge_duplicates, resolve_confl
 
 
 def detect_address(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(_blocks(spark, sf), "block_key", address_op.address(F.col("t")))
+    return _found(_every_block(spark, sf), "block_key", address_op.address(F.col("t")))
 
 
 def detect_names(spark: SparkSession, sf: str) -> DataFrame:
     """Organisations and persons by rule."""
-    return _found(_blocks(spark, sf), "block_key", F.concat(rules.organisation(F.col("t")), rules.person(F.col("t"))))
+    return _found(_every_block(spark, sf), "block_key", F.concat(rules.organisation(F.col("t")), rules.person(F.col("t"))))
 
 
 def detect_birth_dates(spark: SparkSession, sf: str) -> DataFrame:

@@ -223,3 +223,14 @@ def test_own_detector(spark):
         assert [(x["type"], x["start"]) for x in got] == [("PLATE", 4)]
     finally:
         del detect.DETECTORS["plate"]
+
+
+def test_blocks_that_were_never_cleaned_are_read(spark, tmp_path):
+    from spanmask.plans import queries
+
+    rows = [(1, "Mr.\u00a0Rajesh Hegde spoke.", None), (1, "Mr.\u00a0Rajesh Hegde spoke.", None), (2, "Mr. Rajesh Hegde spoke.", "Mr. Rajesh Hegde spoke."), (3, None, None), (4, "", None)]
+    rows += [(5, "Office at 12, MG Road, Mumbai 400001, Maharashtra", None), (6, "Office at 12, MG Road, Mumbai 400001, Maharashtra", "Office at 12, MG Road, Mumbai 400001, Maharashtra")]
+    spark.createDataFrame(rows, "block_key bigint, raw_text string, norm_text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    for query, one, other in ((queries.detect_names, 1, 2), (queries.detect_address, 5, 6)):
+        got = [tuple(r) for r in query(spark, str(tmp_path)).collect()]
+        assert [r[1:] for r in got if r[0] == one] == [r[1:] for r in got if r[0] == other] != [], query
