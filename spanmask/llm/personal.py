@@ -4,10 +4,12 @@ Texts become tokens, numbers and mail addresses in any disguise being one token
 chain; tokens that recur in a text with a capital letter, or in a script without case, are joined by skip edges.
 Messages pass over chain and skip edges in turn (loopy belief propagation); the messages of the skip edges then stand
 beside the tokens' own scores in a Viterbi pass. Chain and token weights are fitted on labelled records by maximum
-likelihood, the skip edges' potentials on the labels that recurring tokens have there.
+likelihood; in the last epochs, the skip edges' potentials are fitted together with them, by the pair beliefs of the messages.
 
-Texts of one document share their skip edges: the beliefs of a first pass are added up by document and word, also over
-words that are a letter away, and reach the equal and similar words of the document's other texts as one message each.
+Texts of one document share their skip edges: a first pass tags every text and gives its words' beliefs, which are
+added up by document and word, also over words that are a letter away. They reach the equal and similar words of the
+document's other texts as one message each. As in residual belief propagation, a message is sent only where it can
+change something: to words whose own belief is not settled yet; texts without such a word are done after the first pass.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmask.llm.cluster import within
 from spanmask.llm.glyphs import visible
 from spanmask.llm.sentences import INVISIBLE, _one_to_one
 from spanmask.sources.lineage import cut
@@ -29,6 +33,9 @@ from spanmask.sources.lineage import cut
 #: Labelled records the field is fitted on, chosen by a hash of their ids. Every row is tagged.
 FIT_RECORDS = 2000
 ROUNDS = 2  # of messages over the skip edges
+EPOCHS, JOINT = 10, 3  # of the fit, and how many of them, the last, have skip edges
+#: A word whose greatest belief is this or more hears no other text: a message of MESSAGE at most (in logs) can't change its label.
+SETTLED, MESSAGE = 0.98, 3.0
 #: Characters that are tagged at a time and tokens whose passes run side by side; they bound a worker's memory only.
 PORTION_CHARS, GROUP_TOKENS = 2_000_000, 30_000
 CLASSES = ("PERSON", "ORGANIZATION", "ADDRESS", "EMAIL", "PHONE", "SSN_TAX_ID", "CREDIT_CARD", "DATE_OF_BIRTH", "IP_ADDRESS")
@@ -42,12 +49,15 @@ FIRST = [0, *(LABELS.index(f"B-{c}") for c in CLASSES)]
 NEXT = [0, *(LABELS.index(f"{'I' if c in WORDED else 'B'}-{c}") for c in CLASSES)]
 #: Labels to classes: a token's beliefs by class are its beliefs by label times this.
 TO_CLASS = np.eye(len(CLASSES) + 1, dtype=np.float32)[CLASS_OF]
+#: Classes whose beliefs travel between texts: none (with all classes of numbers, which aren't words) and those of words.
+HEARD = len(WORDED) + 1
 OFFSETS = (0, -1, 1, -2, 2)
 WIDTH = 14
 
 # The shapes of numbers and addresses that are one token.
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|January|February|March|April|June|July|August|September|October|November|December)"
 SHAPES = {
+    "blob": r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*\d)[A-Za-z0-9+/]{30,}={0,2}",
     "mail": r"[A-Za-z0-9._+%-]+(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?|\sAT\s)[A-Za-z0-9-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sDOT\s)[A-Za-z0-9-]+)+",
     "ip": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     "date": rf"\b\d{{1,2}}[-./]\d{{1,2}}[-./]\d{{4}}\b|\b\d{{4}}-\d\d-\d\d\b|\b\d{{1,2}}-{_MONTH}-\d{{4}}\b|\b\d{{1,2}} {_MONTH} \d{{4}}\b|\b{_MONTH} \d{{1,2}}, \d{{4}}\b",
@@ -145,11 +155,31 @@ def gold_labels(toks: list[tuple[str, str, int, int]], entities: list[tuple[int,
     return out
 
 
+#: Cells and headings that hold nothing personal, and an encoded text; a fit learns them beside its records.
+NOTHING = (
+    "N.A.", "Nil", "-", "Total", "Particulars", "Name", "Sr. No.", "Not applicable", "Remarks", "Date", "Place", "Signature", "Amount", "Notes", "Contents", "General Information", "Risk Factors", "Annexure A", "Fiscal 2021", "Page 7 of 90", "Dated: 03/04/2021",
+    "Name of the director", "DRAFT PROSPECTUS", "Strictly confidential", "Secured loans", "Face value", "See Section 9", "Under the Act, the charge stands.", "Total income fell. Under clause 4, no dividend is due.", "Quote our reference in all letters.",
+    "UEsDBBQABgAIAAAAIQDfpNJsWgEAACAFAAATAAgCW0NvbnRlbnRfVHlwZXNdLnhtbA==", "The seal is as filed.\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8AMIIBCgKCAQEAu1SU1LfVLPHCozMxH2Mo4lgOEePzNm0tRgeLezV6ffAt0g",
+)
+
+
 def linkable(kind: str, word: str) -> bool:
     """Whether a token may have skip edges: words of more than three letters with a capital, or in a script without case."""
     return kind == "word" and len(word) > 3 and not word[0].islower()
 
 
+@lru_cache(100_000)
+def near_keys(word: str) -> tuple[tuple, tuple]:
+    """(index, probe): of words a letter apart, one's index shares a key with the other's probe.
+
+    An edit leaves one half of a word whole; two letters turned about the middle leave the sorted letters.
+    """
+    n, turned = len(word), "".join(sorted(word))
+    index = ((n, 0, word[: n // 2]), (n, 1, word[n // 2 :]), (n, 2, turned))
+    probe = tuple(k for m in (n - 1, n, n + 1) for k in ((m, 0, word[: m // 2]), (m, 1, word[n - (m - m // 2) :]))) + ((n, 2, turned),)
+    return index, probe
+
+
 def parted(toks: list[tuple[str, str, int, int]], i: int, j: int) -> list[tuple[int, int]]:
     """A run of name tokens, parted at commas that don't follow a lone surname: those separate two names."""
     out, begin, n = [], i, 0
@@ -264,14 +294,20 @@ class Tagger:
 
     @staticmethod
     def recurring(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, int]]:
-        """Skip edges: each linkable word with its last occurrence before."""
+        """Skip edges: each linkable word with the last occurrence before of the same word, and of one that is a letter apart."""
         last: dict[str, int] = {}
+        index: dict[tuple, str] = {}
         out = []
         for i, (kind, word, _, _) in enumerate(toks):
             if linkable(kind, word):
                 low = word.lower()
                 if low in last:
                     out.append((last[low], i))
+                if len(low) > 4:
+                    mine, probe = near_keys(low)
+                    others = {o for k in probe if (o := index.get(k)) is not None and o != low and within(o, low, 1) <= 1}
+                    out += [(last[o], i) for o in others]
+                    index.update(dict.fromkeys(mine, low))
                 last[low] = i
         return out
 
@@ -294,7 +330,7 @@ class Tagger:
                             em[r, i] += message
             edges = [(r, i, j) for r, g in enumerate(group) for i, j in self.recurring(texts[g])]
             if edges:
-                em = em + self.skips(em, lens, edges)
+                em = em + self.skips(em, lens, edges)[0]
             yield group, lens, em
 
     def tag(self, texts: list[list[tuple[str, str, int, int]]], outer: list[dict[str, np.ndarray]] | None = None) -> list[np.ndarray]:
@@ -306,29 +342,37 @@ class Tagger:
                 out[i] = tags[r, : lens[r]]
         return out
 
-    def beliefs(self, texts: list[str]) -> list[dict[str, np.ndarray]]:
-        """The mean belief by class of each linkable word of each text, before it hears of other texts."""
-        toks = [tokens(clean(t)[0]) for t in texts]
-        places = [[(i, word.lower()) for i, (kind, word, _, _) in enumerate(ts) if linkable(kind, word)] for ts in toks]
-        some = [i for i, at in enumerate(places) if at]
-        out: list[dict[str, np.ndarray]] = [{} for _ in texts]
-        for group, lens, em in self.scored([toks[i] for i in some]):
+    def first(self, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[str], np.ndarray, int]]:
+        """(findings, linkable words, their mean beliefs, how many are open) of each text, before it hears of other texts.
+
+        The words that aren't settled, the open ones, come first.
+        """
+        cleaned = [clean(t) for t in texts]
+        toks = [tokens(s) for s, _ in cleaned]
+        out: list = [([], [], np.zeros((0, HEARD), np.float32), 0)] * len(texts)
+        for group, lens, em in self.scored(toks):
+            tags = self.viterbi(em, lens)
             p = self.marginals(em, lens)[0] @ TO_CLASS
+            p[..., 0] += p[..., HEARD:].sum(axis=2)
             for r, g in enumerate(group):
-                by: dict[str, list[int]] = defaultdict(list)
-                for i, word in places[some[g]]:
-                    by[word].append(i)
-                out[some[g]] = {word: p[r, at[0]] if len(at) == 1 else p[r, at].mean(axis=0) for word, at in by.items()}
+                by: dict[str, list[int]] = {}
+                for i, (kind, word, _, _) in enumerate(toks[g]):
+                    if linkable(kind, word):
+                        by.setdefault(word.lower(), []).append(i)
+                sure = {word: min(float(p[r, i, :HEARD].max()) for i in at) >= SETTLED for word, at in by.items()}
+                words = sorted(by, key=sure.__getitem__)
+                means = np.stack([p[r, by[w], :HEARD].mean(axis=0) for w in words]) if words else out[g][2]
+                out[g] = self.decoded(cleaned[g], toks[g], tags[r, : lens[r]]), words, means, sum(not x for x in sure.values())
         return out
 
     def message(self, belief: np.ndarray) -> np.ndarray:
         """What tokens of such a belief by class (the last axis) say over a skip edge, as log messages by label."""
-        kernel = np.exp(self.skip[FIRST])[:, FIRST]
+        kernel = np.exp(self.skip[FIRST[:HEARD]])[:, FIRST]
         m = np.log(np.maximum(belief, 1e-9) @ kernel)[..., CLASS_OF]
         return (m - m.mean(axis=-1, keepdims=True)).astype(np.float32)
 
-    def skips(self, em: np.ndarray, lens: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
-        """Loopy messages: the sum of log messages that reach each token over its skip edges."""
+    def skips(self, em: np.ndarray, lens: np.ndarray, edges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Loopy messages: the sum of log messages that reach each token over its skip edges, and each edge's belief in pairs of classes."""
         rows = sorted({r for r, _, _ in edges})
         local = {r: k for k, r in enumerate(rows)}
         r, i, j = (np.array(x) for x in zip(*((local[r], i, j) for r, i, j in edges)))
@@ -350,9 +394,23 @@ class Tagger:
             np.add.at(total, (r, i), back)
         out = np.zeros_like(em)
         out[rows] = total
-        return out
+        pair = np.einsum("el,lm,em->elm", a, kernel, b)
+        pair = np.einsum("lc,elm,md->ecd", TO_CLASS, pair, TO_CLASS)
+        return out, pair / pair.sum(axis=(1, 2), keepdims=True)
 
-    def fit(self, texts: list[list[tuple[str, str, int, int]]], gold: list[list[int]], epochs: int = 10, rate: float = 0.04, penalty: float = 1e-5) -> "Tagger":
+    def pulls(self, texts: list[list[tuple[str, str, int, int]]], gold: list[list[int]]) -> np.ndarray:
+        """Where the fit of the skip potentials starts: how much more often joined tokens share a pair of classes than chance has it, in half measure."""
+        k = len(CLASSES) + 1
+        pairs = np.full((k, k), 0.5)
+        for toks, y in zip(texts, gold):
+            for i, j in self.recurring(toks):
+                a, b = CLASS_OF[y[i]], CLASS_OF[y[j]]
+                pairs[a, b] += 0.5
+                pairs[b, a] += 0.5
+        share = pairs.sum(axis=1) / pairs.sum()
+        return np.clip(0.5 * np.log(pairs / pairs.sum() / np.outer(share, share)), -MESSAGE / 2, MESSAGE / 2).astype(np.float32)
+
+    def fit(self, texts: list[list[tuple[str, str, int, int]]], gold: list[list[int]], epochs: int = EPOCHS, rate: float = 0.04, penalty: float = 1e-5) -> "Tagger":
         counts: dict[str, int] = defaultdict(int)
         types: dict[tuple[str, str], int] = {("edge", ""): 0}
         rows = []
@@ -376,7 +434,9 @@ class Tagger:
         order = sorted((i for i, t in enumerate(rows) if t), key=lambda i: len(rows[i]))
         groups = [order[i : i + 128] for i in range(0, len(order), 128)]
         w = np.zeros((len(OFFSETS), len(self.features), L), np.float32)
-        params = [w, self.steps, self.begin]
+        pull = self.pulls(texts, gold)
+        joined = [self.recurring(toks) for toks in texts]
+        params = [w, self.steps, self.begin, pull]
         moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
         t = 0
         rng = np.random.default_rng(0)
@@ -394,6 +454,16 @@ class Tagger:
                 inverse = inverse.reshape(padded.shape)
                 table_ = w[:, index[used]].sum(axis=2)
                 em = sum(table_[k][inverse[:, 2 + o : 2 + o + n]] for k, o in enumerate(OFFSETS))
+                edges = [(r, i, j) for r, g_ in enumerate(group) for i, j in joined[g_]] if epoch >= epochs - JOINT else []
+                gp = np.zeros_like(pull)
+                if edges:
+                    self.skip = pull[CLASS_OF[:, None], CLASS_OF[None, :]]
+                    message, pair = self.skips(em, lens, edges)
+                    em = em + message
+                    gp = pair.sum(axis=0)
+                    r, i, j = np.array(edges).T
+                    np.add.at(gp, (CLASS_OF[y[r, i]], CLASS_OF[y[r, j]]), -1)
+                    gp = (gp + gp.T) / 2
                 p, alpha, beta, node = self.marginals(em, lens)
                 mask = np.arange(n)[None, :] < lens[:, None]
                 d = p.copy()
@@ -420,7 +490,7 @@ class Tagger:
                 gw[:, 0] = 0
                 t += 1
                 lr = rate * (1 - epoch / epochs * 0.8)
-                for x, grad, (m, v) in zip(params, (gw / total + penalty * w, gs / total + penalty * self.steps, d[:, 0].sum(axis=0) / len(group)), moments):
+                for x, grad, (m, v) in zip(params, (gw / total + penalty * w, gs / total + penalty * self.steps, d[:, 0].sum(axis=0) / len(group), gp / max(len(edges), 1)), moments if edges else moments[:3]):
                     m *= 0.9
                     m += 0.1 * grad
                     v *= 0.99
@@ -428,18 +498,8 @@ class Tagger:
                     x -= lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         w[:, 0] = 0
         self.weights = w
-        # Skip potentials: how much more often recurring tokens share a pair of classes than chance has it, in half measure.
-        k = len(CLASSES) + 1
-        pairs = np.full((k, k), 0.5)
-        for toks, y in zip(texts, gold):
-            for i, j in self.recurring(toks):
-                a, b = CLASS_OF[y[i]], CLASS_OF[y[j]]
-                pairs[a, b] += 0.5
-                pairs[b, a] += 0.5
-        share = pairs.sum(axis=1) / pairs.sum()
-        expected = np.outer(share, share)
-        pmi = np.clip(0.5 * np.log(pairs / pairs.sum() / expected), -1.5, 1.5)
-        self.skip = pmi[CLASS_OF[:, None], CLASS_OF[None, :]].astype(np.float32)
+        pull = np.clip(pull, -MESSAGE / 2, MESSAGE / 2)
+        self.skip = pull[CLASS_OF[:, None], CLASS_OF[None, :]].astype(np.float32)
         self._fresh()
         return self
 
@@ -447,29 +507,31 @@ class Tagger:
         """(label, start, end) in raw places of each text's personal information, organisations included."""
         cleaned = [clean(t) for t in texts]
         toks = [tokens(s) for s, _ in cleaned]
-        out = []
-        for (s, at), ts, tags in zip(cleaned, toks, self.tag(toks, outer)):
-            got, i = [], 0
-            tags = tags.tolist()
-            while i < len(tags):
-                if not tags[i]:
-                    i += 1
-                    continue
-                c, j = CLASS_OF[tags[i]], i + 1
-                while j < len(tags) and tags[j] == NEXT[c]:
-                    j += 1
-                for a, b in parted(ts, i, j) if c == 1 else [(i, j)]:
+        return [self.decoded(c, ts, tags) for c, ts, tags in zip(cleaned, toks, self.tag(toks, outer))]
+
+    @staticmethod
+    def decoded(cleaned: tuple[str, list[int] | None], ts: list[tuple[str, str, int, int]], labels: np.ndarray) -> list[tuple[str, int, int]]:
+        """The findings of a text's labels, without marks at their ends."""
+        at = cleaned[1]
+        got, i, tags = [], 0, labels.tolist()
+        while i < len(tags):
+            if not tags[i]:
+                i += 1
+                continue
+            c, j = CLASS_OF[tags[i]], i + 1
+            while j < len(tags) and tags[j] == NEXT[c]:
+                j += 1
+            for a, b in parted(ts, i, j) if c == 1 else [(i, j)]:
+                b -= 1
+                while b > a and ts[b][0] == "rest" and not (ts[b][1] == "." and ts[b - 1][0] == "word" and len(ts[b - 1][1]) == 1) and ts[b][1] not in ")":
                     b -= 1
-                    while b > a and ts[b][0] == "rest" and not (ts[b][1] == "." and ts[b - 1][0] == "word" and len(ts[b - 1][1]) == 1) and ts[b][1] not in ")":
-                        b -= 1
-                    while a < b and ts[a][0] == "rest" and ts[a][1] not in "#(+":
-                        a += 1
-                    if ts[a][0] != "rest" or a < b:
-                        start, end = ts[a][2], ts[b][3]
-                        got.append((CLASSES[c - 1], at[start] if at else start, at[end - 1] + 1 if at else end))
-                i = j
-            out.append(got)
-        return out
+                while a < b and ts[a][0] == "rest" and ts[a][1] not in "#(+":
+                    a += 1
+                if ts[a][0] != "rest" or a < b:
+                    start, end = ts[a][2], ts[b][3]
+                    got.append((CLASSES[c - 1], at[start] if at else start, at[end - 1] + 1 if at else end))
+            i = j
+        return got
 
 
 def respelled(name: str, label: str, turn: int) -> str | None:
@@ -496,6 +558,8 @@ def examples(records: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[lis
         texts.append(toks)
         gold.append(gold_labels(toks, entities, at))
 
+    for text in NOTHING * max(1, len(records) // 200):
+        add(text, [])
     for n, (text, entities) in enumerate(records):
         add(text, entities)
         for m, (a, b, label) in enumerate(entities):
@@ -531,78 +595,107 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield part, at
 
 
-def _batches(pdf: pd.DataFrame, tagger: Tagger) -> Iterator[tuple[object, str, list[tuple[str, int, int]]]]:
-    """(key, text, findings) of each row; equal texts that hear nothing from other texts are tagged once in a portion."""
-    keys, texts = pdf["_k"].tolist(), pdf["_t"].tolist()
-    heard = pdf["_w"].tolist() if "_w" in pdf else [None] * len(texts)
-    for part, end in _portions(texts):
-        which: dict[tuple[str, int], int] = {}
-        rows, at = [], []
-        for i in range(part, end):
-            name = (texts[i], -1 if heard[i] is None else i)
-            if name not in which:
-                which[name] = len(rows)
-                rows.append(i)
-            at.append(which[name])
-        outer: list[dict[str, np.ndarray]] = [{} for _ in rows]
-        hearing = [r for r, i in enumerate(rows) if heard[i] is not None]
-        if hearing:
-            flat = np.concatenate([pdf["_b"].iloc[rows[r]] for r in hearing]).reshape(-1, len(CLASSES) + 1)
-            said, n = tagger.message(flat), 0
-            for r in hearing:
-                words = heard[rows[r]]
-                outer[r] = dict(zip(words, said[n : n + len(words)]))
-                n += len(words)
-        got = tagger.found([texts[i] for i in rows], outer)
-        yield from ((keys[i], texts[i], [x for x in got[a] if x[0] != "ORGANIZATION"]) for i, a in zip(range(part, end), at))
-
-
-def heard(one: DataFrame, tagger: Tagger) -> DataFrame:
-    """(_k, _w, _b): the words of each text that occur in other texts of its document ``_d``, and what those believe of them.
+def _different(texts: list[str]) -> tuple[list[str], list[int]]:
+    """Each different text once, and where each text stands among them."""
+    which = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    return list(which), [which[t] for t in texts]
 
-    ``_b`` holds a belief by class for each word, the mean over the document's other texts in which the word or a
-    similar one stands. Similar are words that differ by one letter added, lost or changed, or by two letters side by
-    side in turned order. Sums are formed by document and word before any join, so that a document's size doesn't matter.
+
+_FOUND = "array<struct<label:string,start:int,end:int>>"
+_PARTS = [f"c{i}" for i in range(HEARD)]
+
+
+def _without_firms(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return [x for x in found if x[0] != "ORGANIZATION"]
+
+
+def _alone(one: DataFrame, tagger: Tagger) -> DataFrame:
+    """(_k, _t, found) of texts that stand alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, texts = pdf["_k"].tolist(), pdf["_t"].tolist()
+            for part, end in _portions(texts):
+                some, at = _different(texts[part:end])
+                got = [_without_firms(f) for f in tagger.found(some)]
+                yield pd.DataFrame({"_k": keys[part:end], "_t": texts[part:end], "found": [got[i] for i in at]})
+
+    return one.select("_k", "_t").mapInPandas(run, f"_k {one.schema['_k'].dataType.simpleString()}, _t string, found {_FOUND}")
+
+
+def first_pass(one: DataFrame, tagger: Tagger, keep: bool) -> DataFrame:
+    """(_k, _d, _t, found, words, beliefs, opened): each text's findings, its linkable words with their beliefs, and how many are open.
+
+    The text goes on only where a word is open, or everywhere if it is to be kept.
     """
-    parts = [f"c{i}" for i in range(len(CLASSES) + 1)]
+    kinds = {c: one.schema[c].dataType.simpleString() for c in ("_k", "_d")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, scopes, texts = pdf["_k"].tolist(), pdf["_d"].tolist(), pdf["_t"].tolist()
             for part, end in _portions(texts):
-                different = list(dict.fromkeys(texts[part:end]))
-                got = dict(zip(different, tagger.beliefs(different)))
-                rows = [(keys[i], scopes[i], w, b) for i in range(part, end) for w, b in got[texts[i]].items()]
-                out = pd.DataFrame([r[:3] for r in rows], columns=["_k", "_d", "word"])
-                beliefs = np.array([r[3] for r in rows], np.float32).reshape(-1, len(parts))
-                yield out.assign(**{c: beliefs[:, i] for i, c in enumerate(parts)})
+                some, at = _different(texts[part:end])
+                got = [(_without_firms(f), w, b.ravel(), n) for f, w, b, n in tagger.first(some)]
+                rows = [got[i] for i in at]
+                yield pd.DataFrame({"_k": keys[part:end], "_d": scopes[part:end], "_t": [t if keep or r[3] else None for t, r in zip(texts[part:end], rows)], **{c: [r[i] for r in rows] for i, c in enumerate(("found", "words", "beliefs", "opened"))}})
 
-    kinds = {c: one.schema[c].dataType.simpleString() for c in ("_k", "_d")}
-    # No word begins with anything but a capital or a letter beyond ASCII.
-    able = one.where(F.col("_d").isNotNull() & F.col("_t").rlike(r"[A-Z]|[^\x00-\x7F]"))
-    said = cut(able.mapInPandas(run, f"_k {kinds['_k']}, _d {kinds['_d']}, word string, " + ", ".join(f"{c} float" for c in parts)))
-    words = cut(said.groupBy("_d", "word").agg(F.count("*").alias("n"), *(F.sum(c).cast("float").alias(c) for c in parts)).withColumn("_i", F.xxhash64("_d", "word")))
-    # Words are similar if they are one word after the loss of a letter; pairs found by hashes are verified by the words.
-    shorter = F.expr("array_distinct(concat(array(word), transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1)))))")
-    meet = words.select("_i", "_d", F.explode(shorter).alias("s")).groupBy(F.xxhash64("_d", "s").alias("h")).agg(F.collect_set("_i").alias("ids")).where("size(ids) > 1")
-    near = meet.select(F.explode("ids").alias("_i"), "ids").select("_i", F.explode("ids").alias("_j")).where("_i <> _j").distinct()
-    there = words.select(F.col("_i").alias("_j"), F.col("_d").alias("_e"), F.col("word").alias("other"), "n", *parts)
-    close = F.expr("levenshtein(word, other) = 1 or length(word) = length(other) and levenshtein(word, other) = 2 and array_sort(split(word, '')) = array_sort(split(other, ''))")
-    both = near.join(words.select("_i", "_d", "word"), "_i").join(there, "_j").where("_d = _e").where(close)
-    every = words.unionByName(both.select("_d", "word", "n", *parts, "_i")).groupBy("_d", "word").agg(*(F.sum(c).alias(f"{c}_s") for c in ("n", *parts))).where("n_s > 1")
-    others = F.array(*((F.col(f"{c}_s") - F.col(c)) / (F.col("n_s") - 1) for c in parts)).cast("array<float>")
-    got = said.join(every, ["_d", "word"]).groupBy("_k").agg(F.collect_list(F.struct("word", others.alias("b"))).alias("m"))
+    return one.select("_k", "_d", "_t").mapInPandas(run, f"_k {kinds['_k']}, _d {kinds['_d']}, _t string, found {_FOUND}, words array<string>, beliefs array<float>, opened int")
+
+
+def heard(first: DataFrame) -> DataFrame:
+    """(_k, _w, _b): the open words of each text that occur in other texts of its document ``_d``, and what those believe of them.
+
+    ``_b`` holds a belief by class for each word, the mean over the document's other texts in which the word or a
+    similar one stands. Similar are words of five letters and more that differ by one letter added, lost or changed, or
+    by two letters in turned places. Sums are formed by document and word before any join, so that a document's size doesn't matter.
+    """
+    own = [F.expr(f"beliefs[{HEARD} * i + {c}]").alias(p) for c, p in enumerate(_PARTS)]
+    said = first.where("_d is not null and size(words) > 0").select("_k", "_d", F.posexplode("words").alias("i", "word"), "beliefs", "opened").select("_k", "_d", "word", (F.col("i") < F.col("opened")).alias("open"), *own)
+    words = said.groupBy("_d", "word").agg(F.count("*").alias("n"), *(F.sum(c).cast("float").alias(c) for c in _PARTS), F.max("open").alias("asks"))
+    asks = words.where("asks").select("_d", "word")
+    # One's index shares a key with the other's probe if the words are a letter apart; keys travel as hashes, words verify.
+    half = lambda m, of: f"concat({m}, '<', substring({of}, 1, ({m}) div 2))"
+    rest = lambda m, of: f"concat({m}, '>', substring({of}, length({of}) - ({m}) + ({m}) div 2 + 1))"
+    turned = "concat('=', array_join(array_sort(split(word, '')), ''))"
+    n = "length(word)"
+    keyed = lambda *keys: F.explode(F.expr(f"array_distinct(transform(array({', '.join(keys)}), k -> xxhash64(_d, k)))")).alias("_h")
+    long = F.length("word") > 4
+    index = words.where(long).select(F.col("_d").alias("_e"), F.col("word").alias("other"), "n", *_PARTS, keyed(half(n, "word"), rest(n, "word"), turned))
+    probe = asks.where(long).select("_d", "word", keyed(*(f(m, "word") for m in (f"{n} - 1", n, f"{n} + 1") for f in (half, rest)), turned))
+    apart = F.expr("levenshtein(word, other, 2) = 1 or length(word) = length(other) and levenshtein(word, other, 2) = 2 and array_sort(split(word, '')) = array_sort(split(other, ''))")
+    similar = probe.join(index, "_h").where("_d = _e").where(apart).dropDuplicates(["_d", "word", "other"]).select("_d", "word", "n", *_PARTS)
+    every = words.where("asks").select("_d", "word", "n", *_PARTS).unionByName(similar).groupBy("_d", "word").agg(*(F.sum(c).alias(f"{c}_s") for c in ("n", *_PARTS))).where("n_s > 1")
+    others = F.array(*((F.col(f"{c}_s") - F.col(c)) / (F.col("n_s") - 1) for c in _PARTS)).cast("array<float>")
+    got = said.where("open").join(every, ["_d", "word"]).groupBy("_k").agg(F.collect_list(F.struct("word", others.alias("b"))).alias("m"))
     return got.select("_k", F.col("m.word").alias("_w"), F.flatten("m.b").alias("_b"))
 
 
-def _rows(df: DataFrame, key: str, text: str, document: str | None) -> DataFrame:
-    return df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *([F.col(document).alias("_d")] if document else []))
+def _again(tagger: Tagger):
+    """Texts with open words, tagged with what they heard; a text that heard nothing keeps its findings."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, t, f) for k, t, f, w in zip(pdf["_k"], pdf["_t"], pdf["found"], pdf["_w"]) if w is None]
+            yield pd.DataFrame(rows, columns=["_k", "_t", "found"])
+            some = pdf[pdf["_w"].notna()]
+            keys, texts, words, beliefs = (some[c].tolist() for c in ("_k", "_t", "_w", "_b"))
+            for part, end in _portions(texts):
+                outer = [dict(zip(w, tagger.message(np.reshape(b, (-1, HEARD))))) for w, b in zip(words[part:end], beliefs[part:end])]
+                yield pd.DataFrame({"_k": keys[part:end], "_t": texts[part:end], "found": [_without_firms(f) for f in tagger.found(texts[part:end], outer)]})
+
+    return run
 
 
-def _hearing(one: DataFrame, tagger: Tagger | None) -> DataFrame:
-    if "_d" not in one.columns or not tagger:
-        return one
-    return one.drop("_d").join(heard(one.where(visible(F.col("_t"))), tagger), "_k", "left")
+def _tagged(df: DataFrame, key: str, text: str, tagger: Tagger, document: str | None, keep: bool) -> DataFrame:
+    """(_k, _t, found) of each distinct visible text, the text itself only if it is to be kept."""
+    one = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *([F.col(document).alias("_d")] if document else [])).where(visible(F.col("_t"))).dropDuplicates(["_k"])
+    if not document:
+        return _alone(one, tagger)
+    first = cut(first_pass(one, tagger, keep))
+    waits = (F.col("opened") > 0) & F.col("_d").isNotNull()
+    again = first.where(waits).select("_k", "_t", "found").join(heard(first), "_k", "left")
+    done = first.where(~waits).select("_k", "_t", "found")
+    return done.unionByName(again.mapInPandas(_again(tagger), done.schema))
 
 
 def spans(df: DataFrame, key: str, text: str, tagger: Tagger | None, document: str | None = None) -> DataFrame:
@@ -613,15 +706,10 @@ def spans(df: DataFrame, key: str, text: str, tagger: Tagger | None, document: s
     so that they aren't taken for persons, but are no personal information. Texts of one ``document`` hear of each
     other's words; without a ``document``, or where it is null, each text stands alone.
     """
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, c, a, b) for k, _, found in _batches(pdf, tagger) for c, a, b in found] if tagger else []
-            yield pd.DataFrame(rows, columns=["_k", "label", "pii_start", "pii_end"])
-
-    one = _rows(df, key, text, document).where(visible(F.col("_t"))).dropDuplicates(["_k"])
-    return _hearing(one, tagger).mapInPandas(run, f"_k {kind}, label string, pii_start int, pii_end int").withColumnRenamed("_k", key)
+    if not tagger:
+        return df.where("false").select(key, F.lit("").alias("label"), F.lit(0).alias("pii_start"), F.lit(0).alias("pii_end"))
+    each = _tagged(df, key, text, tagger, document, False).select("_k", F.explode("found").alias("f"))
+    return each.select(F.col("_k").alias(key), "f.label", F.col("f.start").alias("pii_start"), F.col("f.end").alias("pii_end"))
 
 
 def replaced(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -639,14 +727,17 @@ def masked(df: DataFrame, key: str, text: str, tagger: Tagger | None, document:
     Null texts stay null, empty and blank ones stay as they are; the rest of a text isn't touched. Without a fitted
     ``tagger`` texts stay as they are. ``document`` is as for spans.
     """
-    kind = df.schema[key].dataType.simpleString()
+    plain = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    blank = plain if not tagger else plain.where(F.coalesce(~visible(F.col("_t")), F.lit(True)))
+    as_is = blank.dropDuplicates(["_k"]).select(F.col("_k").alias(key), F.col("_t").alias("masked"))
+    if not tagger:
+        return as_is
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            there = pdf[pdf["_t"].notna()]
-            rows = [(k, replaced(t, found)) for k, t, found in _batches(there, tagger)] if tagger else list(zip(there["_k"], there["_t"]))
-            rows += [(k, None) for k in pdf["_k"][pdf["_t"].isna()]]
-            yield pd.DataFrame(rows, columns=["_k", "masked"])
+            found = [[(x["label"], x["start"], x["end"]) for x in f] for f in pdf["found"]]
+            yield pd.DataFrame({"_k": pdf["_k"], "masked": [replaced(t, f) for t, f in zip(pdf["_t"], found)]})
 
-    one = _rows(df, key, text, document).dropDuplicates(["_k"])
-    return _hearing(one, tagger).mapInPandas(run, f"_k {kind}, masked string").withColumnRenamed("_k", key)
+    kind = df.schema[key].dataType.simpleString()
+    there = _tagged(df, key, text, tagger, document, True).mapInPandas(run, f"_k {kind}, masked string").withColumnRenamed("_k", key)
+    return there.unionByName(as_is)

@@ -184,6 +184,8 @@ def test_recurring_names_pull_together(tagger):
     toks = personal.tokens("Mr. Asha Holmley spoke. Then Holmley left.")
     edges = tagger.recurring(toks)
     assert [(toks[i][1], toks[j][1]) for i, j in edges] == [("Holmley", "Holmley")]
+    toks = personal.tokens("Mr. Asha Holmley spoke. Then Holmlye left.")
+    assert [(toks[i][1], toks[j][1]) for i, j in tagger.recurring(toks)] == [("Holmley", "Holmlye")]
     inside = personal.LABELS.index("I-PERSON")
     assert tagger.skip[inside, inside] > tagger.skip[inside, 0]
 
@@ -197,16 +199,43 @@ def test_queries_are_whole():
     assert ".limit(" not in code and "sample" not in code
 
 
-def test_texts_of_a_document_hear_of_each_other(spark, tagger):
+def all_open(spark, one, tagger):
+    """The first pass, worked out here, with the patched bound."""
+    rows = one.collect()
+    got = tagger.first([r["_t"] for r in rows])
+    shape = "_k bigint, _d string, words array<string>, beliefs array<float>, opened int"
+    return spark.createDataFrame([(r["_k"], r["_d"], w, b.ravel().tolist(), n) for r, (_, w, b, n) in zip(rows, got)], shape)
+
+
+def test_words_a_letter_apart_share_a_key():
+    rng = random.Random(4)
+    for _ in range(4000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randint(5, 9)))
+        i, c = rng.randrange(len(w)), rng.choice("abcd")
+        j = min(i, len(w) - 2)
+        for v in (w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:j] + w[j + 1] + w[j] + w[j + 2 :]):
+            assert set(personal.near_keys(w)[0]) & set(personal.near_keys(v)[1])
+
+
+def test_encoded_texts_and_empty_cells_are_nothing(tagger):
+    blob = "Q6Qx+isHPw21rlRDxEIEltweEmd1jxU9Bfeg4YW+YdOngaQilO3LA83YHWjaTIyMF/W/iLF5KHGXdHFQ/gfc8+ZaODjR3GysMcoYszBdCHh4kM"
+    assert [t[0] for t in personal.tokens(blob)] == ["blob"]
+    assert tagger.found([blob, "N.A.", f"Mr. Asha Holmley spoke.\n{blob}"]) == [[], [], [("PERSON", 4, 16)]]
+
+
+def test_texts_of_a_document_hear_of_each_other(spark, tagger, monkeypatch):
     told = "The meeting of 01/02/1990 was held by Asha Wexlorny again, said Asha Wexlorny."
     rows = [(1, "d", told), (2, "d", told + " "), (3, "d", "Wexlorny"), (4, "d", "Wexlrony"), (5, "e", "Wexlorny"), (6, None, "Wexlorny"), (7, "d", "Monday"), (8, "d", "वेक्सलोर"), (9, "d", "वेक्सलोर")]
     df = spark.createDataFrame(rows, "k bigint, d string, t string")
     one = df.select(*(personal.F.col(a).alias(b) for a, b in (("k", "_k"), ("t", "_t"), ("d", "_d"))))
-    heard = {r["_k"]: dict(zip(r["_w"], zip(*[iter(r["_b"])] * 10))) for r in personal.heard(one, tagger).collect()}
+    n = personal.HEARD
+    monkeypatch.setattr(personal, "SETTLED", 1.1)  # every word asks
+    heard = {r["_k"]: dict(zip(r["_w"], zip(*[iter(r["_b"])] * n))) for r in personal.heard(all_open(spark, one, tagger)).collect()}
     assert sorted(heard) == [1, 2, 3, 4, 8, 9] and set(heard[3]) == {"wexlorny"} and set(heard[4]) == {"wexlrony"}
-    own = tagger.beliefs([told, "Wexlorny", "Wexlrony"])
+    own = {i: dict(zip(w, b)) for i, (_, w, b, _) in enumerate(tagger.first([told, "Wexlorny", "Wexlrony"]))}
     want = (2 * own[0]["wexlorny"] + own[2]["wexlrony"]) / 3  # leaves out its own belief
     assert abs(want - heard[3]["wexlorny"]).max() < 1e-5 and want.argmax() == 1
+    monkeypatch.undo()
     # A word that hardly looks like a name on its own is one by its document.
     odd = personal.Tagger()
     odd.__setstate__(tagger.__getstate__())
