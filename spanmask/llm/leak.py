@@ -1,9 +1,9 @@
 """Passages of held-out items in a corpus (problem 8), by winnowing.
 
 Words are folded (look-alike characters, case, punctuation at their edges) and hashed; of every ``WINDOW``
-consecutive hashes of ``GRAM`` words the least is kept as a fingerprint, so every shared run of
-GRAM + WINDOW - 1 = 12 words shares at least one. Fingerprints of both sides are joined, and joined pairs are
-extended: a pair stays if a run of at least ``RUN`` words is common.
+consecutive hashes of ``GRAM`` words the leftmost least is kept as a fingerprint with its place, so every shared run of
+GRAM + WINDOW - 1 = 12 words shares at least one, at the same place of the run. Fingerprints of both sides are joined, and each
+hit is extended word by word to both sides of its places: a pair stays if the run has at least ``RUN`` words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmask.llm.glyphs import fold
@@ -22,8 +22,8 @@ from spanmask.sources.lineage import cut
 
 RUN, GRAM = 12, 5
 WINDOW = RUN - GRAM + 1
-#: Fingerprints of the items, and characters of their texts, up to which they are broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 30_000_000
+#: Items, and characters of their texts, up to which their index goes to every task; beyond it, both sides are shuffled.
+INDEX_ITEMS, INDEX_CHARS = 100_000, 30_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _KNOWN: dict[str, int] = {}
@@ -62,63 +62,107 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def fingerprints(text: str | None) -> np.ndarray:
-    """The winnowed hashes of a text, each once; texts of fewer than ``RUN`` words have none."""
-    g = grams(hashes(words(text)), GRAM)
+def fingerprints(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the winnowed grams of a text's words; fewer than ``RUN`` words have none."""
+    g = grams(hashes(ws), GRAM)
     if len(g) < WINDOW:
-        return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW).min(axis=1)
-    return np.unique(least).view(np.int64)
-
-
-def _prints(text: str) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fingerprints)
-
-    return F.pandas_udf(run, "array<bigint>")(text)
-
-
-def common_run(ws: list[str], item: list[str], item_grams: set[int]) -> bool:
-    """Whether a run of RUN words of the item stands in the document; hash hits are compared word by word."""
-    if not item_grams:
-        return False
-    g = grams(hashes(ws), RUN)
-    for at in np.nonzero(np.isin(g, np.fromiter(item_grams, np.uint64, len(item_grams))))[0]:
-        run = ws[at : at + RUN]
-        if any(item[i : i + RUN] == run for i in range(len(item) - RUN + 1)):
-            return True
-    return False
-
-
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    items: dict[str, tuple[list[str], set[int]]] = {}
-    for pdf in batches:
-        keep, last, ws = [], None, []
-        for text, item in zip(pdf["_t"], pdf["_it"]):
-            if text is not last:
-                last, ws = text, words(text)
-            if item not in items:
-                if len(items) > 10_000:
-                    items.clear()
-                iw = words(item)
-                items[item] = iw, set(grams(hashes(iw), RUN).tolist())
-            keep.append(common_run(ws, *items[item]))
-        yield pdf.loc[keep, ["_k", "_ik"]]
+        return g[:0], np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1) + np.arange(len(g) - WINDOW + 1)
+    at = np.unique(least)
+    return g[at], at
+
+
+def extended(ws: list[str], i: int, item: list[str], j: int) -> bool:
+    """Whether the run of common words around places i and j has at least RUN words."""
+    n, a, b = 0, i, j
+    while n < RUN and a < len(ws) and b < len(item) and ws[a] == item[b]:
+        n, a, b = n + 1, a + 1, b + 1
+    a, b = i - 1, j - 1
+    while 0 < n < RUN and a >= 0 and b >= 0 and ws[a] == item[b]:
+        n, a, b = n + 1, a - 1, b - 1
+    return n >= RUN
+
+
+class Index:
+    """Fingerprints of items, ordered by their hashes."""
+
+    def __init__(self, items: list[tuple[object, str]]) -> None:
+        self.keys = [k for k, _ in items]
+        self.words = [words(t) for _, t in items]
+        prints = [fingerprints(w) for w in self.words]
+        h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in prints)])
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.items = np.concatenate([np.zeros(0, np.int64), *(np.full(len(p[0]), i) for i, p in enumerate(prints))])[order]
+        self.places = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in prints)])[order]
+
+    def found(self, text: str | None) -> list[object]:
+        """The keys of the items of which a run stands in the text."""
+        ws = words(text)
+        h, at = fingerprints(ws)
+        left, right = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        out: set[int] = set()
+        for k in np.nonzero(right > left)[0]:
+            for x in range(left[k], right[k]):
+                item = int(self.items[x])
+                if item not in out and extended(ws, int(at[k]), self.words[item], int(self.places[x])):
+                    out.add(item)
+        return [self.keys[i] for i in sorted(out)]
+
+
+def _by_index(docs: DataFrame, rows: list, kinds: dict[str, str]) -> DataFrame:
+    """(_k, _ik) of a few items: their index goes to every task, so no text is moved."""
+    index = docs.sparkSession.sparkContext.broadcast(Index([(r["_ik"], r["_it"]) for r in rows]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [(k, ik) for k, t in zip(pdf["_k"], pdf["_t"]) for ik in index.value.found(t)]
+            yield pd.DataFrame(pairs, columns=["_k", "_ik"])
+
+    return docs.mapInPandas(run, f"_k {kinds['_k']}, _ik {kinds['_ik']}").distinct()
+
+
+def _by_join(docs: DataFrame, tests: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(_k, _ik) of many items: fingerprints of both sides are joined, then the hits' texts come together and are extended."""
+
+    def prints(key: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(k, int(h), int(i)) for k, t in zip(pdf[key], pdf["_t"]) for h, i in zip(*(x.tolist() for x in (lambda f: (f[0].view(np.int64), f[1]))(fingerprints(words(t)))))]
+                yield pd.DataFrame(rows, columns=[key, "_h", "_p"])
+
+        return run
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[str]] = {}
+        for pdf in batches:
+            keep = []
+            for t, item, places in zip(pdf["_t"], pdf["_it"], pdf["_at"]):
+                if len(known) > 10_000:
+                    known.clear()
+                ws, iw = (known.get(x) or known.setdefault(x, words(x)) for x in (t, item))
+                keep.append(any(extended(ws, p["i"], iw, p["j"]) for p in places))
+            yield pdf.loc[keep, ["_k", "_ik"]]
+
+    here = docs.mapInPandas(prints("_k"), f"_k {kinds['_k']}, _h bigint, _p int")
+    there = tests.withColumnRenamed("_it", "_t").mapInPandas(prints("_ik"), f"_ik {kinds['_ik']}, _h bigint, _p int").withColumnRenamed("_p", "_q")
+    hits = cut(here.join(there, "_h").groupBy("_k", "_ik").agg(F.collect_set(F.struct(F.col("_p").alias("i"), F.col("_q").alias("j"))).alias("_at")))
+    # Only texts with a hit are moved.
+    some = docs.join(hits.select("_k").distinct(), "_k", "left_semi").dropDuplicates(["_k"])
+    return hits.join(some, "_k").join(tests, "_ik").select("_k", "_ik", "_t", "_it", "_at").mapInPandas(verified, f"_k {kinds['_k']}, _ik {kinds['_ik']}")
 
 
 def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_id): every pair of a corpus row and an item with a common run of at least RUN words.
 
     Null, empty and short texts on either side have no pairs; repeated rows (same key) count once; copies under
-    other keys each count; the longest texts are read whole. Columns besides those named aren't read.
+    other keys each count; the longest texts are read whole. Columns besides those named aren't read. Items within
+    INDEX_ITEMS and INDEX_CHARS are searched by an index in every task, more of them by a join; the result is the same.
     """
-    docs = corpus.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    docs = corpus.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null")
     tests = items.select(F.col(item_key).alias("_ik"), F.col(item_text).alias("_it")).where("_it is not null").dropDuplicates(["_ik"])
-    marks = cut(tests.select("_ik", F.explode(_prints("_it")).alias("_h")))
-    tests = tests.join(marks.select("_ik").distinct(), "_ik", "left_semi")
-    small = marks.count() <= BROADCAST_ROWS and (tests.agg(F.sum(F.length("_it"))).first()[0] or 0) <= BROADCAST_CHARS
-    bound = F.broadcast if small else (lambda x: x)
-    found = docs.select("_k", F.explode(_prints("_t")).alias("_h")).join(bound(marks), "_h").select("_k", "_ik").distinct()
-    pairs = found.join(docs.dropDuplicates(["_k"]), "_k").join(bound(tests), "_ik").select("_k", "_ik", "_t", "_it")
-    kinds = dict(pairs.dtypes)
-    return pairs.mapInPandas(_verified, f"_k {kinds['_k']}, _ik {kinds['_ik']}").select(F.col("_k").alias(key), F.col("_ik").alias("item_id"))
+    kinds = dict(docs.dtypes) | dict(tests.dtypes)
+    size = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_it")), F.lit(0)).alias("chars")).first()
+    small = size["n"] <= INDEX_ITEMS and size["chars"] <= INDEX_CHARS
+    pairs = _by_index(docs, tests.collect(), kinds) if small else _by_join(docs, tests, kinds)
+    return pairs.select(F.col("_k").alias(key), F.col("_ik").alias("item_id"))

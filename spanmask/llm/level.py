@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,22 +31,34 @@ ENGLISH = frozenset("the of and to in a is that for it was on with as by at be t
 FOREIGN = frozenset("der die das und ist von den des dem im zu mit auf wurde für sich eine el la los las del que en por una se le les du une est dans pour sur au aux qui ce et il de un".split())
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*|\d+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')]*\s+|\n+")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Of each code point of the first plane: 0 no letter, 1 Latin letter, 2 other letter."""
+    return np.array([0 if not chr(i).isalpha() else 1 if i < 0x250 else 2 for i in range(0x10000)], np.uint8)
+
+
+def _latin(text: str) -> bool:
+    """Whether Latin letters outweigh others by far; letters beyond the first plane count as others."""
+    if text.isascii():
+        return True
+    kinds = np.bincount(_letters()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x4E00)], minlength=3)
+    return kinds[1] >= 0.6 * (kinds[1] + kinds[2])
 
 
 def english(text: str) -> bool:
     """Mainly English: Latin letters outweigh others and English function words those of other languages."""
-    n = len(_LETTER.findall(text))
-    if not n or len(_LATIN.findall(text)) < 0.6 * n:
+    if not _latin(text):
         return False
     ws = text.lower().split()
-    here = sum(w in ENGLISH for w in ws)
-    return here >= 0.04 * len(ws) and here > sum(w in FOREIGN for w in ws)
+    n = Counter(ws)
+    here = sum(n[w] for w in ENGLISH)
+    return here >= 0.04 * len(ws) and here > sum(n[w] for w in FOREIGN)
 
 
 def sentences(text: str) -> list[list[str]]:
-    return [t for t in (["0" if w[0].isdigit() else w for w in _TOKEN.findall(s.lower())] for s in _SENTENCE.split(text)) if t]
+    return [t for t in (["0" if "0" <= w[0] <= "9" else w for w in _TOKEN.findall(s)] for s in _SENTENCE.split(text.lower())) if t]
 
 
 def word_features(w: str) -> list[str]:
@@ -81,27 +94,37 @@ class Level:
         self.features: dict[str, int] = {}
         self.weights = np.zeros((1, BANDS), np.float32)
         self.shape = np.zeros((2, BANDS), np.float32)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, BANDS), np.float32)
         self.top = np.zeros((1, BANDS), np.float32)
         self.mean = self.dev = np.zeros(1, np.float32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.known.get(w)
-        if got is None:
-            ids = [self.features[f] for f in word_features(w) if f in self.features]
-            got = self.weights[ids].sum(axis=0) if ids else np.zeros(BANDS, np.float32)
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[w] = got
-        return got
+        return self.__dict__ | {"known": {}, "table": np.zeros((0, BANDS), np.float32)}
+
+    def ids(self, sents: list[list[str]]) -> np.ndarray:
+        """Rows of the table of word scores; words that are new get theirs."""
+        known = self.known
+        if len(known) > 400_000:
+            known.clear()
+        flat = [w for s in sents for w in s]
+        new = [w for w in dict.fromkeys(flat) if w not in known]
+        if new:
+            rows = [[self.features[f] for f in word_features(w) if f in self.features] for w in new]
+            scores = np.stack([self.weights[r].sum(axis=0) if r else np.zeros(BANDS, np.float32) for r in rows]).astype(np.float32)
+            start = len(known)
+            known.update(zip(new, range(start, start + len(new))))
+            if len(self.table) < len(known):
+                self.table = np.concatenate([self.table[:start], scores, np.zeros((max(1000, len(known)), BANDS), np.float32)])
+            else:
+                self.table[start : len(known)] = scores
+        return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
 
     def scores(self, sents: list[list[str]]) -> np.ndarray:
         """A row of scores for each sentence."""
         n = np.array([len(s) for s in sents])
-        flat = np.stack([self.word(w) for s in sents for w in s])
+        ids = self.ids(sents)
+        flat = self.table[ids]
         mean = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
         return mean + np.stack([np.ones(len(n)), np.log(n)], axis=1).astype(np.float32) @ self.shape
 
@@ -126,6 +149,7 @@ class Level:
         x = np.concatenate([counts, np.stack([np.ones(len(rows)), np.log([len(s) for s, _ in rows])], axis=1).astype(np.float32)], axis=1)
         w = fit_logistic(x, np.stack([y for _, y in rows]).astype(np.float32), 1e-4, 150, basis=spell)
         self.weights, self.shape, self.known = w[:-2], w[-2:], {}
+        self.table = np.zeros((0, BANDS), np.float32)
 
     def document(self, sents: list[list[str]]) -> np.ndarray:
         z = self.scores(sents)

@@ -168,6 +168,11 @@ def linkable(kind: str, word: str) -> bool:
     return kind == "word" and len(word) > 3 and not word[0].islower()
 
 
+def linked(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, str]]:
+    """The tokens that may have skip edges, in lower case."""
+    return [(i, word.lower()) for i, (kind, word, _, _) in enumerate(toks) if kind == "word" and linkable(kind, word)]
+
+
 @lru_cache(100_000)
 def near_keys(word: str) -> tuple[tuple, tuple]:
     """(index, probe): of words a letter apart, one's index shares a key with the other's probe.
@@ -295,25 +300,27 @@ class Tagger:
     @staticmethod
     def recurring(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, int]]:
         """Skip edges: each linkable word with the last occurrence before of the same word, and of one that is a letter apart."""
+        return Tagger.joined(linked(toks))
+
+    @staticmethod
+    def joined(links: list[tuple[int, str]]) -> list[tuple[int, int]]:
         last: dict[str, int] = {}
         index: dict[tuple, str] = {}
         out = []
-        for i, (kind, word, _, _) in enumerate(toks):
-            if linkable(kind, word):
-                low = word.lower()
-                if low in last:
-                    out.append((last[low], i))
-                if len(low) > 4:
-                    mine, probe = near_keys(low)
-                    others = {o for k in probe if (o := index.get(k)) is not None and o != low and within(o, low, 1) <= 1}
-                    out += [(last[o], i) for o in others]
-                    index.update(dict.fromkeys(mine, low))
-                last[low] = i
+        for i, low in links:
+            if low in last:
+                out.append((last[low], i))
+            elif len(low) > 4 and len(links) > 1:
+                mine, probe = near_keys(low)
+                out += [(last[o], i) for o in {index[k] for k in probe if k in index} if within(o, low, 1) <= 1]
+                index.update(dict.fromkeys(mine, low))
+            last[low] = i
         return out
 
-    def scored(self, texts: list[list[tuple[str, str, int, int]]], outer: list[dict[str, np.ndarray]] | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    def scored(self, texts: list[list[tuple[str, str, int, int]]], outer: list[dict[str, np.ndarray]] | None = None, links: list[list[tuple[int, str]]] | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Groups of texts with their lengths and their tokens' scores, messages included; ``outer`` are those of other texts by word."""
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+        links = links or [linked(t) for t in texts]
         at = 0
         while at < len(order):
             group, size = [], 0
@@ -325,10 +332,10 @@ class Tagger:
             em = self.emissions([self.ids(texts[i]) for i in group], size)
             for r, g in enumerate(group):
                 if outer and outer[g]:
-                    for i, (kind, word, _, _) in enumerate(texts[g]):
-                        if linkable(kind, word) and (message := outer[g].get(word.lower())) is not None:
+                    for i, word in links[g]:
+                        if (message := outer[g].get(word)) is not None:
                             em[r, i] += message
-            edges = [(r, i, j) for r, g in enumerate(group) for i, j in self.recurring(texts[g])]
+            edges = [(r, i, j) for r, g in enumerate(group) for i, j in self.joined(links[g])]
             if edges:
                 em = em + self.skips(em, lens, edges)[0]
             yield group, lens, em
@@ -350,19 +357,28 @@ class Tagger:
         cleaned = [clean(t) for t in texts]
         toks = [tokens(s) for s, _ in cleaned]
         out: list = [([], [], np.zeros((0, HEARD), np.float32), 0)] * len(texts)
-        for group, lens, em in self.scored(toks):
+        links = [linked(ts) for ts in toks]
+        for group, lens, em in self.scored(toks, None, links):
             tags = self.viterbi(em, lens)
             p = self.marginals(em, lens)[0] @ TO_CLASS
             p[..., 0] += p[..., HEARD:].sum(axis=2)
+            p = p[..., :HEARD]
+            sure = p.max(axis=2) >= SETTLED
             for r, g in enumerate(group):
+                found = self.decoded(cleaned[g], toks[g], tags[r, : lens[r]])
+                if not links[g]:
+                    out[g] = found, [], out[g][2], 0
+                    continue
                 by: dict[str, list[int]] = {}
-                for i, (kind, word, _, _) in enumerate(toks[g]):
-                    if linkable(kind, word):
-                        by.setdefault(word.lower(), []).append(i)
-                sure = {word: min(float(p[r, i, :HEARD].max()) for i in at) >= SETTLED for word, at in by.items()}
-                words = sorted(by, key=sure.__getitem__)
-                means = np.stack([p[r, by[w], :HEARD].mean(axis=0) for w in words]) if words else out[g][2]
-                out[g] = self.decoded(cleaned[g], toks[g], tags[r, : lens[r]]), words, means, sum(not x for x in sure.values())
+                for i, word in links[g]:
+                    by.setdefault(word, []).append(i)
+                settled = {w: all(sure[r, i] for i in at) for w, at in by.items()}
+                words = sorted(by, key=settled.__getitem__)
+                firsts = p[r, [by[w][0] for w in words]]
+                for k, w in enumerate(words):
+                    if len(by[w]) > 1:
+                        firsts[k] = p[r, by[w]].mean(axis=0)
+                out[g] = found, words, firsts, len(words) - sum(settled.values())
         return out
 
     def message(self, belief: np.ndarray) -> np.ndarray:
@@ -371,8 +387,8 @@ class Tagger:
         m = np.log(np.maximum(belief, 1e-9) @ kernel)[..., CLASS_OF]
         return (m - m.mean(axis=-1, keepdims=True)).astype(np.float32)
 
-    def skips(self, em: np.ndarray, lens: np.ndarray, edges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Loopy messages: the sum of log messages that reach each token over its skip edges, and each edge's belief in pairs of classes."""
+    def skips(self, em: np.ndarray, lens: np.ndarray, edges: list[tuple[int, int, int]], pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Loopy messages: the sum of log messages that reach each token over its skip edges, and if asked each edge's belief in pairs of classes."""
         rows = sorted({r for r, _, _ in edges})
         local = {r: k for k, r in enumerate(rows)}
         r, i, j = (np.array(x) for x in zip(*((local[r], i, j) for r, i, j in edges)))
@@ -394,6 +410,8 @@ class Tagger:
             np.add.at(total, (r, i), back)
         out = np.zeros_like(em)
         out[rows] = total
+        if not pairs:
+            return out, None
         pair = np.einsum("el,lm,em->elm", a, kernel, b)
         pair = np.einsum("lc,elm,md->ecd", TO_CLASS, pair, TO_CLASS)
         return out, pair / pair.sum(axis=(1, 2), keepdims=True)
@@ -458,7 +476,7 @@ class Tagger:
                 gp = np.zeros_like(pull)
                 if edges:
                     self.skip = pull[CLASS_OF[:, None], CLASS_OF[None, :]]
-                    message, pair = self.skips(em, lens, edges)
+                    message, pair = self.skips(em, lens, edges, pairs=True)
                     em = em + message
                     gp = pair.sum(axis=0)
                     r, i, j = np.array(edges).T

@@ -96,7 +96,9 @@ def test_encoding_of_repeats_and_nothing(spark):
 # ---- leaks -------------------------------------------------------------------------------------------------------
 
 
-def test_runs_of_twelve_words(spark):
+@pytest.mark.parametrize("by_join", [False, True])
+def test_runs_of_twelve_words(spark, by_join, monkeypatch):
+    monkeypatch.setattr(leak, "INDEX_ITEMS", -1 if by_join else 100)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     items = [" ".join(word() for _ in range(40)) for _ in range(20)]
@@ -129,9 +131,10 @@ def test_leaks_without_rows(spark):
 def test_every_window_of_twelve_words_has_a_fingerprint():
     rng = random.Random(5)
     ws = [str(rng.randrange(50)) for _ in range(400)]
-    all_marks = set(leak.fingerprints(" ".join(ws)).tolist())
+    marks = lambda part, by: {(h, p + by) for h, p in zip(*(x.tolist() for x in leak.fingerprints(part)))}
+    here = marks(ws, 0)
     for a in range(389):
-        assert all_marks & set(leak.fingerprints(" ".join(ws[a : a + 12])).tolist())
+        assert here & marks(ws[a : a + 12], a)  # at the same place, so that a hit can be extended
 
 
 # ---- reading level -----------------------------------------------------------------------------------------------
