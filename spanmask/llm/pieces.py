@@ -17,34 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1500, 150
-#: Characters of text on either side whose words are compared, and buckets that words are hashed to.
-BLOCK, BUCKETS = 400, 256
+#: Characters of text on either side whose words are compared.
+BLOCK = 400
 #: A piece is filled at least to this share of the limit where a cut allows it.
 FILL = 0.5
 _END = re.compile(r"[.!?…]+[\"'”’)\]»]*(?=\s)|[。！？｡।॥؟۔]+[\"'”’)\]」』）】»]*|\n+")
 _BLANK = re.compile(r"\s+")
+_BOUNDARY = re.compile(f"{_END.pattern}|{_BLANK.pattern}")
 _WORD = re.compile(r"\w+")
 _JOINING = re.compile(r"[̀-ͯ​-‏⁠︀-️﻿֑-ֽً-ٰٟऀ-ः़ा-ॏัิ-ฺ็-๎]")
 
 
-def longest_stretch(text: str) -> int:
-    """Code points of the longest stretch without blank, line break or sentence end."""
-    last, longest = 0, 0
-    for start, end in sorted([m.span() for m in _BLANK.finditer(text)] + [m.span() for m in _END.finditer(text)] + [(len(text), len(text))]):
-        longest, last = max(longest, start - last), max(last, end)
-    return longest
-
-
 def valleys(text: str, cuts: list[int]) -> np.ndarray:
     """The depth of the lexical valley at each cut: peaks of similarity on both sides minus the similarity here."""
     if not cuts:
         return np.zeros(0)
-    starts, ids = [], []
+    starts, ids, known = [], [], {}
     for m in _WORD.finditer(text.lower()):
         if len(m[0]) > 3 or not m[0].isascii():
             starts.append(m.start())
-            ids.append(sum(ord(c) * 31**i for i, c in enumerate(m[0][:6])) % BUCKETS)
-    counts = np.zeros((len(ids) + 1, BUCKETS), np.float32)
+            ids.append(known.setdefault(m[0], len(known)))
+    counts = np.zeros((len(ids) + 1, max(1, len(known))), np.float32)
     counts[np.arange(1, len(ids) + 1), ids] = 1
     np.cumsum(counts, axis=0, out=counts)
     at = np.array(cuts)
@@ -68,12 +61,14 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     """Pieces (start, end, cut) of a text longer than ``limit``; a shorter one is one piece.
 
     Each piece after the first starts ``overlap`` code points before the end of the one before, so a piece is longer than that. ``cut`` is how the
-    piece ends: sentence, blank, forced or end (of the text).
+    piece ends: sentence, blank, forced (in a stretch longer than the limit without any boundary), tight (in a shorter stretch that
+    the overlap keeps from fitting) or end (of the text).
     """
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
     out, start = [], 0
+    left = right = 0  # the stretch without a boundary that was cut last
     # A window at a time, so that memory doesn't grow with the text.
     while n - start > limit:
         done, low, high = start + overlap, start + int(limit * FILL), start + limit
@@ -89,7 +84,12 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
             if blanks:
                 end, kind = blanks[-1], "blank"
             else:
-                end, kind = high, "forced"
+                end = high
+                left = max([start + m.end() for m in _BOUNDARY.finditer(text[start : done + 1]) if start + m.end() <= done], default=left)
+                if right < high:
+                    after = _BOUNDARY.search(text, high)
+                    right = after.start() if after else n
+                kind = "forced" if right - left > limit else "tight"
                 while end > done + 1 and _JOINING.match(text[end]):  # a mark stays with its letter
                     end -= 1
         out.append((start, end, kind))
@@ -98,18 +98,17 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
 
 
 def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, piece_no, piece_start, piece_end, cut, stretch, piece): the pieces of every text longer than ``limit``.
+    """(key, piece_no, piece_start, piece_end, cut, piece): the pieces of every text longer than ``limit``.
 
     Null, empty and shorter texts have no rows; repeated rows (same key) count once; texts of any length are cut
-    to their end; columns besides the two aren't read. ``stretch`` is the text's longest stretch without a boundary.
-    Only oversized texts leave the scan.
+    to their end; columns besides the two aren't read. Only oversized texts leave the scan.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, a, b, cut, s, t[a:b]) for k, t in zip(pdf["_k"], pdf["_t"]) for s in [longest_stretch(t)] for i, (a, b, cut) in enumerate(split(t, limit, overlap))]
-            yield pd.DataFrame(rows, columns=["_k", "piece_no", "piece_start", "piece_end", "cut", "stretch", "piece"])
+            rows = [(k, i, a, b, cut, t[a:b]) for k, t in zip(pdf["_k"], pdf["_t"]) for i, (a, b, cut) in enumerate(split(t, limit, overlap))]
+            yield pd.DataFrame(rows, columns=["_k", "piece_no", "piece_start", "piece_end", "cut", "piece"])
 
     big = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > limit).dropDuplicates(["_k"])
-    return big.mapInPandas(run, f"_k {kind}, piece_no int, piece_start int, piece_end int, cut string, stretch int, piece string").withColumnRenamed("_k", key)
+    return big.mapInPandas(run, f"_k {kind}, piece_no int, piece_start int, piece_end int, cut string, piece string").withColumnRenamed("_k", key)

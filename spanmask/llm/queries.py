@@ -26,9 +26,9 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Every oversized block once (by its first piece), and whether it holds a stretch that no boundary breaks."""
-    forced = F.when(F.col("stretch") > pieces.LIMIT, "forced").otherwise("natural")
-    return p4_pieces(spark, sf).where("piece_no = 0").select("block_key", forced.alias("cut_kind"))
+    """Every oversized block, and whether a cut had to be made in a stretch that no boundary breaks, by the cuts made."""
+    forced = F.when(F.bool_or(F.col("cut") == "forced"), "forced").otherwise("natural")
+    return p4_pieces(spark, sf).groupBy("block_key").agg(forced.alias("cut_kind"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
