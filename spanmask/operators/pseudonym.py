@@ -12,8 +12,6 @@ from spanmask.functions import lexicon as X
 from spanmask.functions.spantext import splice
 
 INFO = b"pii-pseudonym-derivation-v1"
-#: Salts tried for a replacement that nothing else in the scope has; beyond them a number tells values apart.
-SALTS = 3
 
 
 def derive(master: bytes, salt: bytes) -> tuple[bytes, bytes]:
@@ -81,7 +79,7 @@ def fake(kind: Column, value: Column, tok: Column, salt: Column) -> Column:
     person = F.concat(title, given, F.lit(" "), middle, d.pick("surname", X.POOLS["surname"]))
     trust = has("trust") & ~has("limited", "ltd", "llp")
     suffix = F.when(has("private limited"), "Private Limited").when(has("pvt. ltd.", "pvt ltd"), "Pvt. Ltd.").when(has("limited"), "Limited").when(has("ltd"), "Ltd.").when(has("llp"), "LLP").when(trust, "Family Trust").otherwise("Limited")
-    firm = F.concat(F.when(trust, d.pick("firm", X.POOLS["trust"])).otherwise(d.pick("firm", X.POOLS["firm"])), F.lit(" "), suffix)
+    firm = F.concat(F.when(trust, d.pick("firm", X.POOLS["trust"])).otherwise(F.concat_ws(" ", d.pick("firm", X.POOLS["firm"]), d.pick("trade", X.POOLS["trade"]))), F.lit(" "), suffix)
     end = F.lit(X.REGIONS[-1][1])
     for words, region in reversed(X.REGIONS[:-1]):
         end = F.when(has(*words), F.lit(region)).otherwise(end)
@@ -125,22 +123,35 @@ def _numbered(kind: Column, value: Column, n: Column) -> Column:
 
 
 def pseudonyms(values: DataFrame, key: bytes, scope: str = "scope_id") -> DataFrame:
-    """(scope, token, type, value, pseudonym, salt): one row for each different value of a scope.
+    """(scope, token, type, value, pseudonym, turn): one row for each different value of a scope.
 
     ``values`` has the scope, type and text. Of values of a scope that draw the same replacement, the one with the least
-    token keeps it, the others draw again with the next salt; those still not alone after SALTS rounds get a number. Rounds are
-    windows over replacements, so a scope of any size is spread over tasks. Null types and texts have no row.
+    token keeps it (turn 1), the others get their turn as a number. One window over (scope, type, replacement) does it: draws are
+    made of several pools, so few values share one and a scope of any size is spread over tasks. Null types and texts have no row.
     """
     base = values.where("type is not null and text is not null").select(scope, F.upper(F.trim("type")).alias("type"), F.trim("text").alias("value"))
     each = base.withColumn("token", token(F.col("type"), F.col("value"), key)).groupBy(scope, "token", "type").agg(F.min("value").alias("value"))
-    out = each.withColumns({"salt": F.lit(0), "pseudonym": fake(F.col("type"), F.col("value"), F.col("token"), F.lit(0))})
-    alike = Window.partitionBy(scope, "type", "pseudonym").orderBy("salt", "token")
-    for salt in range(1, SALTS + 1):
-        out = out.withColumn("_r", F.row_number().over(alike))
-        again = F.col("_r") > 1
-        out = out.withColumns({"pseudonym": F.when(again, fake(F.col("type"), F.col("value"), F.col("token"), F.lit(salt))).otherwise(F.col("pseudonym")), "salt": F.when(again, salt).otherwise(F.col("salt"))}).drop("_r")
-    out = out.withColumn("_r", F.row_number().over(alike))
-    return out.withColumn("pseudonym", F.when(F.col("_r") > 1, _numbered(F.col("type"), F.col("pseudonym"), F.col("_r"))).otherwise(F.col("pseudonym"))).select(scope, "token", "type", "value", "pseudonym", "salt")
+    drawn = each.withColumn("pseudonym", fake(F.col("type"), F.col("value"), F.col("token"), F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy(scope, "type", "pseudonym").orderBy("token"))
+    out = drawn.withColumn("turn", turn)
+    return out.withColumn("pseudonym", F.when(F.col("turn") > 1, _numbered(F.col("type"), F.col("pseudonym"), F.col("turn"))).otherwise(F.col("pseudonym"))).select(scope, "token", "type", "value", "pseudonym", "turn")
+
+
+def distinct_in_text(df: DataFrame, spans: str, key: bytes, out: str) -> DataFrame:
+    """``df`` with ``out``: array<struct(start, end, token, pseudonym)> of a text's spans, row by row, by the rule of ``pseudonyms``:
+    equal values of a text alike, others distinct. Steps are columns of their own, so that none is worked out for each element again.
+    """
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(F.trim(s["type"])).alias("type"), F.trim(s["text"]).alias("value"), token(s["type"], s["text"], key).alias("token")))
+    # Of equal tokens the least spelling draws, as over documents.
+    least = F.transform("_k", lambda s: s.withField("value", F.array_min(F.transform(F.filter(F.col("_k"), lambda x: x["token"] == s["token"]), lambda x: x["value"]))))
+    drawn = F.transform("_l", lambda s: s.withField("drawn", fake(s["type"], s["value"], s["token"], F.lit(0))))
+
+    def one(s: Column) -> Column:
+        earlier = F.filter(F.col("_f"), lambda x: (x["type"] == s["type"]) & (x["drawn"] == s["drawn"]) & (x["token"] < s["token"]))
+        turn = F.size(F.array_distinct(F.transform(earlier, lambda x: x["token"]))) + 1
+        return F.struct(s["start"], s["end"], s["token"], F.when(turn > 1, _numbered(s["type"], s["drawn"], turn)).otherwise(s["drawn"]).alias("pseudonym"))
+
+    return df.withColumn("_k", keyed).withColumn("_l", least).withColumn("_f", drawn).withColumn(out, F.transform("_f", one)).drop("_k", "_l", "_f")
 
 
 def looked_up(values: DataFrame, known: DataFrame, key: bytes, scope: str = "scope_id") -> DataFrame:
@@ -158,6 +169,6 @@ def reveal(stored: DataFrame, key: bytes) -> DataFrame:
     return stored.select("token", unseal(F.col("payload"), key, F.col("token")).alias("value"))
 
 
-def masked(text: Column, spans: Column, key: bytes, salt: int = 0) -> Column:
-    """The text with every span replaced by its draw, row by row; without the look-up that keeps draws distinct."""
-    return splice(text, spans, lambda s: fake(s["type"], s["text"], token(s["type"], s["text"], key), F.lit(salt)))
+def masked(text: Column, replaced: Column) -> Column:
+    """The text with every span replaced; ``replaced`` as of ``distinct_in_text``."""
+    return splice(text, replaced, lambda s: s["pseudonym"])

@@ -52,6 +52,11 @@ def aliases(seed: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", F.lower("alias").alias("alias_lc")).agg(latest.alias("_s")).select("doc_id", "alias_lc", "_s.*")
 
 
+def is_carried(s: Column) -> Column:
+    """Whether a span was added here: it names what it was carried from."""
+    return F.array_contains(s["sources"], SOURCE) & s["sub_type"].isNotNull()
+
+
 def _grams(text: Column) -> Column:
     """array<struct(key, start)>: every word and every two words in a row, lower case, with their places."""
     word = re.compile(r"\w+")
@@ -86,13 +91,13 @@ def propagated(blocks: DataFrame, alias: DataFrame, key: str = "block_key", text
     whole = met.join(usable.select(key, text), key).where((F.lower(here) == F.col("alias_lc")) & (word_end != word_next))
     best = whole.withColumn("_r", F.row_number().over(Window.partitionBy(key, "start").orderBy(n.desc(), "alias_lc"))).where("_r = 1")
     one = span(F.col("type"), F.substring(F.col(text), F.col("start") + 1, n), F.col("start"), F.col("start") + n, 0.90, SOURCE).withField("sub_type", F.col("canonical"))
-    lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", one.alias("s")))).alias("_c"))
+    lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", one.alias("s")))).alias("_carried"))
 
     def step(acc: Column, c: Column) -> Column:
         free = (F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= c["s"]["start"])
         return F.when(free, F.concat(acc, F.array(c["s"]))).otherwise(acc)
 
-    scan = F.aggregate("_c", NO_SPANS(), step)
+    scan = F.aggregate("_carried", NO_SPANS(), step)
     clear = F.filter(scan, lambda c: ~F.exists(F.coalesce(F.col(spans), NO_SPANS()), lambda s: F.greatest(s["start"], c["start"]) < F.least(s["end"], c["end"])))
     joined = blocks.join(lists, key, "left")
-    return joined.withColumn(spans, F.concat(F.coalesce(F.col(spans), NO_SPANS()), F.when(F.col("_c").isNotNull(), clear).otherwise(NO_SPANS())).cast(SPANS)).drop("_c")
+    return joined.withColumn(spans, F.concat(F.coalesce(F.col(spans), NO_SPANS()), F.when(F.col("_carried").isNotNull(), clear).otherwise(NO_SPANS())).cast(SPANS)).drop("_carried")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmask.functions import checks, lexicon as X
+from spanmask.functions import checks
+from spanmask.functions import lexicon as X
+from spanmask.functions.spantext import SPANS, span
 from spanmask.operators import address as address_op
 from spanmask.operators import detect, evaluate, normalize, pseudonym, registry, resolve, rules, score
-from spanmask.functions.spantext import SPANS, span
 from spanmask.plans import pipeline
+from spanmask.plans import sql as S
+from spanmask.plans.sql import q
 from spanmask.sources.tables import spread, table
 
 #: A fixed key, so that results can be compared; a deployment derives its own.
@@ -21,16 +24,11 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("t")))
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct blocks with their normal text; repeats go by key before any text is looked at."""
-    return table(spark, sf, "blocks").select("block_key", F.col("norm_text").alias("t")).where("t is not null").dropDuplicates(["block_key"])
-
-
-def _every_block(spark: SparkSession, sf: str) -> DataFrame:
+def _blocks(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """Distinct blocks with their normal text, formed here from the raw text where no cleaner gave one."""
-    one = table(spark, sf, "blocks").select("block_key", "norm_text", "raw_text").where("norm_text is not null or raw_text is not null").dropDuplicates(["block_key"])
+    one = table(spark, sf, "blocks").select("block_key", *more, "norm_text", "raw_text").where("norm_text is not null or raw_text is not null").dropDuplicates(["block_key"])
     made = normalize.normalized(F.when(F.col("norm_text").isNull(), F.col("raw_text")))
-    return one.select("block_key", F.coalesce("norm_text", made["norm_text"]).alias("t"))
+    return one.select("block_key", *more, F.coalesce("norm_text", made["norm_text"]).alias("t"))
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,83 +46,25 @@ def _detector(name: str, source, key: str):
     return query
 
 
-# ---- SQL -------------------------------------------------------------------------------------------------------
-
-DOCS_SQL = "(SELECT doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL)"
-BLOCKS_SQL = "(SELECT DISTINCT block_key AS k, norm_text AS t FROM blocks WHERE norm_text IS NOT NULL)"
-ENTITIES_SQL = "(SELECT entity_id, any_value(doc_id) AS doc_id, any_value(block_key) AS block_key, any_value(type) AS type, any_value(text) AS text, any_value(\"start\") AS s, any_value(\"end\") AS e, any_value(confidence) AS confidence, any_value(detector_sources) AS sources FROM spans GROUP BY entity_id)"
-
-
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def sql_matches(source: str, pattern: str) -> str:
-    """k, t, v, b: every match of a pattern with its place, from the matches and the gaps between them."""
-    p = q(pattern)
-    return (
-        f"(SELECT k, t, ms[i] AS v, (list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::INT AS b "
-        f"FROM (SELECT k, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT k, t, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS gs FROM {source} AS src)))"
-    )
-
-
-def sql_found(inner: str, key: str, kind: str, value: str = "v", begin: str = "b", where: str = "true") -> str:
-    return f"SELECT k AS {key}, {value} AS value, ({begin})::INT AS span_start, ({begin} + length({value}))::INT AS span_end, '{kind}' AS span_type FROM {inner} AS m WHERE {where}"
-
-
-EMAIL_OK = r"regexp_matches(lower(v), '^[a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9-.]+$') AND NOT contains(v, '..') AND NOT ends_with(v, '.') AND length(regexp_extract(v, '[^.]*$')) >= 2"
-LUHN_OK = (
-    r"regexp_matches(regexp_replace(v, '[\s-]', '', 'g'), '^\d{13,19}$') AND length(replace(regexp_replace(v, '[\s-]', '', 'g'), v[1], '')) > 0 AND "
-    r"list_sum(list_transform(range(1, length(regexp_replace(v, '[\s-]', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(regexp_replace(v, '[\s-]', '', 'g'))[i]::INT "
-    r"ELSE (2 * reverse(regexp_replace(v, '[\s-]', '', 'g'))[i]::INT) // 10 + (2 * reverse(regexp_replace(v, '[\s-]', '', 'g'))[i]::INT) % 10 END)) % 10 = 0"
-)
-PHONE_RE2 = X.PHONE.replace(X.AFTER, r"(?:^|[\s:;,(\-])")
-_PLANS = " OR ".join(f"regexp_matches(regexp_replace(d, '^00', ''), '^{c}(?:{p})$')" for c, p in X.DIALLING.items())
-PHONE_SQL = (
-    "(SELECT k, t, rtrim(w, ' ,;.:') AS v, c + length(u) - length(w) AS b FROM (SELECT k, t, regexp_replace(u, '^\\s+', '') AS w, u, c FROM (SELECT k, t, CASE WHEN regexp_matches(v, '^[\\s:;,(\\-]') AND NOT starts_with(v, '(0') THEN v[2:] ELSE v END AS u, "
-    "CASE WHEN regexp_matches(v, '^[\\s:;,(\\-]') AND NOT starts_with(v, '(0') THEN b + 1 ELSE b END AS c FROM " + sql_matches(DOCS_SQL, PHONE_RE2) + ")))"
-)
-PHONE_OK = (
-    r"NOT regexp_matches(v, '^(?:19|20)\d{2}$') AND NOT regexp_matches(t[greatest(b - 9, 1):b], '" + X.MONEY_BEFORE + r"') AND NOT regexp_matches(lower(t[b + length(v) + 1:b + length(v) + 15]), '" + X.MONEY_AFTER + r"') "
-    r"AND NOT regexp_matches(lower(t[greatest(b - 9, 1):b]), '" + X.COUNT_BEFORE + r"') AND length(d) BETWEEN 7 AND 15 AND ((regexp_matches(v, '^(?:\+|00)') AND (" + _PLANS + r")) "
-    r"OR (length(d) = 10 AND regexp_matches(d, '^[6-9]')) OR (length(d) = 12 AND regexp_matches(d, '^91[6-9]')) OR (regexp_matches(v, '^0\d{2,4}[-\s]?\d{6,8}$') AND length(d) BETWEEN 10 AND 11))"
-)
-
-# DuckDB's word boundary knows ASCII only: letters of other scripts become "_", which is no part of the pattern here,
-# and "_" becomes "~"; values are then taken from the text itself by their places.
-WORDY = r"(SELECT k, t AS o, regexp_replace(replace(t, '_', '~'), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', '_', 'g') AS t FROM " + DOCS_SQL + ")"
-EMAIL_SQL = "(SELECT m.k, b, rtrim(o.t[b + 1:b + length(v)], ' ,;.:') AS v FROM " + sql_matches(WORDY, X.EMAIL.replace("._%", ".~%")) + " AS m JOIN " + DOCS_SQL + r" AS o ON m.k = o.k WHERE NOT regexp_matches(o.t[b:b + 1], '^[\pL\pN_]_$'))"
-
-SQL: dict[str, str] = {
-    "detect_email": sql_found(EMAIL_SQL, "doc_id", "EMAIL", where=EMAIL_OK),
-    "detect_ipv4": sql_found(sql_matches(DOCS_SQL, X.IPV4), "doc_id", "IP_ADDRESS", where=r"NOT regexp_matches(v, '(?:^|\.)0\d')"),
-    "detect_credit_card": sql_found(sql_matches(DOCS_SQL, X.CARD), "doc_id", "CREDIT_CARD", where=LUHN_OK),
-    "detect_phone": sql_found(r"(SELECT *, regexp_replace(v, '\D', '', 'g') AS d FROM " + PHONE_SQL + ")", "doc_id", "PHONE", where=PHONE_OK),
-    "detect_ipv6": sql_found(sql_matches(BLOCKS_SQL, X.IPV6), "block_key", "IP_ADDRESS"),
-    "detect_ssn": sql_found(sql_matches(BLOCKS_SQL, r"\b\d{3}-\d{2}-\d{4}\b"), "block_key", "SSN_TAX_ID", where="NOT regexp_matches(v, '^(?:000|666|9)') AND v[5:6] <> '00' AND v[8:11] <> '0000'"),
-    "detect_pan": sql_found(sql_matches(BLOCKS_SQL, X.PAN), "block_key", "SSN_TAX_ID", where=f"regexp_matches(v, '^[A-Z]{{3}}[ABCFGHLJPT]') AND NOT regexp_matches(t[greatest(b - 2, 1):b + length(v) + 10], {q(X.CIN)}) AND NOT regexp_matches(t[greatest(b - 2, 1):b + length(v) + 5], {q(X.GSTIN)})"),
-    "detect_din": sql_found("(SELECT k, t, (b + length(v) - 8) AS b, v[-8:] AS v FROM " + sql_matches(BLOCKS_SQL, X.DIN) + ")", "block_key", "SSN_TAX_ID"),
-}
-
-QUERIES: dict = {
-    **{f"detect_{n}": _detector(n, _documents, "doc_id") for n in ("email", "ipv4", "credit_card", "phone")},
-    **{f"detect_{n}": _detector(n, _blocks, "block_key") for n in ("ipv6", "ssn", "pan", "din")},
-}
+_IN_DOCUMENTS, _IN_BLOCKS = ("email", "ipv4", "credit_card", "phone"), ("ipv6", "ssn", "pan", "din")
+QUERIES: dict = {f"detect_{n}": _detector(n, _documents, "doc_id") for n in _IN_DOCUMENTS} | {f"detect_{n}": _detector(n, _blocks, "block_key") for n in _IN_BLOCKS}
+SQL: dict[str, str] = {f"detect_{n}": S.found(S.DETECTORS[n](S.DOCS), "doc_id") for n in _IN_DOCUMENTS} | {f"detect_{n}": S.found(S.DETECTORS[n](S.BLOCKS), "block_key") for n in _IN_BLOCKS}
 
 
 # ---- Normal form and runs --------------------------------------------------------------------------------------
 
 
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Normal form of every block that was ever cleaned; the table holds what a cleaner gave."""
-    b = table(spark, sf, "blocks").where("norm_text is not null and raw_text is not null").select("block_key", "raw_text").dropDuplicates(["block_key"])
-    out = normalize.with_normal_form(b)
-    return out.select("block_key", "norm_text", F.array_join("norm_to_orig", ",").alias("places"))
+    """Normal form of every block that has a text."""
+    b = table(spark, sf, "blocks").where("raw_text is not null").select("block_key", "raw_text").dropDuplicates(["block_key"])
+    return normalize.with_normal_form(b).select("block_key", "norm_text", F.array_join("norm_to_orig", ",").alias("places"))
 
 
 def spans_to_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Every span of a cleaned block in the raw places of its text."""
-    b = table(spark, sf, "blocks").where("norm_text is not null").select("block_key", "norm_text", "raw_text", "norm_to_orig").dropDuplicates(["block_key"])
+    """Every span in the raw places of its text."""
+    b = table(spark, sf, "blocks").where("raw_text is not null").select("block_key", "norm_text", "raw_text", "norm_to_orig").dropDuplicates(["block_key"])
+    made = normalize.normalized(F.when(F.col("norm_text").isNull(), F.col("raw_text")))
+    b = b.select("block_key", "raw_text", F.coalesce("norm_text", made["norm_text"]).alias("norm_text"), F.coalesce("norm_to_orig", made["norm_to_orig"]).alias("norm_to_orig"))
     s = _spans(spark, sf).select("entity_id", "block_key", "start", "end")
     place = normalize.raw_place(F.col("norm_to_orig"), F.length("norm_text"), F.length("raw_text"), F.col("start"), F.col("end"))
     return s.join(b, "block_key").select("entity_id", place.alias("p"), "raw_text").select("entity_id", F.col("p.start").alias("raw_start"), F.col("p.end").alias("raw_end"), F.expr("substring(raw_text, p.start + 1, p.end - p.start)").alias("raw_value"))
@@ -150,10 +90,10 @@ def text_by_block_type(spark: SparkSession, sf: str) -> DataFrame:
 
 B_SQL = "(SELECT block_key, any_value(norm_text) AS norm_text, any_value(raw_text) AS raw_text, any_value(norm_to_orig) AS n2o, any_value(runs) AS runs FROM blocks GROUP BY block_key)"
 SQL |= {
-    "normalize_text": "SELECT DISTINCT block_key, norm_text, array_to_string(norm_to_orig, ',') AS places FROM blocks WHERE norm_text IS NOT NULL AND raw_text IS NOT NULL",
-    "spans_to_raw": f"SELECT entity_id, a::INT AS raw_start, z::INT AS raw_end, raw_text[a + 1:z] AS raw_value FROM (SELECT entity_id, raw_text, n2o[s + 1] AS a, n2o[e] + 1 AS z FROM {ENTITIES_SQL} AS x JOIN {B_SQL} AS b USING (block_key) WHERE norm_text IS NOT NULL)",
-    "spanned_runs": f"SELECT entity_id, r.run_index AS run_index, greatest(r.raw_start, s) - r.raw_start AS slice_start, least(r.raw_end, e) - r.raw_start AS slice_end FROM (SELECT entity_id, s, e, unnest(runs) AS r FROM {ENTITIES_SQL} AS x JOIN {B_SQL} AS b USING (block_key)) WHERE greatest(r.raw_start, s) < least(r.raw_end, e)",
-    "token_counts": r"SELECT doc_id, coalesce(len(list_filter(string_split_regex(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')), 0)::INT AS tokens FROM documents",
+    "normalize_text": f"SELECT block_key, norm_text, places FROM {S.NORMAL} AS n",
+    "spans_to_raw": f"SELECT entity_id, a::INT AS raw_start, z::INT AS raw_end, raw_text[a + 1:z] AS raw_value FROM (SELECT entity_id, raw_text, coalesce(n2o[s + 1], p[s + 1]::INT) AS a, coalesce(n2o[e], p[e]::INT) + 1 AS z FROM {S.ENTITIES} AS x JOIN {B_SQL} AS b USING (block_key) LEFT JOIN (SELECT block_key, string_split(places, ',') AS p FROM {S.NORMAL_OF_OTHERS} AS n0) AS n USING (block_key) WHERE raw_text IS NOT NULL)",
+    "spanned_runs": f"SELECT entity_id, r.run_index AS run_index, greatest(r.raw_start, s) - r.raw_start AS slice_start, least(r.raw_end, e) - r.raw_start AS slice_end FROM (SELECT entity_id, s, e, unnest(runs) AS r FROM {S.ENTITIES} AS x JOIN {B_SQL} AS b USING (block_key)) WHERE greatest(r.raw_start, s) < least(r.raw_end, e)",
+    "token_counts": f"SELECT doc_id, coalesce(len(list_filter(string_split_regex(text, {q(S.BLANK)}), lambda x: x <> '')), 0)::INT AS tokens FROM documents",
     "text_by_block_type": "SELECT block_type, year, count(*) AS n_blocks, sum(n)::BIGINT AS n_chars FROM (SELECT block_key, any_value(block_type) AS block_type, any_value(doc_id[6:9]) AS year, any_value(coalesce(length(raw_text), 0)) AS n FROM blocks GROUP BY block_key) GROUP BY ROLLUP (block_type, year)",
 }
 QUERIES |= {f.__name__: f for f in (normalize_text, spans_to_raw, spanned_runs, token_counts, text_by_block_type)}
@@ -175,21 +115,20 @@ def birth_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans that are a term which is never personal, and how often each occurs."""
-    hit = _spans(spark, sf).where(score.not_personal(F.col("text")))
-    return hit.groupBy(F.lower(F.trim("text")).alias("term")).agg(F.count("*").alias("n"))
+    """Words of the blocks that are a term which is never personal, and how often each occurs."""
+    words = _blocks(spark, sf).select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]+"), 0)).alias("word"))
+    return words.where(score.not_personal(F.col("word"))).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n"))
 
 
-_TRY = "coalesce(" + ", ".join(f"CASE WHEN year(try_strptime(trim(text), '{f}')) BETWEEN 1910 AND 2026 THEN try_strptime(trim(text), '{f}') END" for f in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", "%d-%m-%Y", "%d %B %Y", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%d %B, %Y", "%d %b, %Y", "%Y/%m/%d")) + ")"
 SQL |= {
     "validate_values": "SELECT entity_id, regexp_matches(lower(trim(v)), '^[a-z0-9_.+-]+@[a-z0-9-]+\\.[a-z0-9-.]+$') AND NOT contains(v, '..') AND NOT ends_with(trim(v), '.') AND length(regexp_extract(trim(v), '[^.]*$')) >= 2 AS is_email, "
     "regexp_matches(regexp_replace(v, '\\s+', '', 'g'), '^\\d{3}-\\d{2}-\\d{4}$') AND NOT regexp_matches(regexp_replace(v, '\\s+', '', 'g'), '^(000|666|9)|-00-|-0000$') AS is_ssn, "
     "regexp_matches(upper(trim(v)), '^[A-Z]{3}[ABCFGHLJPT][A-Z][0-9]{4}[A-Z]$') AS is_pan, "
     f"(regexp_matches(v, '^(?:{X.OCTET}\\.){{3}}{X.OCTET}$') AND NOT regexp_matches(v, '(?:^|\\.)0\\d')) OR regexp_matches(v, '^(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}$') AS is_ip, "
-    f"CASE WHEN regexp_matches(regexp_replace(v, '[\\s-]', '', 'g'), '^\\d{{13,19}}$') THEN {LUHN_OK} ELSE false END AS is_card "
-    f"FROM (SELECT entity_id, text AS v FROM {ENTITIES_SQL} AS x WHERE text IS NOT NULL)",
-    "birth_dates": f"SELECT entity_id, strftime({_TRY}, '%Y-%m-%d') AS born FROM {ENTITIES_SQL} AS x WHERE upper(type) = 'DATE_OF_BIRTH' AND text IS NOT NULL",
-    "exclusions": f"SELECT lower(trim(text)) AS term, count(*) AS n FROM {ENTITIES_SQL} AS x WHERE lower(trim(text)) IN ({', '.join(q(t) for t in X.NOT_PERSONAL)}) GROUP BY 1",
+    f"CASE WHEN regexp_matches(regexp_replace(v, '[\\s-]', '', 'g'), '^\\d{{13,19}}$') THEN {S.LUHN_OK} ELSE false END AS is_card "
+    f"FROM (SELECT entity_id, text AS v FROM {S.ENTITIES} AS x WHERE text IS NOT NULL)",
+    "birth_dates": f"SELECT entity_id, strftime({S.BORN}, '%Y-%m-%d') AS born FROM {S.ENTITIES} AS x WHERE upper(type) = 'DATE_OF_BIRTH' AND text IS NOT NULL",
+    "exclusions": f"SELECT term, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(t, '[A-Za-z]+'))) AS term FROM {S.BLOCKS} AS b) WHERE {S.words_in('term', X.NOT_PERSONAL)} GROUP BY 1",
 }
 QUERIES |= {f.__name__: f for f in (validate_values, birth_dates, exclusions)}
 
@@ -199,18 +138,16 @@ QUERIES |= {f.__name__: f for f in (validate_values, birth_dates, exclusions)}
 
 def _span_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks with their detector spans as arrays. A block's spans are bounded by its length."""
-    order = F.col("entity_id")
     kind = F.coalesce(F.upper("type"), F.lit(""))
-    one = F.struct(order.alias("o"), F.struct(kind.alias("type"), "text", "start", "end", "confidence", F.col("detector_sources").alias("sources"), F.lit(None).cast("string").alias("sub_type"), F.lit(0).alias("seq")).alias("s"))
+    one = F.struct(F.col("entity_id").alias("o"), F.struct(kind.alias("type"), "text", "start", "end", "confidence", F.col("detector_sources").alias("sources"), F.lit(None).cast("string").alias("sub_type"), F.lit(0).alias("seq")).alias("s"))
     grouped = _spans(spark, sf).groupBy("block_key").agg(F.array_sort(F.collect_list(one)).alias("a"))
     return grouped.select("block_key", detect.numbered(F.transform("a", lambda x: x["s"])).cast(SPANS).alias("spans"))
 
 
 def score_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of cleaned blocks after scoring: type and confidence of those that stay."""
-    blocks = table(spark, sf, "blocks").where("norm_text is not null").select("block_key", "norm_text").dropDuplicates(["block_key"])
+    """Spans after scoring: type and confidence of those that stay."""
     s = _spans(spark, sf).select("entity_id", "block_key", span(F.col("type"), F.col("text"), F.col("start"), F.col("end"), 0.0, "table").withField("confidence", F.col("confidence")).alias("s"))
-    kept = s.join(blocks, "block_key").select("entity_id", score.scored_one(F.col("norm_text"), F.col("s")).alias("s")).where("s is not null")
+    kept = s.join(_blocks(spark, sf), "block_key").select("entity_id", score.scored_one(F.col("t"), F.col("s")).alias("s")).where("s is not null")
     return kept.select("entity_id", F.col("s.type").alias("new_type"), F.col("s.confidence").alias("new_confidence"))
 
 
@@ -238,68 +175,51 @@ def registry_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return registry.aliases(registry.seeds(_named(spark, sf))).select("doc_id", "alias_lc", "canonical", "type")
 
 
+def _propagated(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _blocks(spark, sf, "doc_id").withColumnRenamed("t", "norm_text")
+    out = registry.propagated(texts.join(_span_arrays(spark, sf), "block_key", "left"), registry.aliases(registry.seeds(_named(spark, sf))))
+    return out.withColumn("spans", F.filter("spans", registry.is_carried))
+
+
 def registry_propagate(spark: SparkSession, sf: str) -> DataFrame:
     """Known names of every filing where they stand in its blocks and no span lies yet."""
-    b = table(spark, sf, "blocks").where("norm_text is not null").select("block_key", "doc_id", "norm_text").dropDuplicates(["block_key"])
-    with_spans = b.join(_span_arrays(spark, sf), "block_key", "left")
-    out = registry.propagated(with_spans, registry.aliases(registry.seeds(_named(spark, sf))))
-    new = out.select("block_key", F.explode("spans").alias("s")).where(F.array_contains("s.sources", registry.SOURCE))
+    new = _propagated(spark, sf).select("block_key", F.explode("spans").alias("s"))
     return new.select("block_key", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.type").alias("span_type"), F.col("s.sub_type").alias("canonical"))
 
 
-def _hit(rx: str) -> str:
-    return f"regexp_matches(w, {q(rx)})"
+def registry_rescore(spark: SparkSession, sf: str) -> DataFrame:
+    """Those of them that stay by the words around them, with their confidence."""
+    new = _propagated(spark, sf).select("block_key", F.explode(score.scored(F.col("norm_text"), F.col("spans"))).alias("s"))
+    return new.select("block_key", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.type").alias("span_type"), F.col("s.confidence").alias("confidence"))
 
 
-_PRIO = "CASE upper(coalesce(type, '')) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.PRIORITY.items()) + " ELSE 0 END"
-_FIRM, _SURE = (f"regexp_matches(lower(text), '{'|'.join(p)}')" for p in (X.FIRM_PARTS, X.SURE_PARTS))
-_TITLE_SQL = q(f"(?i){X.TITLE}")
-_LEGAL_SQL = "(?:" + "|".join(e.replace(".", r"\.") for e in X.LEGAL_ENDS) + ")$"
-SEEDS_SQL = (
-    "(SELECT doc_id, canonical, arg_min(type, ord) AS type, min(ord) AS ord FROM (SELECT doc_id, upper(type) AS type, confidence, entity_id AS ord, trim(regexp_replace(trim(text), " + _TITLE_SQL + ", '')) AS canonical FROM " + ENTITIES_SQL + " AS x) AS y "
-    "WHERE confidence >= 0.85 AND type IN ('PERSON', 'ORGANIZATION') AND length(canonical) >= 4 AND (regexp_matches(canonical, '\\s') OR (type = 'ORGANIZATION' AND regexp_matches(lower(canonical), " + q(_LEGAL_SQL) + "))) "
-    f"AND lower(trim(canonical)) NOT IN ({', '.join(q(t) for t in X.NOT_PERSONAL)}) AND NOT (upper(canonical) = canonical AND lower(canonical) <> canonical AND length(canonical) <= 4) GROUP BY doc_id, canonical)"
-)
-_W = "string_split_regex(canonical, '\\s+')"
-_FL = f"({_W}[1] || ' ' || {_W}[-1])"
-ALIASES_SQL = (
-    "SELECT doc_id, lower(a) AS alias_lc, arg_max(canonical, struct_pack(o := ord, c := canonical)) AS canonical, arg_max(type, struct_pack(o := ord, c := canonical)) AS type FROM (SELECT doc_id, canonical, type, ord, unnest(CASE WHEN type = 'PERSON' AND len(" + _W + ") >= 2 THEN "
-    f"list_concat([canonical, {_FL}, CASE WHEN len({_W}) = 3 THEN {_W}[1] || ' ' || {_W}[2][1] || '. ' || {_W}[3] END], list_concat(" + ", ".join(f"['{t} ' || {_W}[-1], '{t} ' || canonical, '{t} ' || {_FL}]" for t in X.TITLES[:5]) + ")) "
-    "WHEN type = 'PERSON' THEN [canonical] ELSE [canonical, "
-    + ", ".join(f"CASE WHEN contains(canonical, '{a}') THEN replace(canonical, '{a}', '{b}') END" for a, b in (("Limited", "Ltd"), ("Limited", "Ltd."), ("Private Limited", "Pvt. Ltd."), ("Private Limited", "Pvt Ltd"), ("Private Limited", "Pvt. Ltd"), ("Private", "Pvt."), ("Private", "Pvt")))
-    + "] END) AS a FROM " + SEEDS_SQL + " AS s) WHERE length(a) >= 5 GROUP BY doc_id, lower(a)"
-)
-MERGED_SQL = f"(SELECT block_key, s, e, arg_min(coalesce(upper(type), ''), struct_pack(p := -({_PRIO}), c := -coalesce(confidence, 0), i := entity_id)) AS type, list_sort(list_distinct(flatten(list(sources)))) AS sources, arg_min(entity_id, struct_pack(p := -({_PRIO}), c := -coalesce(confidence, 0), i := entity_id)) AS i FROM {ENTITIES_SQL} AS x GROUP BY block_key, s, e)"
+_BY_BLOCK = f"(SELECT entity_id, block_key AS k, type, text, s, e, confidence, sources FROM {S.ENTITIES} AS x)"
+_UPPER = f"(SELECT entity_id AS seq, block_key AS k, coalesce(upper(type), '') AS type, text, s, e, confidence, sources FROM {S.ENTITIES} AS x)"
+_NAMED = f"(SELECT doc_id, upper(type) AS type, text, confidence, entity_id AS ord FROM {S.ENTITIES} AS x)"
+_BLOCK_DOCS = f"(SELECT k, doc_id, t FROM {S.BLOCKS} AS b JOIN (SELECT DISTINCT block_key AS k, doc_id FROM blocks) AS d USING (k))"
+PROPAGATED = S.propagated(_BLOCK_DOCS, _UPPER, S.aliases(S.seeds(_NAMED)))
 SQL |= {
-    "score_spans": "SELECT entity_id, kind AS new_type, round(conf, 3) AS new_confidence FROM (SELECT entity_id, text, type, CASE WHEN type = 'PERSON' AND " + _FIRM + " THEN 'ORGANIZATION' ELSE type END AS kind, "
-    f"CASE WHEN type = 'DATE_OF_BIRTH' THEN CASE WHEN {_hit(X.BIRTH_CUE)} AND NOT {_hit(X.FILING_CUE)} THEN least(1.0, confidence + 0.35) WHEN {_hit(X.FILING_CUE)} THEN greatest(0.0, confidence - 0.60) ELSE greatest(0.0, confidence - 0.45) END "
-    f"WHEN type = 'PERSON' AND NOT {_FIRM} THEN CASE WHEN {_hit(X.PERSON_CUE)} THEN least(1.0, confidence + 0.20) WHEN {_hit(X.BODY_CUE)} THEN greatest(0.0, confidence - 0.25) ELSE confidence END "
-    f"WHEN type = 'ORGANIZATION' AND {_SURE} THEN least(1.0, confidence + 0.20) ELSE confidence END AS conf, {_FIRM} AS firm, {_SURE} AS sure "
-    f"FROM (SELECT x.*, norm_text[greatest(s - 80, 0) + 1:e + 80] AS w FROM {ENTITIES_SQL} AS x JOIN {B_SQL} AS b USING (block_key) WHERE norm_text IS NOT NULL)) "
-    f"WHERE NOT coalesce(lower(trim(text)) IN ({', '.join(q(t) for t in X.NOT_PERSONAL)}) OR (type = 'PERSON' AND NOT firm AND length(trim(text)) < 3) OR (type = 'ORGANIZATION' AND NOT sure AND length(trim(text)) < 4) OR (kind = 'DATE_OF_BIRTH' AND round(conf, 3) < 0.5) OR (kind = 'ORGANIZATION' AND round(conf, 3) < 0.45), false)",
-    "merge_duplicates": f"SELECT block_key, s AS span_start, e AS span_end, type AS span_type, array_to_string(sources, ',') AS sources FROM {MERGED_SQL} AS m",
-    "resolve_conflicts": f"WITH RECURSIVE m AS (SELECT block_key, s, e, type, {_PRIO} AS p, row_number() OVER (PARTITION BY block_key ORDER BY s, s - e, i) AS n FROM {MERGED_SQL} AS x), "
-    "f AS (SELECT block_key, 1 AS n, [{'s': s, 'e': e, 'type': type, 'p': p}] AS acc FROM m WHERE n = 1 UNION ALL "
-    "SELECT m.block_key, m.n, CASE WHEN acc[-1].e <= m.s THEN list_append(acc, {'s': m.s, 'e': m.e, 'type': m.type, 'p': m.p}) "
-    "WHEN (acc[-1].e >= m.e AND (acc[-1].type = 'ADDRESS' OR acc[-1].p >= m.p)) OR (acc[-1].e < m.e AND (m.p < acc[-1].p OR (m.p = acc[-1].p AND m.e - m.s <= acc[-1].e - acc[-1].s))) THEN acc "
-    "ELSE list_append(acc[1:len(acc) - 1], {'s': m.s, 'e': m.e, 'type': m.type, 'p': m.p}) END FROM f JOIN m ON m.block_key = f.block_key AND m.n = f.n + 1) "
-    "SELECT block_key, r.s AS span_start, r.e AS span_end, r.type AS span_type FROM (SELECT block_key, unnest(acc) AS r FROM (SELECT *, max(n) OVER (PARTITION BY block_key) AS top FROM f) WHERE n = top)",
-    "registry_seeds": f"SELECT doc_id, canonical, type FROM {SEEDS_SQL} AS s",
-    "registry_aliases": ALIASES_SQL,
+    "score_spans": f"SELECT entity_id, type AS new_type, confidence AS new_confidence FROM {S.scored(_BY_BLOCK, S.BLOCKS)} AS z",
+    "merge_duplicates": f"SELECT m.k AS block_key, m.s AS span_start, m.e AS span_end, m.type AS span_type, array_to_string(u.sources, ',') AS sources FROM {S.merged(_UPPER)} AS m JOIN (SELECT k, s, e, list_sort(list_distinct(flatten(list(sources)))) AS sources FROM {_UPPER} AS v GROUP BY k, s, e) AS u USING (k, s, e)",
+    "resolve_conflicts": f"SELECT k AS block_key, s AS span_start, e AS span_end, type AS span_type FROM {S.resolved(_UPPER)} AS z",
+    "registry_seeds": f"SELECT doc_id, canonical, type FROM {S.seeds(_NAMED)} AS s",
+    "registry_aliases": S.aliases(S.seeds(_NAMED)),
+    "registry_propagate": f"SELECT k AS block_key, s AS span_start, e AS span_end, type AS span_type, canonical FROM {PROPAGATED} AS p",
+    "registry_rescore": f"SELECT k AS block_key, s AS span_start, e AS span_end, type AS span_type, confidence FROM {S.scored(f'(SELECT *, 0.9::DOUBLE AS confidence FROM {PROPAGATED} AS p0)', S.BLOCKS)} AS z",
 }
-QUERIES |= {f.__name__: f for f in (score_spans, merge_duplicates, resolve_conflicts, registry_seeds, registry_aliases, registry_propagate)}
+QUERIES |= {f.__name__: f for f in (score_spans, merge_duplicates, resolve_conflicts, registry_seeds, registry_aliases, registry_propagate, registry_rescore)}
 
 
 # ---- Addresses, rules, whole runs ------------------------------------------------------------------------------
 
 
 def detect_address(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(_every_block(spark, sf), "block_key", address_op.address(F.col("t")))
+    return _found(_blocks(spark, sf), "block_key", address_op.address(F.col("t")))
 
 
 def detect_names(spark: SparkSession, sf: str) -> DataFrame:
     """Organisations and persons by rule."""
-    return _found(_every_block(spark, sf), "block_key", F.concat(rules.organisation(F.col("t")), rules.person(F.col("t"))))
+    return _found(_blocks(spark, sf), "block_key", F.concat(rules.organisation(F.col("t")), rules.person(F.col("t"))))
 
 
 def detect_birth_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,31 +234,52 @@ def detect_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    """Identifiers by type and language, with subtotals."""
-    docs = spread(table(spark, sf, "documents").select("lang", "text")).select("lang", F.explode(detect.identifiers(F.col("text"), ("email", "ipv4", "credit_card"))).alias("s"))
+    """Identifiers of all detectors by type and language, with subtotals."""
+    docs = spread(table(spark, sf, "documents").select("lang", "text")).select("lang", F.explode(detect.identifiers(F.col("text"))).alias("s"))
     return docs.select("lang", F.col("s.type").alias("span_type")).rollup("span_type", "lang").agg(F.count("*").alias("n"))
 
 
 def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its personal information replaced by keyed draws."""
+    """Every document with its personal information and names replaced by keyed draws, distinct within the document."""
     out = pipeline.redact_text(_documents(spark, sf), "t", TOKEN_KEY)
     return out.select("doc_id", F.size("spans").alias("n_spans"), "redacted")
 
 
+def _filings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "blocks").select("block_key", "doc_id", "block_id", "block_ord", "raw_text").where("raw_text is not null").dropDuplicates(["block_key"])
+
+
+def detect_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every filing's spans in normal text: detected and scored, known names carried over the filing and scored, arbitrated."""
+    return _found(pipeline.detect_documents(_filings(spark, sf)), "block_key", F.col("spans"))
+
+
 def redact_filings(spark: SparkSession, sf: str) -> DataFrame:
     """Every filing's blocks, names carried over each filing, replacements distinct within it."""
-    b = table(spark, sf, "blocks").select("block_key", "doc_id", "block_id", "block_ord", "raw_text").where("raw_text is not null").dropDuplicates(["block_key"])
-    return pipeline.redact_documents(pipeline.detect_documents(b), TOKEN_KEY)
+    return pipeline.redact_documents(pipeline.detect_documents(_filings(spark, sf)), TOKEN_KEY)
+
+
+def _detected(source: str) -> str:
+    return S.resolved(f"(SELECT * FROM {S.scored(S.candidates(source), source)} AS c0)")
 
 
-_OF_TYPE = lambda name, kind: f"SELECT doc_id AS k, '{kind}' AS span_type FROM ({SQL[name]})"
+NORMAL_BLOCKS = f"(SELECT k, doc_id, ord, n.norm_text AS t FROM (SELECT block_key AS k, any_value(doc_id) AS doc_id, any_value(block_ord) AS ord FROM blocks WHERE raw_text IS NOT NULL GROUP BY block_key) AS b JOIN {S.NORMAL} AS n ON n.block_key = b.k)"
+_IN_FILINGS = (
+    f"WITH texts AS MATERIALIZED (SELECT * FROM {NORMAL_BLOCKS} AS t0), first AS MATERIALIZED (SELECT * FROM {S.scored(S.candidates('(SELECT k, t FROM texts)'), '(SELECT k, t FROM texts)')} AS f0), "
+    f"named AS MATERIALIZED (SELECT doc_id, type, text, confidence, struct_pack(o := texts.ord, i := seq) AS ord FROM first JOIN texts USING (k) WHERE doc_id IS NOT NULL), "
+    f"carried AS MATERIALIZED (SELECT * FROM {S.propagated('texts', 'first', S.aliases(S.seeds('named')))} AS c0), "
+    f"every AS MATERIALIZED (SELECT k, type, text, s, e, confidence, seq FROM first UNION ALL SELECT k, type, text, s, e, confidence, 1000000 + s AS seq FROM {S.scored('(SELECT k, type, text, s, e, 0.9::DOUBLE AS confidence FROM carried)', '(SELECT k, t FROM texts)')} AS s0) "
+)
 SQL |= {
-    "pii_by_type": "SELECT span_type, lang, count(*) AS n FROM (" + " UNION ALL ".join(_OF_TYPE(n, k) for n, k in (("detect_email", "EMAIL"), ("detect_ipv4", "IP_ADDRESS"), ("detect_credit_card", "CREDIT_CARD"))) + ") JOIN documents ON k = doc_id GROUP BY ROLLUP (span_type, lang)",
+    "detect_address": S.found(S.address(S.BLOCKS), "block_key"),
+    "detect_names": S.found(S.organisation(S.BLOCKS) + " UNION ALL " + S.person(S.BLOCKS), "block_key"),
+    "detect_birth_dates": S.found(f"SELECT * FROM {S.scored('(' + S.birth_date(S.BLOCKS) + ')', S.BLOCKS)} AS z", "block_key"),
+    "detect_pii": S.found(f"SELECT * FROM {_detected(S.DOCS)} AS z", "doc_id"),
+    "pii_by_type": f"SELECT type AS span_type, lang, count(*) AS n FROM {S.candidates(S.DOCS, ('identifiers',))} AS c JOIN documents ON k = doc_id GROUP BY ROLLUP (type, lang)",
+    "redact_documents": f"WITH found AS MATERIALIZED (SELECT * FROM {_detected(S.DOCS)} AS d0) SELECT k AS doc_id, n::INT AS n_spans, redacted FROM {S.redacted(S.DOCS, 'found', TOKEN_KEY)} AS z UNION ALL SELECT doc_id, 0, text FROM documents WHERE text IS NULL",
+    "detect_filings": _IN_FILINGS + S.found(f"SELECT * FROM {S.resolved('every')} AS z", "block_key"),
 }
-SQL["detect_birth_dates"] = sql_found(
-    "(SELECT *, v AS text, t[greatest(b - 80, 0) + 1:b + length(v) + 80] AS w FROM " + sql_matches(BLOCKS_SQL, rules.DATE) + ")", "block_key", "DATE_OF_BIRTH", where=f"{_TRY} IS NOT NULL AND {_hit(X.BIRTH_CUE)} AND NOT {_hit(X.FILING_CUE)}"
-)
-QUERIES |= {f.__name__: f for f in (detect_address, detect_names, detect_birth_dates, detect_pii, pii_by_type, redact_documents, redact_filings)}
+QUERIES |= {f.__name__: f for f in (detect_address, detect_names, detect_birth_dates, detect_pii, pii_by_type, redact_documents, detect_filings, redact_filings)}
 
 
 # ---- Tokens, replacements, vault -------------------------------------------------------------------------------
@@ -360,7 +301,7 @@ def _fakes(kind: str):
 def pseudonym_map(spark: SparkSession, sf: str) -> DataFrame:
     """Replacements of every filing's values, distinct within the filing."""
     s = _spans(spark, sf).select(F.col("doc_id").alias("scope_id"), "type", "text").where("scope_id is not null")
-    return pseudonym.pseudonyms(s, TOKEN_KEY).select("scope_id", "token", "type", "pseudonym", "salt")
+    return pseudonym.pseudonyms(s, TOKEN_KEY).select("scope_id", "token", "type", "pseudonym", "turn")
 
 
 def vault_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -371,58 +312,23 @@ def vault_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return opened.select("token", pseudonym.unseal(F.col("payload"), VAULT_KEY, F.col("token")).alias("value"), F.col("wrong").isNull().alias("guarded"))
 
 
-def _hex(b: bytes) -> str:
-    return f"unhex('{b.hex().upper()}')"
-
-
-def sql_token(kind: str, value: str) -> str:
-    inner, outer = (bytes(b ^ x for b in TOKEN_KEY.ljust(64, b"\0")) for x in (0x36, 0x5C))
-    return f"sha256({_hex(outer)} || unhex(sha256({_hex(inner)} || encode(upper(trim({kind})) || ':' || lower(trim({value}))))))"
-
-
-def sql_draw(name: str, low: int, high: int) -> str:
-    return f"(('0x' || md5(tok[1:12] || '_0/{name}')[1:8])::BIGINT % {high - low + 1} + {low})"
+def looked_up(spark: SparkSession, sf: str) -> DataFrame:
+    """The replacement that each span's filing has for it; spans without a type or text have none."""
+    s = _spans(spark, sf).select("entity_id", F.col("doc_id").alias("scope_id"), "type", "text").where("scope_id is not null")
+    known = pseudonym.pseudonyms(s.select("scope_id", "type", "text"), TOKEN_KEY)
+    return pseudonym.looked_up(s, known, TOKEN_KEY).select("entity_id", "pseudonym")
 
 
-def sql_pick(name: str, pool: list[str]) -> str:
-    return "[" + ", ".join(q(x) for x in pool) + f"][{sql_draw(name, 1, len(pool))}]"
-
-
-def _sql_fakes(kind: str, value: str) -> str:
-    return f"SELECT entity_id, {value} AS pseudonym FROM (SELECT entity_id, text, trim(text) AS v, {sql_token('type', 'text')} AS tok FROM {ENTITIES_SQL} AS x WHERE type = '{kind}' AND text IS NOT NULL)"
-
-
-_DIGITS = lambda name, n: " || ".join(sql_draw(f"{name}{i}", 0, 9) for i in range(n))
-_NEAR = "(contains(v, '20') AND (contains(v, '+') OR contains(v, '91')))"
-_PARTIAL = f"'4012' || {_DIGITS('card', 11)}"
-_SUM = "list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN (2 * c[i]::INT) // 10 + (2 * c[i]::INT) % 10 ELSE c[i]::INT END))"
-SQL |= {
-    "entity_tokens": f"SELECT entity_id, {sql_token('type', 'text')} AS token FROM {ENTITIES_SQL} AS x WHERE type IS NOT NULL AND text IS NOT NULL",
-    "pseudonymize_ip": _sql_fakes("IP_ADDRESS", f"'198.51.100.' || {sql_draw('host', 1, 250)}"),
-    "pseudonymize_dob": _sql_fakes("DATE_OF_BIRTH", f"lpad({sql_draw('day', 1, 28)}::VARCHAR, 2, '0') || ' ' || {sql_pick('month', X.POOLS['month'])} || ' ' || {sql_draw('year', 1965, 1995)}"),
-    "pseudonymize_phone": _sql_fakes("PHONE", f"CASE WHEN {_NEAR} THEN CASE WHEN contains(v, '+ ') THEN '+ 91 20 ' ELSE '+91 20 ' END || {sql_draw('near', 4000, 4999)} || ' ' || {sql_draw('line', 1000, 9999)} ELSE '+91 98' || {_DIGITS('mobile', 8)} END"),
-    "pseudonymize_card": f"SELECT entity_id, w[1:4] || ' ' || w[5:8] || ' ' || w[9:12] || ' ' || w[13:16] AS pseudonym FROM (SELECT entity_id, c || ((10 - {_SUM} % 10) % 10) AS w FROM (SELECT entity_id, pseudonym AS c FROM ({_sql_fakes('CREDIT_CARD', _PARTIAL)})))",
-    "vault_roundtrip": f"SELECT token, min(trim(text)) AS value, true AS guarded FROM (SELECT text, {sql_token('type', 'text')} AS token FROM {ENTITIES_SQL} AS x WHERE type IS NOT NULL AND text IS NOT NULL) GROUP BY token",
-}
-_LOUD = lambda out: f"CASE WHEN upper(v) = v AND lower(v) <> v THEN upper({out}) ELSE {out} END"
-_HAS = lambda *xs: "regexp_matches(lower(v), " + q("|".join(x.replace(".", r"\.") for x in xs)) + ")"
-_TITLE_OF = f"regexp_extract(v, {_TITLE_SQL})"
-_BODY_OF = f"trim(v[length({_TITLE_OF}) + 1:])"
-_GIVEN = f"CASE WHEN regexp_matches(lower({_TITLE_OF}), '^(?:ms\\.|mrs\\.|smt\\.)') THEN {sql_pick('given', X.POOLS['woman'])} ELSE {sql_pick('given', X.POOLS['man'])} END"
-_MIDDLE = f"CASE WHEN len(string_split_regex({_BODY_OF}, '\\s+')) >= 3 THEN {sql_pick('middle', X.POOLS['middle'])} || ' ' ELSE '' END"
-_TRUST = f"({_HAS('trust')} AND NOT {_HAS('limited', 'ltd', 'llp')})"
-_SUFFIX = f"CASE WHEN {_HAS('private limited')} THEN 'Private Limited' WHEN {_HAS('pvt. ltd.', 'pvt ltd')} THEN 'Pvt. Ltd.' WHEN {_HAS('limited')} THEN 'Limited' WHEN {_HAS('ltd')} THEN 'Ltd.' WHEN {_HAS('llp')} THEN 'LLP' WHEN {_TRUST} THEN 'Family Trust' ELSE 'Limited' END"
-_REGION = "CASE " + " ".join(f"WHEN {_HAS(*w)} THEN {q(r)}" for w, r in X.REGIONS[:-1]) + f" ELSE {q(X.REGIONS[-1][1])} END"
-_LETTER = lambda n: f"{q(X.LETTERS)}[{sql_draw(n, 1, len(X.LETTERS))}]"
+_KINDS = (("ip", "IP_ADDRESS"), ("dob", "DATE_OF_BIRTH"), ("phone", "PHONE"), ("card", "CREDIT_CARD"), ("person", "PERSON"), ("organization", "ORGANIZATION"), ("address", "ADDRESS"), ("email", "EMAIL"), ("tax_id", "SSN_TAX_ID"))
+_VALUES = f"(SELECT doc_id AS scope, type, text FROM {S.ENTITIES} AS x WHERE doc_id IS NOT NULL)"
 SQL |= {
-    "pseudonymize_person": _sql_fakes("PERSON", _LOUD(f"({_TITLE_OF} || ({_GIVEN}) || ' ' || ({_MIDDLE}) || {sql_pick('surname', X.POOLS['surname'])})")),
-    "pseudonymize_organization": _sql_fakes("ORGANIZATION", _LOUD(f"((CASE WHEN {_TRUST} THEN {sql_pick('firm', X.POOLS['trust'])} ELSE {sql_pick('firm', X.POOLS['firm'])} END) || ' ' || ({_SUFFIX}))")),
-    "pseudonymize_address": _sql_fakes("ADDRESS", _LOUD(f"('Unit ' || {sql_draw('unit', 10, 999)} || ', Floor ' || {sql_draw('floor', 1, 25)} || ', ' || ({_REGION}))")),
-    "pseudonymize_email": _sql_fakes("EMAIL", f"(CASE WHEN {_HAS('cs')} THEN 'cs.compliance' WHEN {_HAS('compliance', 'connect')} THEN 'compliance' ELSE {sql_pick('user', X.POOLS['user'])} END) || '.' || tok[1:8] || '@{X.MAIL_DOMAIN}'"),
-    "pseudonymize_tax_id": _sql_fakes("SSN_TAX_ID", f"CASE WHEN contains(v, '-') AND length(v) = 11 THEN {sql_draw('area', 100, 665)} || '-' || {sql_draw('group', 10, 99)} || '-' || {sql_draw('serial', 1000, 9999)} WHEN regexp_matches(v, '^\\d{{8}}$') THEN '0' || {sql_draw('din', 1000000, 9999999)} ELSE {_LETTER('a')} || {_LETTER('b')} || {_LETTER('c')} || 'PH' || {sql_draw('pan', 1000, 9999)} || {_LETTER('e')} END"),
+    "entity_tokens": f"SELECT entity_id, {S.token('type', 'text', TOKEN_KEY)} AS token FROM {S.ENTITIES} AS x WHERE type IS NOT NULL AND text IS NOT NULL",
+    "vault_roundtrip": f"SELECT token, min(trim(text)) AS value, true AS guarded FROM (SELECT text, {S.token('type', 'text', TOKEN_KEY)} AS token FROM {S.ENTITIES} AS x WHERE type IS NOT NULL AND text IS NOT NULL) GROUP BY token",
+    "pseudonym_map": f"SELECT scope AS scope_id, token, type, pseudonym, turn FROM {S.pseudonyms(_VALUES, TOKEN_KEY)} AS p",
+    "looked_up": f"SELECT entity_id, pseudonym FROM (SELECT *, {S.token('type', 'text', TOKEN_KEY)} AS token FROM {S.ENTITIES} AS x WHERE doc_id IS NOT NULL) AS e LEFT JOIN {S.pseudonyms(_VALUES, TOKEN_KEY)} AS p ON p.scope = e.doc_id AND p.token = e.token",
 }
-QUERIES |= {f.__name__: f for f in (entity_tokens, pseudonym_map, vault_roundtrip)}
-QUERIES |= {f"pseudonymize_{n}": _fakes(k) for n, k in (("ip", "IP_ADDRESS"), ("dob", "DATE_OF_BIRTH"), ("phone", "PHONE"), ("card", "CREDIT_CARD"), ("person", "PERSON"), ("organization", "ORGANIZATION"), ("address", "ADDRESS"), ("email", "EMAIL"), ("tax_id", "SSN_TAX_ID"))}
+SQL |= {f"pseudonymize_{n}": f"SELECT entity_id, {S.FAKES[k]} AS pseudonym FROM (SELECT entity_id, trim(text) AS v, {S.token('type', 'text', TOKEN_KEY)} AS tok FROM {S.ENTITIES} AS x WHERE type = '{k}' AND text IS NOT NULL)" for n, k in _KINDS}
+QUERIES |= {f.__name__: f for f in (entity_tokens, pseudonym_map, vault_roundtrip, looked_up)} | {f"pseudonymize_{n}": _fakes(k) for n, k in _KINDS}
 
 
 # ---- Evaluation ------------------------------------------------------------------------------------------------
@@ -434,37 +340,45 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "synthetic_benchmark").where("entities is not null and text is not null").select("id", "text").dropDuplicates(["id"])
+    return spread(table(spark, sf, "synthetic_benchmark").where("entities is not null and text is not null").select("id", "text")).dropDuplicates(["id"])
 
 
-#: Detectors whose SQL equals the scan over records; the full set has its own query.
-_EVAL = ("ipv4", "pan", "credit_card")
+def _labelled(df: DataFrame, spans: Column) -> DataFrame:
+    return evaluate.exploded(df.select("id", F.transform(spans, lambda s: F.struct(s["type"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))).alias("e")), "id", "e")
 
 
-def _predicted(spark: SparkSession, sf: str, names: tuple[str, ...] | None = None) -> DataFrame:
-    found = _records(spark, sf).select("id", detect.identifiers(F.col("text"), names).alias("s"))
-    return evaluate.exploded(found.select("id", F.transform("s", lambda s: F.struct(s["type"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))).alias("e")), "id", "e")
+def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """What all detectors of identifiers find in the labelled records."""
+    return _labelled(_records(spark, sf).withColumn("_s", detect.identifiers(F.col("text"))), F.col("_s"))
 
 
 def eval_strict(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluate.strict(_predicted(spark, sf, _EVAL), _gold(spark, sf))
+    out = evaluate.strict(_predicted(spark, sf), _gold(spark, sf))
     return out.groupBy("label", "outcome").agg(F.count("*").alias("n"))
 
 
+def eval_relaxed(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions that no gold span equals but one of their label overlaps."""
+    return evaluate.relaxed(_predicted(spark, sf), _gold(spark, sf)).select("doc_id", "start", "end", "label")
+
+
 def eval_per_class(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.per_class(_predicted(spark, sf, _EVAL), _gold(spark, sf))
+    return evaluate.per_class(_predicted(spark, sf), _gold(spark, sf))
 
 
 def eval_overall(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = evaluate.tokens_of(_records(spark, sf), "text")
-    return evaluate.overall(eval_per_class(spark, sf), tokens)
+    return evaluate.overall(eval_per_class(spark, sf), evaluate.tokens_of(_records(spark, sf), "text"))
 
 
 def eval_engine(spark: SparkSession, sf: str) -> DataFrame:
     """The whole model-free engine against the labels of the benchmark."""
-    found = pipeline.detect_pii(_records(spark, sf), "text", with_rules=True)
-    pred = evaluate.exploded(found.select("id", F.transform("spans", lambda s: F.struct(s["type"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))).alias("e")), "id", "e")
-    return evaluate.per_class(pred, _gold(spark, sf))
+    return evaluate.per_class(_labelled(pipeline.detect_pii(_records(spark, sf), "text"), F.col("spans")), _gold(spark, sf))
+
+
+def eval_prospectus(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole model-free engine against the held-out prospectus items."""
+    items = table(spark, sf, "gold_prospectus").where("text is not null").select("id", "text", "entities").dropDuplicates(["id"])
+    return evaluate.per_class(_labelled(pipeline.detect_pii(items, "text"), F.col("spans")), evaluate.exploded(items, "id", "entities"))
 
 
 def eval_shifted(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,50 +387,47 @@ def eval_shifted(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.shifted(_gold(spark, sf), records, "id", "text")
 
 
+#: Configurations of the ablation: rules stand in for the model; with context, addresses are found too and all is scored.
+CONFIGS = ("identifiers", "rules", "identifiers+rules", "identifiers+rules+context", "identifiers+rules+context+registry")
+
+
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """The engine with parts left out."""
-    r = _records(spark, sf)
-    parts = {"identifiers": detect.identifiers(F.col("text")), "addresses": address_op.address(F.col("text")), "rules": F.concat(rules.organisation(F.col("text")), rules.person(F.col("text")))}
-    pred = None
-    for name, spans in parts.items():
-        one = r.select(F.col("id").alias("doc_id"), F.explode(spans).alias("s")).select("doc_id", F.col("s.type").alias("label"), "s.start", "s.end", F.lit(name).alias("source"))
-        pred = one if pred is None else pred.unionByName(one)
-    configs = {"identifiers": ("identifiers",), "addresses": ("addresses",), "rules": ("rules",), "identifiers+addresses": ("identifiers", "addresses"), "full": tuple(parts)}
-    tokens = evaluate.tokens_of(r, "text").first()[0]
-    return evaluate.ablation(pred, _gold(spark, sf), configs, tokens)
-
-
-RECORDS_SQL = "(SELECT DISTINCT id AS k, text AS t FROM synthetic_benchmark WHERE entities IS NOT NULL AND text IS NOT NULL)"
-GOLD_SQL = "(SELECT id AS k, coalesce(x.label, '') AS label, x.\"start\" AS s, x.\"end\" AS e FROM (SELECT id, unnest(ents) AS x FROM (SELECT id, any_value(entities) AS ents FROM synthetic_benchmark WHERE entities IS NOT NULL GROUP BY id)))"
-
-
-def _pred_sql() -> str:
-    parts = (
-        sql_found(sql_matches(RECORDS_SQL, X.IPV4), "k", "IP_ADDRESS", where=r"NOT regexp_matches(v, '(?:^|\.)0\d')"),
-        sql_found(sql_matches(RECORDS_SQL, X.PAN), "k", "SSN_TAX_ID", where=f"regexp_matches(v, '^[A-Z]{{3}}[ABCFGHLJPT]') AND NOT regexp_matches(t[greatest(b - 2, 1):b + length(v) + 10], {q(X.CIN)}) AND NOT regexp_matches(t[greatest(b - 2, 1):b + length(v) + 5], {q(X.GSTIN)})"),
-        sql_found(sql_matches(RECORDS_SQL, X.CARD), "k", "CREDIT_CARD", where=LUHN_OK),
-    )
-    return "(SELECT k, span_type AS label, span_start AS s, span_end AS e FROM (" + " UNION ALL ".join(parts) + "))"
-
-
-_COPY = "row_number() OVER (PARTITION BY k, s, e, label) AS c"
-OUTCOME_SQL = f"(SELECT coalesce(p.k, g.k) AS k, coalesce(p.label, g.label) AS label, coalesce(p.s, g.s) AS s, coalesce(p.e, g.e) AS e, CASE WHEN p.k IS NOT NULL AND g.k IS NOT NULL THEN 'tp' WHEN p.k IS NOT NULL THEN 'fp' ELSE 'fn' END AS outcome FROM (SELECT *, {_COPY} FROM {_pred_sql()} AS a) AS p FULL JOIN (SELECT *, {_COPY} FROM {GOLD_SQL} AS b) AS g ON p.k = g.k AND p.s = g.s AND p.e = g.e AND p.label = g.label AND p.c = g.c)"
-_P, _R = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END", "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END"
-_NP, _NR = _P.replace("tp", "relaxed_tp"), _R.replace("tp", "relaxed_tp")
-_F = lambda p, r: f"CASE WHEN ({p}) + ({r}) > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END"
-RATES_SQL = f"round({_P}, 4) AS precision, round({_R}, 4) AS recall, round({_F(_P, _R)}, 4) AS f1, round({_F(_NP, _NR)}, 4) AS relaxed_f1"
-CLASSES_SQL = "(SELECT unnest([" + ", ".join(q(c) for c in evaluate.CLASSES) + "]) AS label)"
-COUNTS_SQL = (
-    f"(SELECT label, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn, count(*) FILTER (outcome = 'tp' OR near) AS relaxed_tp FROM {CLASSES_SQL} AS c LEFT JOIN "
-    f"(SELECT o.label, outcome, outcome = 'fp' AND EXISTS (SELECT 1 FROM {GOLD_SQL} AS g WHERE g.k = o.k AND g.label = o.label AND greatest(g.s, o.s) < least(g.e, o.e)) AS near FROM {OUTCOME_SQL} AS o) USING (label) GROUP BY label)"
+    """The engine with parts left out; each configuration's spans are arbitrated, and each record is a document of its own."""
+    text = F.col("text")
+    worded = (F.length(F.trim(text)) >= 4) & text.rlike("[a-zA-Z]")
+    within = lambda c: F.when(worded, c).otherwise(F.array().cast(SPANS))
+    parts = {"_i": detect.identifiers(text), "_a": within(address_op.address(text)), "_r": within(F.concat(rules.organisation(text), rules.person(text), rules.birth_date(text)))}
+    r = _records(spark, sf).withColumns(parts).withColumn("_c", score.scored(text, detect.numbered(F.concat("_i", "_a", "_r")).cast(SPANS)))
+    r = r.select("id", F.col("id").alias("doc_id"), "text", "_i", "_r", detect.numbered(F.concat("_i", "_r")).cast(SPANS).alias("_b"), "_c", F.col("_c").alias("_k"))
+    named = r.select("doc_id", F.posexplode("_c").alias("ord", "s")).select("doc_id", "ord", "s.type", "s.text", "s.confidence")
+    every = registry.propagated(r, registry.aliases(registry.seeds(named)), "id", "text", "_k")
+    each = every.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.col(x).alias("spans")) for c, x in zip(CONFIGS, ("_i", "_r", "_b", "_c", "_k"))))).alias("x"))
+    final = each.select("doc_id", "x.config", resolve.resolved(F.col("x.spans")).alias("spans"))
+    pred = final.select("doc_id", "config", F.explode("spans").alias("s")).select("doc_id", "config", F.col("s.type").alias("label"), "s.start", "s.end")
+    return evaluate.ablation(pred, _gold(spark, sf), CONFIGS, evaluate.tokens_of(_records(spark, sf), "text"))
+
+
+_AS_PRED = lambda spans: f"(SELECT 'all' AS config, k, type AS label, s, e FROM {spans} AS ap)"
+_IDS = _AS_PRED(S.candidates(S.RECORDS, ("identifiers",)))
+_ALL_GOLD = f"(SELECT 'all' AS config, * FROM {S.GOLD} AS ag)"
+_WITHOUT = "SELECT * EXCLUDE (config) FROM ({}) AS w0"
+ITEMS = "(SELECT DISTINCT id AS k, text AS t FROM gold_prospectus WHERE text IS NOT NULL)"
+ITEMS_GOLD = "(SELECT 'all' AS config, id AS k, coalesce(x.label, '') AS label, x.\"start\" AS s, x.\"end\" AS e FROM (SELECT id, unnest(ents) AS x FROM (SELECT id, any_value(entities) AS ents FROM gold_prospectus WHERE text IS NOT NULL GROUP BY id)))"
+_ABLATED = (
+    f"WITH recs AS MATERIALIZED (SELECT *, k AS doc_id FROM {S.RECORDS} AS r0), ids AS MATERIALIZED (SELECT * FROM {S.candidates('(SELECT k, t FROM recs)', ('identifiers',))} AS i0), named AS MATERIALIZED (SELECT * FROM {S.candidates('(SELECT k, t FROM recs)', ('rules',))} AS n0), "
+    "both_ AS MATERIALIZED (SELECT * FROM ids UNION ALL SELECT k, type, text, s, e, confidence, 1000000 + seq FROM named), "
+    f"ctx AS MATERIALIZED (SELECT * FROM {S.scored(S.candidates('(SELECT k, t FROM recs)'), '(SELECT k, t FROM recs)')} AS c0), "
+    f"known AS MATERIALIZED (SELECT k, type, text, s, e, confidence, seq FROM ctx UNION ALL SELECT k, type, text, s, e, 0.9::DOUBLE, 1000000 + s FROM {S.propagated('recs', 'ctx', S.aliases(S.seeds('(SELECT k AS doc_id, type, text, confidence, seq AS ord FROM ctx)')))} AS p0), "
+    "pred AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{c}' AS config, k, type AS label, s, e FROM {S.resolved(x)} AS z{i}" for i, (c, x) in enumerate(zip(CONFIGS, ("ids", "named", "both_", "ctx", "known")))) + ") "
 )
-PER_CLASS_SQL = f"SELECT label, tp, fp, fn, relaxed_tp, {RATES_SQL}, tp + fn AS support FROM {COUNTS_SQL} AS n"
-_MACRO = ", ".join(f"round(coalesce(avg({c}) FILTER (support > 0 OR fp > 0), 0), 4) AS macro_{c}" for c in ("precision", "recall", "f1", "relaxed_f1"))
 SQL |= {
-    "eval_strict": f"SELECT label, outcome, count(*) AS n FROM {OUTCOME_SQL} AS o GROUP BY label, outcome",
-    "eval_per_class": PER_CLASS_SQL,
-    "eval_overall": f"SELECT *, {RATES_SQL}, round((tp + greatest(0, tokens - tp - fp - fn)) / tokens, 4) AS accuracy FROM (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(relaxed_tp)::BIGINT AS relaxed_tp, {_MACRO}, "
-    f"(SELECT sum(len(list_filter(string_split_regex(t, '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')))::BIGINT FROM {RECORDS_SQL} AS r) AS tokens FROM ({PER_CLASS_SQL}))",
-    "eval_shifted": f"SELECT g.k AS doc_id, label, s + base AS \"start\", e + base AS \"end\" FROM {GOLD_SQL} AS g JOIN (SELECT id, (coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS base FROM (SELECT id, any_value(coalesce(length(text), 0)) + 100 AS n FROM synthetic_benchmark GROUP BY id)) AS o ON g.k = o.id",
+    "eval_strict": f"SELECT label, outcome, count(*) AS n FROM {S.outcomes(_IDS, _ALL_GOLD)} AS o GROUP BY label, outcome",
+    "eval_relaxed": f"SELECT k AS doc_id, s AS \"start\", e AS \"end\", label FROM {S.outcomes(_IDS, _ALL_GOLD)} AS o WHERE outcome = 'fp' AND EXISTS (SELECT 1 FROM {S.GOLD} AS g WHERE g.k = o.k AND g.label = o.label AND greatest(g.s, o.s) < least(g.e, o.e))",
+    "eval_per_class": _WITHOUT.format(S.per_class(_IDS, _ALL_GOLD, evaluate.CLASSES)),
+    "eval_overall": _WITHOUT.format(S.overall(S.per_class(_IDS, _ALL_GOLD, evaluate.CLASSES), S.RECORDS)),
+    "eval_engine": _WITHOUT.format(S.per_class(_AS_PRED(_detected(S.RECORDS)), _ALL_GOLD, evaluate.CLASSES)),
+    "eval_prospectus": _WITHOUT.format(S.per_class(_AS_PRED(_detected(ITEMS)), ITEMS_GOLD, evaluate.CLASSES)),
+    "eval_shifted": f"SELECT g.k AS doc_id, label, s + base AS \"start\", e + base AS \"end\" FROM {S.GOLD} AS g JOIN (SELECT id, (coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS base FROM (SELECT id, any_value(coalesce(length(text), 0)) + 100 AS n FROM synthetic_benchmark GROUP BY id)) AS o ON g.k = o.id",
+    "ablation": _ABLATED + S.overall(S.per_class("pred", f"(SELECT unnest([{', '.join(q(c) for c in CONFIGS)}]) AS config, * FROM {S.GOLD} AS ag)", evaluate.CLASSES, CONFIGS), S.RECORDS),
 }
-QUERIES |= {f.__name__: f for f in (eval_strict, eval_per_class, eval_overall, eval_engine, eval_shifted, ablation)}
+QUERIES |= {f.__name__: f for f in (eval_strict, eval_relaxed, eval_per_class, eval_overall, eval_engine, eval_prospectus, eval_shifted, ablation)}

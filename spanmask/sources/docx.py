@@ -193,16 +193,39 @@ def rewrite(spark: SparkSession, path: str, changes: DataFrame, images: DataFram
     return files.select("doc_id", "content", "changes", "images").mapInPandas(run, "doc_id string, content binary")
 
 
-def write_files(files: DataFrame, folder: str) -> int:
-    """Each file under its own name into a folder that all executors share; returns how many were written."""
-    from pathlib import Path
+def write_files(files: DataFrame, folder: str, source: str) -> int:
+    """Each file under its path below ``source`` into a folder that all executors share; returns how many were written.
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for d, c in zip(pdf["doc_id"], pdf["content"]):
-                target = Path(folder) / d.rsplit("/", 1)[-1]
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(bytes(c))
-            yield pd.DataFrame({"n": [len(pdf)]})
+    A folder of a mounted file system is written to directly, any other (hdfs:, s3a: and so on) by Arrow's file systems.
+    """
+    root = source.split("*", 1)[0].rsplit("/", 1)[0] if "*" in source or source.endswith(".docx") else source.rstrip("/")
+    root = root.split(":", 1)[-1].lstrip("/")
+    target_of = lambda d: d.split(":", 1)[-1].lstrip("/").removeprefix(root).lstrip("/")
+
+    if ":" not in folder or folder.startswith("file:"):
+        base = folder.removeprefix("file://").removeprefix("file:")
+
+        def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pathlib import Path
+
+            for pdf in batches:
+                for d, c in zip(pdf["doc_id"], pdf["content"]):
+                    target = Path(base) / target_of(d)
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    target.write_bytes(bytes(c))
+                yield pd.DataFrame({"n": [len(pdf)]})
+
+    else:
+        from pyarrow import fs
+
+        def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            there, base = fs.FileSystem.from_uri(folder)
+            for pdf in batches:
+                for d, c in zip(pdf["doc_id"], pdf["content"]):
+                    target = f"{base.rstrip('/')}/{target_of(d)}"
+                    there.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    with there.open_output_stream(target) as out:
+                        out.write(bytes(c))
+                yield pd.DataFrame({"n": [len(pdf)]})
 
     return files.mapInPandas(put, "n int").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all nodes share, named by the cluster in spark.checkpoint.dir or set on the context.
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as read back from a reliable checkpoint, so that it's computed once.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset and no folder was
-    set on the context (tests on one machine), a temporary one is made.
+    In local mode, where there is one machine, the session's warehouse folder serves if neither is set; on a cluster that is an error.
     """
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as read back from a reliable checkpoint in the shared folder, so that it's computed once."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

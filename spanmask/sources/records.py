@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,25 @@ def write_report(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
+def _table(df: DataFrame) -> Iterator[str]:
+    """Rows of a result as lines of a Markdown table, partition by partition."""
+    yield "| " + " | ".join(df.columns) + " |"
+    yield "|" + "---|" * len(df.columns)
+    for r in df.toLocalIterator():
+        yield "| " + " | ".join("" if v is None else str(v) for v in r) + " |"
+
+
 def markdown(metrics: DataFrame, title: str) -> str:
-    """A table of a small result (a row for each class or configuration), read to the driver to be printed."""
-    rows = metrics.limit(1000).collect()
-    head = metrics.columns
-    lines = [f"## {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+    """A result as a headed table, all of its rows."""
+    return "\n".join([f"## {title}", "", *_table(metrics)]) + "\n"
+
+
+def evaluation_report(name: str, overall: DataFrame, classes: DataFrame, ablation: DataFrame | None = None) -> str:
+    """The report of a benchmark: rates over all, by class, and of each configuration of the ablation."""
+    parts = [f"# Evaluation of {name}\n", markdown(overall, "Overall"), markdown(classes.orderBy("label"), "By class")]
+    if ablation is not None:
+        parts.append(markdown(ablation, "Ablation"))
+    return "\n".join(parts)
 
 
 def summary(df: DataFrame, spans: str = "spans") -> DataFrame:

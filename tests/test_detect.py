@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanmask.functions import checks, lexicon as X
 from spanmask.functions.spantext import matches, splice
 from spanmask.operators import detect
-from spanmask.operators.address import address, addresses
+from spanmask.operators.address import address
 from spanmask.operators.score import scored
 from spanmask.functions.spantext import span
 
@@ -16,7 +16,7 @@ from spanmask.functions.spantext import span
 def spans_of(spark, fn, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select("i", fn(F.col("t")).alias("s")).orderBy("i").collect()
-    return [[(x["type"], x["text"], x["start"], x["end"]) for x in r["s"]] for r in rows]
+    return [[(x["type"], x["text"], x["start"], x["end"]) for x in r["s"] or []] for r in rows]
 
 
 def test_places_count_code_points(spark):
@@ -91,10 +91,32 @@ def test_anchored_address_stops_before_the_telephone(spark):
     assert [(g[1], text[g[2] : g[3]]) for g in got] == [("Plot No. 12, Sector 5, Chakan, Pune 410501, Maharashtra",) * 2]
 
 
-def test_address_back_from_a_postal_code():
+def test_address_back_from_a_postal_code(spark):
     text = "The plant is at Survey 7, Chakan Road, Khed, Pune 410501, Maharashtra, India and runs."
-    ((a, b, conf, how),) = addresses(text)
-    assert (text[a:b], conf, how) == ("Survey 7, Chakan Road, Khed, Pune 410501, Maharashtra, India", 0.88, "pin_anchored")
+    (found,) = [r["a"] for r in spark.range(1).select(address(F.lit(text)).alias("a")).collect()]
+    assert [(a["text"], a["confidence"], a["sub_type"]) for a in found] == [("Survey 7, Chakan Road, Khed, Pune 410501, Maharashtra, India", 0.88, "pin_anchored")]
+
+
+def test_beginnings_and_ends_of_addresses(spark):
+    cases = {
+        "Acme Limited operates from Plot 9, MIDC Road, Pune 411 001": "Plot 9, MIDC Road, Pune 411 001",  # behind a preposition
+        "Contact: Unit 4, Tower B, Sector 9, Noida 201301, Uttar Pradesh, India": "Unit 4, Tower B, Sector 9, Noida 201301, Uttar Pradesh, India",
+        "We moved. Acme Pvt. Ltd., MG Road, Pune 411001": "MG Road, Pune 411001",  # behind a firm's name
+        "Address: 12 Long Lane\nTel: 5": None,  # neither a place nor a code
+        "Head Office: 12 Long Lane, Thane\n\nother": "12 Long Lane, Thane",
+        "410501 alone": None,
+        "Corporate\u00a0Office: 9,\u00a0MG\u00a0Road, Pune": "9,\u00a0MG\u00a0Road, Pune",  # blanks of any kind
+    }
+    got = spans_of(spark, address, *cases)
+    assert [[g[1] for g in f] for f in got] == [[w] if w else [] for w in cases.values()]
+
+
+def test_rules_for_names(spark):
+    from spanmask.operators import rules
+
+    both = lambda t: F.concat(rules.organisation(t), rules.person(t))
+    got = spans_of(spark, both, "Our Acme Steel Private Limited met Mr. Ravi K. Hart.", "Asha Rao, the Managing Director, left. Limited.", "Τria Steel Ltd. of 2", None)
+    assert [[g[:2] for g in f] for f in got[:3]] == [[("ORGANIZATION", "Acme Steel Private Limited"), ("PERSON", "Ravi K. Hart")], [("PERSON", "Asha Rao")], [("ORGANIZATION", "Τria Steel Ltd.")]]
 
 
 def test_checks(spark):

@@ -2,9 +2,10 @@ import io
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from spanmask.functions.spantext import NO_SPANS, SPANS
+from spanmask.functions.spantext import NO_SPANS, SPANS, span
 from spanmask.operators import images, model, normalize, pseudonym, registry
 from spanmask.plans import pipeline
 from spanmask.sources import docx
@@ -57,7 +58,7 @@ def test_rebuilt_file_keeps_looks(spark, tmp_path):
     changes = pipeline.replacements(found, KEY)
     out = docx.rewrite(spark, str(tmp_path), changes)
     target = tmp_path / "out"
-    assert docx.write_files(out, str(target)) == 1
+    assert docx.write_files(out, str(target), str(tmp_path)) == 1
     again = docx.blocks_of((target / "a.docx").read_bytes())
     text = " ".join(b["raw_text"] for b in again)
     assert "a@b.example" not in text and "cell@x" not in text and "redacted.example" in text
@@ -122,6 +123,48 @@ def test_replacements_are_stable_distinct_and_valid(spark):
     assert {r["value"] for r in pseudonym.reveal(stored, bytes(32)).collect()} == {None}
 
 
+def test_replacements_of_one_text_are_distinct(spark):
+    """As over a document: equal values alike, others distinct, row by row."""
+    names = [f"Mr. {a} {b}" for a in ("Asha", "Ravi", "Kiran", "Tara", "Meena", "Vikas", "Dale", "Omar") for b in ("Hart", "Long", "Bell", "Gorley", "Rao", "Fox", "Nair", "Sen")]
+    text = "; ".join([*names, *names[:5], "10.0.0.1, 10.0.0.2"])
+    row = pipeline.redact_text(spark.createDataFrame([(text,)], "t string"), "t", KEY).first()
+    by = {}
+    for s, r in zip(row["spans"], row["replacements"]):
+        assert by.setdefault((s["type"], s["text"].lower()), r["pseudonym"]) == r["pseudonym"]
+    assert len(by) == 66 and len(set(by.values())) == 66
+    assert not any(n.split(" ", 1)[1] in row["redacted"] for n in names)
+    values = spark.createDataFrame([("s", s["type"], s["text"]) for s in row["spans"]], "scope_id string, type string, text string")
+    assert {r["pseudonym"] for r in pseudonym.pseudonyms(values, KEY).collect()} == set(by.values())
+
+
+def test_a_span_is_scored_once(spark):
+    """A model's sure birth date without a cue loses once and stays; a name in body text too."""
+    one = F.array(span("DATE_OF_BIRTH", F.lit("12/03/1981"), F.lit(3), F.lit(13), 0.97, "m")).cast(SPANS)
+    blocks = spark.createDataFrame([(1, "d", "b", 0, "On 12/03/1981 it rained.")], "block_key bigint, doc_id string, block_id string, block_ord int, raw_text string").withColumn("m", one)
+    found = pipeline.detect_documents(blocks, model_spans="m").first()["spans"]
+    assert [(s["type"], s["confidence"]) for s in found] == [("DATE_OF_BIRTH", 0.52)]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "x.docx").write_bytes(word_file(para((f"mail {d}@x.example.com", ""))))
+    pipeline.process_files(spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"), KEY).collect()
+    texts = ["".join(b["raw_text"] for b in docx.blocks_of(p.read_bytes())) for p in sorted((tmp_path / "out").rglob("*.docx"))]
+    assert len(texts) == 2 and all(t.startswith("mail ") and "@x." not in t for t in texts)
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from spanmask.sources.lineage import shared_folder
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    there = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(there)
+
+
 def test_token_is_an_hmac(spark):
     import hashlib
     import hmac
@@ -190,6 +233,7 @@ def test_files_end_to_end(spark, tmp_path):
     out = pipeline.process_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), KEY).first()
     text = " ".join(b["raw_text"] for b in docx.blocks_of((tmp_path / "out" / "a.docx").read_bytes()))
     assert out["total_blocks_processed"] == 6 and out["pii_by_type"]["EMAIL"] == 2 and out["pii_by_type"]["PERSON"] == 3
+    assert len(out["entities"]) == out["total_pii_detected"] and out["entities"][0]["text"] == "Asha Rao"
     assert not any(x in text for x in ("asha@", "Asha", "Rao"))
 
 

@@ -22,9 +22,9 @@ def test_empty_sides(spark):
 
 def test_ablation_and_shift(spark):
     gold = spark.createDataFrame([("1", "EMAIL", 0, 5)], SCHEMA)
-    pred = spark.createDataFrame([("1", "EMAIL", 0, 5, "a"), ("1", "EMAIL", 0, 5, "b"), ("1", "PHONE", 0, 2, "b")], SCHEMA + ", source string")
-    rows = {r["config"]: (r["tp"], r["fp"]) for r in E.ablation(pred, gold, {"a": ("a",), "both": ("a", "b")}, 10).collect()}
-    assert rows == {"a": (1, 0), "both": (1, 1)}
+    pred = spark.createDataFrame([("1", "EMAIL", 0, 5, "a"), ("1", "EMAIL", 0, 5, "both"), ("1", "PHONE", 0, 2, "both")], SCHEMA + ", config string")
+    rows = {r["config"]: (r["tp"], r["fp"], r["fn"]) for r in E.ablation(pred, gold, ("a", "both", "none"), 10).collect()}
+    assert rows == {"a": (1, 0, 0), "both": (1, 1, 0), "none": (0, 0, 1)}
     docs = spark.createDataFrame([("0", "abc"), ("1", None), ("2", "x")], "id string, t string")
     spans = spark.createDataFrame([("0", "A", 1, 2), ("2", "A", 0, 1)], SCHEMA)
     got = {r["doc_id"]: r["start"] for r in E.shifted(spans, docs, "id", "t").collect()}
