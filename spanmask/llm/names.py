@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,12 +32,33 @@ WORDS = dict(
 )
 SHORT = dict(
     p.split("=")
-    for p in "vicky=victoria vicki=victoria nick=nicholas theo=theodore teddy=theodore dan=daniel danny=daniel bill=william will=william billy=william sue=susan susie=susan beth=elizabeth liz=elizabeth betty=elizabeth lizzie=elizabeth sasha=alexander alex=alexander sandy=alexander peg=margaret peggy=margaret maggie=margaret meg=margaret bob=robert rob=robert bobby=robert tom=thomas tommy=thomas mike=michael mick=michael steve=stephen steven=stephen pat=patricia patty=patricia tricia=patricia kate=katherine kathy=katherine katie=katherine catherine=katherine jen=jennifer jenny=jennifer greg=gregory ed=edward eddie=edward ned=edward rick=richard dick=richard rich=richard pepe=jose venky=venkatesh tanu=tanvi ganu=ganesh harsh=harshad sid=siddharth subbu=subramaniam mohd=mohammed mohammad=mohammed muhammad=mohammed meena=meenakshi mini=meenakshi puja=pooja dipak=deepak lila=leela leila=leela chander=chandra suneeta=sunita kittu=krishna krish=krishna babu=prakash bijoy=vijay eshwar=ishwar".split()
+    for p in "vicky=victoria vicki=victoria nick=nicholas theo=theodore teddy=theodore dan=daniel danny=daniel bill=william will=william billy=william sue=susan susie=susan beth=elizabeth liz=elizabeth betty=elizabeth lizzie=elizabeth sasha=alexander alex=alexander sandy=alexander peg=margaret peggy=margaret maggie=margaret meg=margaret bob=robert rob=robert bobby=robert tom=thomas tommy=thomas mike=michael mick=michael steve=stephen steven=stephen pat=patricia patty=patricia tricia=patricia kate=katherine kathy=katherine katie=katherine catherine=katherine jen=jennifer jenny=jennifer greg=gregory ed=edward eddie=edward ned=edward rick=richard dick=richard rich=richard pepe=jose venky=venkatesh harsh=harshad sid=siddharth mohd=mohammed mohammad=mohammed muhammad=mohammed meena=meenakshi mini=meenakshi leila=leela chander=chandra kittu=krishna krish=krishna bijoy=vijay eshwar=ishwar".split()
 )
+# Second words of a compound ("copper works") that shorter forms leave out; particles inside long names.
+SECOND = frozenset("foods works dyes ports systems".split())
+PARTICLES = frozenset("de del della der den da das do dos di du la le los las van von y e i bin ibn bint al el ul ur".split())
 _INITIALS = re.compile(r"[A-Z]{2,3}")
 _ACRONYM = re.compile(r"(?:[A-Z]\.?){3,6}\Z")
 
 
+#: Ways to write one sound in transliterated names, longer ones first.
+_SOUNDS = (("ee", "i"), ("oo", "u"), ("aa", "a"), ("ai", "e"), ("sh", "s"), ("ph", "f"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("ck", "k"), ("w", "v"), ("y", "i"), ("q", "k"))
+
+
+@lru_cache(200_000)
+def sound(word: str) -> str:
+    """A given name as it sounds: one letter for each sound, none twice in a row."""
+    for a, b in _SOUNDS:
+        word = word.replace(a, b)
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
+def diminutive(short: str, name: str) -> bool:
+    """Whether a name is shortened to its beginning with u, y or ie behind it: Dinu of Dinesh, Danny of Daniel."""
+    m = re.fullmatch(r"([a-z]{2,}?([a-z]))\2?(?:u|y|ie)", short)
+    return bool(m) and len(m[1]) >= 3 and len(name) > len(m[1]) + 1 and name.startswith(m[1])
+
+
 def plain(text: str) -> str:
     """Folded, without accents."""
     return "".join(c for c in unicodedata.normalize("NFD", fold(text)) if not unicodedata.combining(c))
@@ -51,7 +73,7 @@ def parse(text: str | None) -> tuple[str, list[str], str] | None:
     if not text:
         return None
     t = plain(text).strip(" .,;:()\"'")
-    if not t or any(c.isdigit() for c in t) or "@" in t or len(t) > 120 or not any(c.isalpha() for c in t) or re.search(r"\[at\]|\(at\)|\bAT\b.*\bDOT\b", t):
+    if not t or any(c.isdigit() for c in t) or "@" in t or not any(c.isalpha() for c in t) or re.search(r"\[at\]|\(at\)|\bAT\b.*\bDOT\b", t):
         return None
     compact = re.sub(r"\s", "", t)
     if _ACRONYM.match(compact) and (" " not in t.strip()):
@@ -61,7 +83,7 @@ def parse(text: str | None) -> tuple[str, list[str], str] | None:
     t = re.sub(r"(?i)\bl\.\s?l\.\s?p\.?", "LLP", t)
     t = re.sub(r"(?i)\(p\)", " pvt ", t)
     comma = [x.strip() for x in t.split(",")]
-    words = [w for w in re.split(r"[\s.,&/()]+", t) if w and w.lower() != "and"]
+    words = [w for w in re.split(r"[\s.,&/()]+", t) if w and not (len(w) < 5 and set(w.lower()) == {"a", "n", "d"})]
     low = [w.lower() for w in words]
     while low and low[0] in TITLES and len(low) > 1:
         low.pop(0)
@@ -76,8 +98,8 @@ def parse(text: str | None) -> tuple[str, list[str], str] | None:
         return ("O" if len(core) > 1 else "W", core, legal) if core else None
     if len(low) == 1:
         return ("W", low, "") if len(low[0]) > 3 else None
-    if len(low) > 6:
-        return None
+    if len(low) > 6 and not all(w[0].isupper() or w in PARTICLES for w in words):
+        return None  # a sentence
     if len(comma) == 2 and comma[1]:  # surname, given names
         first = [w.lower() for w in re.split(r"[\s.]+", comma[0]) if w and w.lower().rstrip(".") not in TITLES]
         rest = [w.lower() for w in re.split(r"[\s.]+", comma[1]) if w]
@@ -110,7 +132,7 @@ def same_word(a: str, b: str, seen: dict[str, int], short: bool = False) -> bool
         return True
     if short:
         a, b = SHORT.get(a, a), SHORT.get(b, b)
-        if a == b:
+        if a == b or sound(a) == sound(b) or diminutive(a, b) or diminutive(b, a):
             return True
     k = 1 if min(len(a), len(b)) < 6 else 2
     if min(len(a), len(b)) < 4 or within(a, b, k) > k:
@@ -136,6 +158,8 @@ def same_person(a: list[str], b: list[str], seen: dict[str, int]) -> bool:
 
 
 def same_firm(a: list[str], b: list[str], seen: dict[str, int]) -> bool:
+    if len(a) != len(b):
+        a, b = (x[:-1] if len(x) > 2 and x[-1] in SECOND else x for x in (a, b))
     if len(a) != len(b):  # a blank was lost or came in
         return abs(len(a) - len(b)) == 1 and len(b[0]) > 3 and within("".join(a), "".join(b), 1) <= 1
     return same_word(a[0], b[0], seen) and all(x == y or within(x, y, 2) <= 2 and min(len(x), len(y)) > 3 for x, y in zip(a[1:], b[1:]))
@@ -246,7 +270,7 @@ def _compatible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     """(entity, cluster): the cluster of every mention that is a name; entities come out as strings.
 
-    Names are compared within a ``scope`` only. Null, empty and over-long texts, texts with digits and
+    Names are compared within a ``scope`` only. Null and empty texts, texts with digits, sentences and
     single words that belong to no fuller name are no names; repeated rows (same entity) count once; columns besides the
     three aren't read. A name that fits several fuller ones stays with its own spelling.
     """
