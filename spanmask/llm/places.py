@@ -19,12 +19,15 @@ from spanmask.llm.cluster import components, within
 from spanmask.llm.names import plain
 from spanmask.sources.lineage import cut
 
-#: Rows after each row of a pass that it is compared with. Spellings of one place differ by typos only after
-#: parsing, so they lie side by side in at least one of the orders.
+#: Rows after each row of a pass that it is compared with. It matters for typos only: spellings of one street and city
+#: stand in a row in the first pass, each of them the same place as the next, so a run of any length is linked whole.
 WINDOW = 12
+#: Letters of a pass's leading component that, with number and letter, make a partition; typos in them are met in other passes.
+LEAD = 2
 # Kinds of street with their abbreviations, renamed cities, states and countries.
 STREETS = {
-    "road": "road rd", "street": "street st str", "avenue": "avenue ave av", "lane": "lane ln", "marg": "marg mg", "drive": "drive dr", "boulevard": "boulevard blvd", "way": "way", "path": "path", "highway": "highway hwy", "court": "court ct", "place": "place pl", "square": "square sq", "nagar": "nagar",
+    "road": "road rd", "street": "street st str", "avenue": "avenue ave av", "lane": "lane ln", "marg": "marg mg", "drive": "drive dr", "boulevard": "boulevard blvd", "way": "way", "path": "path", "highway": "highway hwy", "court": "court ct", "place": "place pl", "square": "square sq", "nagar": "nagar", "circle": "circle cir", "terrace": "terrace ter", "crescent": "crescent cres", "close": "close", "park": "park", "gardens": "gardens gdns", "colony": "colony", "layout": "layout", "chowk": "chowk", "salai": "salai", "gali": "gali",
+    "row": "row", "alley": "alley", "parkway": "parkway pkwy", "bazaar": "bazaar bazar",
 }
 KIND = {a: k for k, names in STREETS.items() for a in names.split()}
 BEFORE = {"main": "main", "mn": "main", "cross": "cross", "x": "cross", "crs": "cross"}
@@ -40,10 +43,13 @@ _FLOOR = re.compile(r"\b(?:\d{1,2}(?:st|nd|rd|th)?|[ivx]{1,4}|first|second|third
 _UNIT = re.compile(r"(?:\b(?:suite|ste|apt|apartment|room|rm)\.?\s*#?|#)\s*(\d+\s?[a-z]?)\b")
 _PIN = re.compile(r"\b(\d{3})\s?(\d{3})\b(?!\s*[-/]?\s*[a-z]?,?\s*[a-z]+\s+(?:road|rd|street|st|avenue|ave|lane|ln|marg|mg)\b)|\b(\d{5})(?:-\d{4})?\s*(?:,?\s*(?:usa|us|u\.s\.a\.?|united states.*))?\s*$")
 _TYPE = "|".join(sorted(KIND, key=len, reverse=True))
-_HOUSE = re.compile(
-    rf"(?:\b(?:plot|house|h|door|d|flat|unit|no|survey|s|shop|office|block|gate)\.?\s*(?:no\.?)?\s*:?\s*|#\s*|\b)"
-    rf"(\d{{1,5}})\s?(?:[-/]\s?)?([a-z])?\b[\s,.]+((?:[a-z][a-z'.]*\s+){{1,3}}?)((?:{'|'.join(BEFORE)})\.?\s+)?({_TYPE})\b\.?"
-)
+_NUMBER = r"(?:\b(?:plot|house|h|door|d|flat|unit|no|survey|s|shop|office|block|gate)\.?\s*(?:no\.?)?\s*:?\s*|#\s*|\b)(\d+)\s?(?:[-/]\s?)?([a-z])?\b[\s,.]+"
+_HOUSE = re.compile(rf"{_NUMBER}((?:[a-z][a-z'.]*\s+){{1,6}}?)((?:{'|'.join(BEFORE)})\.?\s+)?({_TYPE})\b\.?")
+#: A street that is named by its kind only.
+_KIND_ONLY = re.compile(rf"{_NUMBER}()()({_TYPE})\b\.?(?=\s*(?:,|-|\d|$))")
+#: Where no kind of street follows: the kind before the name, as in the Romance languages, or a name up to a comma before a place.
+BEFORE_NAME = {"rue": "rue", "via": "via", "calle": "calle", "rua": "rua", "avenida": "avenue", "chemin": "chemin", "place": "place", "plaza": "plaza"}
+_LED = re.compile(rf"\b(\d+)\s?(?:[-/]\s?)?([a-z])?\b[\s,.]+(?:({'|'.join(BEFORE_NAME)})\s+)((?:[a-z][a-z'.]*\s*){{1,6}})(?=,|$)|\b(?:({'|'.join(BEFORE_NAME)})\s+)((?:[a-z][a-z'.]*\s*){{1,6}}),?\s*(\d+)\s?([a-z])?\b(?=,|$)")
 
 
 def parse(text: str | None) -> tuple[str, str, str, str, str, str, str] | None:
@@ -51,13 +57,18 @@ def parse(text: str | None) -> tuple[str, str, str, str, str, str, str] | None:
     if not text:
         return None
     t = re.sub(r"\s+", " ", plain(text).lower())
-    if len(t) > 400 or not any(c.isdigit() for c in t):
+    if not any(c.isdigit() for c in t):
         return None
     t = _FLOOR.sub(" , ", t)
-    m = _HOUSE.search(t)
-    if not m:
+    if m := _HOUSE.search(t) or _KIND_ONLY.search(t):
+        number, letter, street, before, kind = m[1], m[2] or "", re.sub(r"[^a-z]+", "", m[3]), BEFORE.get((m[4] or "").strip(" ."), ""), KIND[m[5]]
+        if not street:  # the kind is the name
+            street = kind
+    elif m := _LED.search(t):
+        number, letter, before, street, kind = m[1] or m[7], m[2] or m[8] or "", "", re.sub(r"[^a-z]+", "", m[4] or m[6]), BEFORE_NAME[m[3] or m[5]]
+    else:
         return None
-    number, letter, street, before, kind = m[1].lstrip("0") or "0", m[2] or "", re.sub(r"[^a-z]+", "", m[3]), BEFORE.get((m[4] or "").strip(" ."), ""), KIND[m[5]]
+    number = number.lstrip("0") or "0"
     rest = t[m.end() :]
     pin = ""
     if p := _PIN.search(rest):
@@ -97,7 +108,7 @@ def same_place(a: tuple, b: tuple, seen_a: int = 1, seen_b: int = 1) -> bool:
 
 FIELDS = ("number", "letter", "street", "kind", "city", "pin", "unit")
 #: The orders of the passes: component sequences, the strict ones being the partition.
-PASSES = (("street", "city", "pin"), ("backwards", "city", "pin"), ("city", "street", "pin"), ("pin", "street", "city"), ("consonants", "pin", "city"), ("inner", "city", "pin"))
+PASSES = (("street", "kind", "city", "pin"), ("backwards", "city", "pin"), ("city", "street", "pin"), ("pin", "street", "city"), ("consonants", "pin", "city"), ("inner", "city", "pin"))
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +126,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def locations(df: DataFrame, entity: str, text: str) -> DataFrame:
     """(entity, cluster): the location of every mention that is an address with a street and a number.
 
-    Null, empty and over-long texts and those of another make have no rows; repeated rows (same entity) count once;
+    Null and empty texts and those of another make have no rows; repeated rows (same entity) count once;
     equal spellings are compared once, whatever their number; columns besides the two aren't read. A street without
     city joins any city only if all spellings agree in one.
     """
@@ -127,8 +138,8 @@ def locations(df: DataFrame, entity: str, text: str) -> DataFrame:
     keyed = spelled.withColumns({"backwards": F.reverse("street"), "consonants": F.regexp_replace("street", "(?<!^)[aeiouhy]", ""), "inner": F.substring("street", 3, 20)})
     links = None
     for order in PASSES:
-        # The first letter of the leading component splits numbers that many addresses share.
-        w = Window.partitionBy("number", "letter", F.substring(order[0], 1, 1)).orderBy(*order, "_n")
+        # The first letters of the leading component split numbers that many addresses share.
+        w = Window.partitionBy("number", "letter", F.substring(order[0], 1, LEAD)).orderBy(*order, "_n")
         near = keyed.select("_n", F.collect_list("_n").over(w.rowsBetween(1, WINDOW)).alias("_after")).select("_n", F.explode("_after").alias("_o"))
         links = near if links is None else links.unionByName(near)
     pairs = links.select(F.least("_n", "_o").alias("_n"), F.greatest("_n", "_o").alias("_o")).distinct()

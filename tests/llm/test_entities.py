@@ -122,6 +122,57 @@ def test_variants_of_addresses(spark):
     assert names.linked_pairs(fn(spark.createDataFrame([], SCHEMA)), "entity_id").count() == 0
 
 
+def test_addresses_of_other_makes():
+    parsed = lambda t: places.parse(t)[:6]
+    assert parsed("221B Baker Circle, London") == ("221", "b", "baker", "circle", "london", "")
+    assert parsed("4 Rue de Rivoli, Paris") == ("4", "", "derivoli", "rue", "paris", "")
+    assert parsed("Calle de Alcala 12, Madrid") == ("12", "", "dealcala", "calle", "madrid", "")
+    assert parsed("12, MG Salai, Chennai 600002") == ("12", "", "mg", "salai", "chennai", "600002")
+    assert parsed("12 Chowk, Pune 411001")[2:5] == ("chowk", "chowk", "pune")
+    assert parsed("123456 Long Road, Pune")[0] == "123456" and parsed("x " * 400 + "9 Long Road, Pune")[0] == "9"
+    assert places.parse("12 May 2020") is None and places.parse("5312 6796 0695 6053") is None
+
+
+def test_a_run_longer_than_the_window_is_one_place(spark):
+    """Thirty pins of one street and city: no window holds them, links from each to the next do."""
+    texts = [f"12, Neeldale Street, Kolkata 700{i:03}" for i in range(30)] + ["12, Neeldale Street, Mumbai 400001"]
+    fn = lambda df: places.locations(df, "entity_id", "text")
+    assert clusters(spark, fn, texts) == pairs(texts[:30])
+
+
+def test_passes_equal_brute_force(spark):
+    rng = random.Random(6)
+    streets, cities = ["Neeldale", "Birchkunj", "Limbofield", "Vetallane"], ["Kolkata", "Pune", "Jaipur"]
+
+    def typo(w):
+        i = rng.randrange(1, len(w) - 1)
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+
+    texts = []
+    for _ in range(150):
+        s, c = rng.choice(streets), rng.choice(cities)
+        s = typo(s) if rng.random() < 0.2 else s
+        texts.append(f"{rng.randint(1, 3)}{rng.choice(['', ' A'])}, {s} Road, {c}{rng.choice(['', ' 700663'])}")
+    texts = sorted(set(texts))
+    rows = [places.parse(t) for t in texts]
+    seen = {s: sum(r[2] == s for r in set(rows)) for s in {r[2] for r in rows}}
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if rows[i] == rows[j] or places.same_place(rows[i], rows[j], seen[rows[i][2]], seen[rows[j][2]]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    want = pairs(*([t for t, r in zip(texts, root) if r == k] for k in set(root)))
+    got = clusters(spark, lambda df: places.locations(df, "entity_id", "text"), texts)
+    assert len(got & want) >= 0.98 * len(want) and not got - want
+
+
+def test_names_as_they_sound_and_long_ones(spark):
+    fn = lambda df: names.variants(df, "entity_id", "doc_id", "text")
+    long = "Maria del Carmen de la Vega y Ruiz Lopez"
+    groups = [["Shreya Lavilmani", "Sreya Lavilmani"], ["Zubair Ongulwell", "Zuber Ongulwell"], ["Dinesh Wageshworth", "Dinu Wageshworth"], ["Acme Agro Foods Limited", "M/s Acme Agro Ltd."], ["Bell Chemicals and Dyes Limited", "Bell Chemicals andd Dyes Ltd."], [long, long.upper()]]
+    assert clusters(spark, fn, [t for g in groups for t in g] + ["Our company has been and shall be here", "Asha Lavilmani"]) == pairs(*groups)
+
+
 # ---- personal information ----------------------------------------------------------------------------------------
 
 GIVEN, SURNAMES = "Asha Ravi Meena Kiran Tara Vikas".split(), "Holmley Barnett Crinley Dhavley Gorley Maldet".split()
