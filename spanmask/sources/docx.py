@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -17,6 +18,8 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 RUN = "struct<run_index:int,raw_start:int,raw_end:int,text:string,is_italic:boolean,is_bold:boolean>"
 BLOCK = f"doc_id string, block_id string, block_ord int, block_type string, raw_text string, runs array<{RUN}>, metadata map<string,string>"
 BODY = "word/document.xml"
+#: Characters that a Word file can't hold.
+NO_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
 def _flag(run: ET.Element, name: str) -> bool:
@@ -144,6 +147,34 @@ def spliced(runs: list[dict], replacements: list[tuple[int, int, str]]) -> list[
     return texts
 
 
+def made(paragraphs: Iterable[list[dict]]) -> bytes:
+    """A new file of paragraphs, each a list of runs (text, is_italic, is_bold); characters that XML can't hold are left out."""
+    document = ET.Element(f"{W}document")
+    body = ET.SubElement(document, f"{W}body")
+    for runs in paragraphs:
+        p = ET.SubElement(body, f"{W}p")
+        for run in runs:
+            r = ET.SubElement(p, f"{W}r")
+            looks = [tag for tag, flag in (("b", "is_bold"), ("i", "is_italic")) if run[flag]]
+            if looks:
+                form = ET.SubElement(r, f"{W}rPr")
+                for tag in looks:
+                    ET.SubElement(form, f"{W}{tag}")
+            for piece in re.split(r"([\t\n\r])", re.sub(NO_XML, "", run["text"] or "")):
+                if piece in ("\t", "\n", "\r"):
+                    ET.SubElement(r, f"{W}tab" if piece == "\t" else f"{W}br")
+                elif piece:
+                    t = ET.SubElement(r, f"{W}t")
+                    t.text = piece
+                    t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
+        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr(BODY, ET.tostring(document, encoding="UTF-8", xml_declaration=True))
+    return out.getvalue()
+
+
 def rebuilt(content: bytes, changes: dict[str, list[tuple[int, int, str]]], images: dict[str, bytes] | None = None) -> bytes:
     """The file with replacements by block and images by member name; everything else is kept."""
     source = zipfile.ZipFile(io.BytesIO(content))

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all nodes share, named by the cluster in spark.checkpoint.dir or set on the context.
 
-    In local mode, where there is one machine, the session's warehouse folder serves if neither is set; on a cluster that is an error.
+    In local mode, on one machine, a temporary folder that goes with the process serves if neither is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return _own()
+
+
+@cache
+def _own() -> str:
+    folder = tempfile.mkdtemp(prefix="spanmask-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
