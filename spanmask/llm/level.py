@@ -26,6 +26,8 @@ FIT_DOCUMENTS = 3000
 #: Their sentences that the sentence model is fitted on, evenly spread.
 FIT_SENTENCES = 12_000
 MIN_WORDS = 60
+#: Words that are scored side by side; they bound a worker's memory only.
+PORTION_WORDS = 500_000
 #: Frequent function words of English and of other languages in Latin script.
 ENGLISH = frozenset("the of and to in a is that for it was on with as by at be this are from or an which not have has its under their our we you your does did who since because although while if when but so".split())
 FOREIGN = frozenset("der die das und ist von den des dem im zu mit auf wurde für sich eine el la los las del que en por una se le les du une est dans pour sur au aux qui ce et il de un".split())
@@ -151,41 +153,60 @@ class Level:
         self.weights, self.shape, self.known = w[:-2], w[-2:], {}
         self.table = np.zeros((0, BANDS), np.float32)
 
-    def document(self, sents: list[list[str]]) -> np.ndarray:
+    def documents(self, docs: list[list[list[str]]]) -> np.ndarray:
+        """A row of features for each document, from the distributions of its sentences; all documents are worked out side by side."""
+        sents = [s for d in docs for s in d]
+        per = np.array([len(d) for d in docs])
+        first = np.concatenate([[0], np.cumsum(per)[:-1]])
+        n = np.array([len(s) for s in sents], np.float64)
         z = self.scores(sents)
         p = softmax(z)
-        n = np.array([len(s) for s in sents], np.float32)
-        share = n / n.sum()
-        chars = np.array([len(w) for s in sents for w in s], np.float32)
-        level = p @ np.arange(BANDS)
-        return np.concatenate([p.mean(axis=0), share @ p, z.mean(axis=0), [level.std(), np.log(n).mean(), np.log(n).std(), n.mean() / 10, chars.mean(), (chars > 8).mean()]]).astype(np.float32)
+        total = lambda x: np.add.reduceat(x, first, axis=0)
+        mean = lambda x: total(x) / (per if x.ndim == 1 else per[:, None])
+        spread = lambda x: np.sqrt(np.maximum(mean(x * x) - mean(x) ** 2, 0))
+        words = total(n)
+        sizes = np.fromiter((len(w) for s in sents for w in s), np.float64, int(n.sum()))
+        begins = np.concatenate([[0], np.cumsum(words)[:-1]]).astype(np.int64)
+        level, length = p.astype(np.float64) @ np.arange(BANDS), np.log(n)
+        columns = [spread(level), mean(length), spread(length), mean(n) / 10, np.add.reduceat(sizes, begins) / words, np.add.reduceat((sizes > 8).astype(np.float64), begins) / words]
+        return np.concatenate([mean(p), total(n[:, None] * p) / words[:, None], mean(z), np.stack(columns, axis=1)], axis=1).astype(np.float32)
 
     def fit(self, docs: list[tuple[list[list[str]], np.ndarray]]) -> "Level":
         """Cross-fitted: each half's document features come from sentences of the other half's model."""
         xs, ys = [], []
         for half in (0, 1):
             self.fit_sentences(docs[1 - half :: 2] or docs)
-            for sents, y in docs[half::2]:
-                xs.append(self.document(sents))
-                ys.append(y)
+            if rest := docs[half::2]:
+                xs.append(self.documents([sents for sents, _ in rest]))
+                ys += [y for _, y in rest]
         self.fit_sentences(docs)
-        x = np.stack(xs)
+        x = np.concatenate(xs)
         self.mean, self.dev = x.mean(axis=0), x.std(axis=0) + 1e-3
         x = (x - self.mean) / self.dev
         self.top = fit_logistic(np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1), np.stack(ys), 2e-3, 600, 0.03)
         return self
 
-    def band(self, text: str) -> int:
-        x = (self.document(sentences(text)) - self.mean) / self.dev
-        return int(np.argmax(np.append(x, 1) @ self.top)) + 1
-
-
-def target(text: str | None) -> str | None:
-    """The folded text if it is to be rated (mainly English, at least MIN_WORDS words between blanks), else None."""
+    def bands(self, docs: list[list[list[str]]]) -> list[int]:
+        out: list[int] = []
+        at = 0
+        while at < len(docs):
+            end = size = 0
+            for end in range(at, len(docs)):
+                size += sum(map(len, docs[end]))
+                if size > PORTION_WORDS:
+                    break
+            x = (self.documents(docs[at : end + 1]) - self.mean) / self.dev
+            out += (np.argmax(np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) @ self.top, axis=1) + 1).tolist()
+            at = end + 1
+        return out
+
+
+def target(text: str | None) -> list[list[str]] | None:
+    """The sentences of the folded text if it is to be rated (mainly English, at least MIN_WORDS words between blanks), else None."""
     if text is None or len(text.split()) < MIN_WORDS:
         return None
     folded = fold(text)
-    return folded if english(folded) and sentences(folded) else None
+    return (sentences(folded) or None) if english(folded) else None
 
 
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, band: str) -> Level | None:
@@ -193,12 +214,13 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str,
     rated = labels.select(F.col(label_key).alias("_k"), F.col(band).cast("int").alias("_b")).where(F.col("_b").between(1, BANDS))
     rated = rated.groupBy("_k").agg(F.collect_list("_b").alias("_b"))
     chosen = rated.orderBy(F.xxhash64("_k"), "_k").limit(FIT_DOCUMENTS)
-    rows = chosen.join(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"]), "_k").toPandas().sort_values("_k")
+    # A few keys go to the texts, not the texts to them.
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").toPandas().drop_duplicates("_k").sort_values("_k")
     fitted = []
     for t, bs in zip(rows["_t"], rows["_b"]):
-        if (folded := target(t)) is not None:
+        if (sents := target(t)) is not None:
             y = np.bincount(np.array(bs) - 1, minlength=BANDS).astype(np.float32)
-            fitted.append((sentences(folded), y / y.sum()))
+            fitted.append((sents, y / y.sum()))
     return Level().fit(fitted) if len(fitted) >= 2 else None
 
 
@@ -213,8 +235,7 @@ def levels(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf["_t"].map(target)
-            pdf = pdf[texts.notna()]
-            yield pd.DataFrame({"_k": pdf["_k"], "_b": [model.band(t) for t in texts[texts.notna()]] if model else []} if model else {"_k": pdf["_k"][:0], "_b": []})
+            got = [(k, sents) for k, t in zip(pdf["_k"], pdf["_t"]) if (sents := target(t)) is not None] if model else []
+            yield pd.DataFrame({"_k": [k for k, _ in got], "_b": model.bands([s for _, s in got]) if got else []})
 
     return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null").mapInPandas(run, f"_k {kind}, _b int").select(F.col("_k").alias(key), F.col("_b").alias("band"))
