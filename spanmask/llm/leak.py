@@ -26,7 +26,6 @@ WINDOW = RUN - GRAM + 1
 INDEX_ITEMS, INDEX_CHARS = 100_000, 30_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_KNOWN: dict[str, int] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -37,16 +36,26 @@ def words(text: str | None) -> list[str]:
     return [w for w in (x if x.isalnum() else _EDGE.sub("", x) for x in out) if w]
 
 
-def hashes(ws: list[str]) -> np.ndarray:
-    if len(_KNOWN) > 500_000:
-        _KNOWN.clear()
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = _KNOWN.get(w)
-        if h is None:
-            h = _KNOWN[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+class _Codes(dict):
+    """The hash of the word in each piece between blanks, 0 for a piece that holds none; pieces are hashed when first met."""
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        word = piece if piece.isalnum() else _EDGE.sub("", piece)
+        code = self[piece] = xxhash.xxh64_intdigest(word) if word else 0
+        return code
+
+
+_CODES = _Codes()
+
+
+def codes(text: str | None) -> np.ndarray:
+    """The hashes of a text's words, as ``words`` has them."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    out = np.array([_CODES[p] for p in fold(text).lower().split()], np.uint64)
+    return out[out != 0]
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -62,9 +71,9 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def fingerprints(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the winnowed grams of a text's words; fewer than ``RUN`` words have none."""
-    g = grams(hashes(ws), GRAM)
+def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the winnowed grams of a text's word hashes; fewer than ``RUN`` words have none."""
+    g = grams(h, GRAM)
     if len(g) < WINDOW:
         return g[:0], np.zeros(0, np.int64)
     least = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1) + np.arange(len(g) - WINDOW + 1)
@@ -72,8 +81,8 @@ def fingerprints(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[at], at
 
 
-def extended(ws: list[str], i: int, item: list[str], j: int) -> bool:
-    """Whether the run of common words around places i and j has at least RUN words."""
+def extended(ws: list, i: int, item: list, j: int) -> bool:
+    """Whether the run of common words (or hashes) around places i and j has at least RUN words."""
     n, a, b = 0, i, j
     while n < RUN and a < len(ws) and b < len(item) and ws[a] == item[b]:
         n, a, b = n + 1, a + 1, b + 1
@@ -89,7 +98,9 @@ class Index:
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self.keys = [k for k, _ in items]
         self.words = [words(t) for _, t in items]
-        prints = [fingerprints(w) for w in self.words]
+        coded = [codes(t) for _, t in items]
+        self.codes = [c.tolist() for c in coded]
+        prints = [fingerprints(c) for c in coded]
         h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in prints)])
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
@@ -97,16 +108,22 @@ class Index:
         self.places = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in prints)])[order]
 
     def found(self, text: str | None) -> list[object]:
-        """The keys of the items of which a run stands in the text."""
-        ws = words(text)
-        h, at = fingerprints(ws)
+        """The keys of the items of which a run stands in the text; runs found by hashes are compared word by word."""
+        coded = codes(text)
+        h, at = fingerprints(coded)
         left, right = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        hits = np.nonzero(right > left)[0]
         out: set[int] = set()
-        for k in np.nonzero(right > left)[0]:
-            for x in range(left[k], right[k]):
-                item = int(self.items[x])
-                if item not in out and extended(ws, int(at[k]), self.words[item], int(self.places[x])):
-                    out.add(item)
+        if len(hits):
+            here, ws = coded.tolist(), None
+            for k in hits:
+                i = int(at[k])
+                for x in range(left[k], right[k]):
+                    item, j = int(self.items[x]), int(self.places[x])
+                    if item not in out and extended(here, i, self.codes[item], j):
+                        ws = ws or words(text)
+                        if extended(ws, i, self.words[item], j):
+                            out.add(item)
         return [self.keys[i] for i in sorted(out)]
 
 
@@ -128,7 +145,7 @@ def _by_join(docs: DataFrame, tests: DataFrame, kinds: dict[str, str]) -> DataFr
     def prints(key: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(k, int(h), int(i)) for k, t in zip(pdf[key], pdf["_t"]) for h, i in zip(*(x.tolist() for x in (lambda f: (f[0].view(np.int64), f[1]))(fingerprints(words(t)))))]
+                rows = [(k, int(h), int(i)) for k, t in zip(pdf[key], pdf["_t"]) for h, i in zip(*(x.tolist() for x in (lambda f: (f[0].view(np.int64), f[1]))(fingerprints(codes(t)))))]
                 yield pd.DataFrame(rows, columns=[key, "_h", "_p"])
 
         return run

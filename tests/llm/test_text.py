@@ -132,7 +132,7 @@ def test_leaks_without_rows(spark):
 def test_every_window_of_twelve_words_has_a_fingerprint():
     rng = random.Random(5)
     ws = [str(rng.randrange(50)) for _ in range(400)]
-    marks = lambda part, by: {(h, p + by) for h, p in zip(*(x.tolist() for x in leak.fingerprints(part)))}
+    marks = lambda part, by: {(h, p + by) for h, p in zip(*(x.tolist() for x in leak.fingerprints(leak.codes(" ".join(part)))))}
     here = marks(ws, 0)
     for a in range(389):
         assert here & marks(ws[a : a + 12], a)  # at the same place, so that a hit can be extended
