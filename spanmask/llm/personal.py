@@ -163,6 +163,12 @@ NOTHING = (
 )
 
 
+@lru_cache(200_000)
+def link_key(word: str) -> str | None:
+    """The form in which a word has skip edges; None if it has none."""
+    return word.lower() if linkable("word", word) else None
+
+
 def linkable(kind: str, word: str) -> bool:
     """Whether a token may have skip edges: words of more than three letters with a capital, or in a script without case."""
     return kind == "word" and len(word) > 3 and not word[0].islower()
@@ -170,7 +176,7 @@ def linkable(kind: str, word: str) -> bool:
 
 def linked(toks: list[tuple[str, str, int, int]]) -> list[tuple[int, str]]:
     """The tokens that may have skip edges, in lower case."""
-    return [(i, word.lower()) for i, (kind, word, _, _) in enumerate(toks) if kind == "word" and linkable(kind, word)]
+    return [(i, low) for i, (kind, word, _, _) in enumerate(toks) if kind == "word" and (low := link_key(word))]
 
 
 @lru_cache(100_000)
@@ -211,10 +217,11 @@ class Tagger:
     def _fresh(self) -> None:
         self.types: dict[tuple[str, str], int] = {}
         self.words: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
         self.scores = np.zeros((len(OFFSETS), 1024, L), np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("types", "words", "scores")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("types", "words", "marks", "scores")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -237,6 +244,10 @@ class Tagger:
                 i = words.get(word)
                 if i is None:
                     i = words[word] = self.type_id(type_key("word", word))
+            elif kind == "rest":
+                i = self.marks.get(word)
+                if i is None:
+                    i = self.marks[word] = self.type_id(type_key("rest", word))
             else:
                 i = self.type_id(type_key(kind, word))
             out.append(i)
