@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from spanmask.llm.glyphs import fold
 from spanmask.sources.lineage import cut
 
 EDITS = 2
+#: Different names of a scope that one task compares; a larger scope is spread over tasks, with the same result.
+LOCAL_NAMES = 5_000
 # Titles, legal forms, abbreviations of business words, and short forms of given names.
 TITLES = frozenset("mr mrs ms miss dr prof shri sri smt m herr frau sr sra mme mlle kumari adv ca cs ms/ mr/ late".split())
 LEGAL = frozenset("limited ltd limted private pvt p llp inc corp corporation co company plc gmbh ag sa".split())
@@ -207,18 +210,18 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _PAYLOAD = "kind string, parts array<string>, counts map<string,int>, rank int"
 
 
+def block_keys(kind: str, parts: list[str]) -> list[tuple[str, str, str | None]]:
+    """(identifying token, initial, given name) of a name: the initials that the rest may begin with, * for a single word, # for a firm."""
+    g = parts[0]
+    if kind == "P":
+        given = SHORT.get(g, g)
+        return [(parts[-1], i, given) for i in sorted({g[0], given[0]})] if len(parts[-1]) > 2 else []
+    return [(g, "#" if kind == "O" else "*", None)] if kind in "OW" else []
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A name's identifying token with the initials that the rest may begin with (* for a single word), its given name in full, and the name."""
     for pdf in batches:
-        rows = []
-        for d, n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_d", "_n", "kind", "parts", "counts", "rank"))):
-            g = parts[0]
-            if kind == "P":
-                got = {(parts[-1], i) for i in {g[0], SHORT.get(g, g)[0]}} if len(parts[-1]) > 2 else set()
-            else:
-                got = {(g, "#" if kind == "O" else "*")} if kind in "OW" else set()
-            given = SHORT.get(g, g) if kind == "P" else None
-            rows += [(d, n, t, i, given, kind, parts, counts, level) for t, i in got]
+        rows = [(d, n, *key, kind, parts, counts, level) for d, n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_d", "_n", "kind", "parts", "counts", "rank"))) for key in block_keys(kind, list(parts))]
         yield pd.DataFrame(rows, columns=["_d", "_n", "token", "initial", "given", "kind", "parts", "counts", "rank"])
 
 
@@ -255,24 +258,108 @@ def token_pairs(tokens: DataFrame, seen: DataFrame) -> DataFrame:
 
 def _compatible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep = []
-        for ka, pa, ca, kb, pb, cb in zip(*(pdf[c] for c in ("kind", "parts", "counts", "kind_o", "parts_o", "counts_o"))):
-            pa, pb, seen = list(pa), list(pb), dict(ca) | dict(cb)
-            if ka == kb == "P":
-                keep.append(same_person(pa, pb, seen))
-            elif ka == kb == "O":
-                keep.append(same_firm(pa, pb, seen))
-            else:
-                keep.append("W" in (ka, kb))
+        sides = zip(*(pdf[c] for c in ("kind", "parts", "counts", "kind_o", "parts_o", "counts_o")))
+        keep = [_agree(ka, list(pa), kb, list(pb), dict(ca) | dict(cb)) for ka, pa, ca, kb, pb, cb in sides]
         yield pdf.loc[keep, ["_n", "_o", "rank", "rank_o"]]
 
 
+def _agree(ka: str, pa: list[str], kb: str, pb: list[str], seen: dict[str, int]) -> bool:
+    if ka == kb == "P":
+        return same_person(pa, pb, seen)
+    if ka == kb == "O":
+        return same_firm(pa, pb, seen)
+    return "W" in (ka, kb)
+
+
+def _alike(tokens: dict[str, int]) -> dict[str, set[str]]:
+    """Of each token the equal and similar ones, by the pigeonhole index and the check by words; values are how often each is seen."""
+    index = defaultdict(list)
+    for t in tokens:
+        if len(t) > 3:
+            for key in index_keys(t):
+                index[key].append(t)
+    out = {t: {t} for t in tokens}
+    for t in tokens:
+        if len(t) > 3:
+            for other in {o for key in probe_keys(t) for o in index.get(key, ())} - out[t]:
+                if same_word(t, other, {t: tokens[t], other: tokens[other]}):
+                    out[t].add(other)
+                    out[other].add(t)
+    return out
+
+
+def clustered(names: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """(name, root) of one filing's names (name, kind, parts, counts, rank): the steps of ``_wide`` on plain tables."""
+    by = {n[0]: n for n in names}
+    seen = {t: c for n in names for t, c in n[3].items()}
+    blocks = [(n[0], *x) for n in names for x in block_keys(n[1], n[2])]
+    similar = _alike({t: seen.get(t, 1) for _, t, _, _ in blocks})
+    apart = _alike({g: 1 for _, _, _, g in blocks if g is not None})
+    at, wide, once = defaultdict(list), defaultdict(list), defaultdict(list)
+    for n, t, initial, given in blocks:
+        at[t, initial].append(n)
+        if initial != "*":
+            wide[t].append(n)
+        if given is not None and initial == given[:1]:
+            once[t, given].append(n)
+    found = set()
+    for n, t, initial, given in blocks:
+        for other in similar[t]:
+            found.update((n, o) for o in (wide[other] if initial == "*" else at[other, initial]))
+            if given is not None and initial == given[:1]:
+                found.update((n, o) for g in apart[given] if g[:1] != given[:1] for o in once.get((other, g), ()))
+    parent = {n: n for n in by}
+
+    def root(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    ups = set()
+    for a, b in {(min(x), max(x)) for x in found if x[0] != x[1]}:
+        (_, ka, pa, ca, ra), (_, kb, pb, cb, rb) = by[a], by[b]
+        if _agree(ka, pa, kb, pb, ca | cb):
+            if ra != rb:
+                ups.add((a, b, ra) if ra < rb else (b, a, rb))
+            elif ra >= 2:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    calls = defaultdict(set)
+    for n, kind, parts, _, _ in names:
+        if kind == "O":
+            letters = "".join(w[0] for w in parts)
+            for call in (letters, letters + "l", letters + "pl"):
+                calls[call].add(n)
+    ups |= {(n, o, 1) for n, kind, parts, _, _ in names if kind == "A" for o in calls.get(parts[0], ())}
+    fixed = {n[0]: root(n[0]) for n in names if n[4] == 3}
+    for level in (2, 1, 0):
+        to = defaultdict(set)
+        for n, o, rank_ in ups:
+            if rank_ == level and o in fixed:
+                to[root(n)].add(fixed[o])
+        for n in names:
+            if n[4] == level:
+                own = root(n[0])
+                if len(to.get(own, ())) == 1:
+                    fixed[n[0]] = next(iter(to[own]))
+                elif level:
+                    fixed[n[0]] = own
+    return list(fixed.items())
+
+
+def _in_one_pass(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = [(bytes(n), kind, list(parts), dict(counts), int(level)) for n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_n", "kind", "parts", "counts", "rank")))]
+    return pd.DataFrame(clustered(rows), columns=["_n", "root"])
+
+
 def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     """(entity, cluster): the cluster of every mention that is a name; entities come out as strings.
 
     Names are compared within a ``scope`` only. Null and empty texts, texts with digits, sentences and
     single words that belong to no fuller name are no names; repeated rows (same entity) count once; columns besides the
-    three aren't read. A name that fits several fuller ones stays with its own spelling.
+    three aren't read. A name that fits several fuller ones stays with its own spelling. A scope's different names are compared
+    in one pass of one task up to LOCAL_NAMES of them; those of larger scopes are spread by their tokens, with the same result.
     """
     rows = df.select(F.col(entity).cast("string").alias("_e"), F.col(scope).cast("string").alias("_d"), F.col(text).alias("_t")).where("_t is not null and _d is not null and _e is not null").dropDuplicates(["_e"])
     parsed = cut(rows.mapInPandas(_parsed, "_e string, _d string, kind string, parts array<string>, form string, rank int").withColumn("_p", F.unhex(F.md5(F.concat_ws("|", "kind", "form", F.concat_ws(" ", "parts"))))))
@@ -286,10 +373,22 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     # Names go by 128-bit hashes from here on, so that joins move little.
     mentions = cut(parsed.select("_e", "_d", "kind", "rank", "_p").join(parts, "_p").withColumn("_n", F.unhex(F.md5(F.concat_ws("|", "_d", "kind", F.concat_ws(" ", "parts"))))))
     plain_names = mentions.groupBy("_n").agg(*(F.min(c).alias(c) for c in ("_d", "kind", "parts", "rank")))
-    tokens = cut(plain_names.select("_n", "_d", F.explode("parts").alias("token")).distinct())
-    seen = cut(tokens.select("_d", "token").distinct().groupBy("token").agg(F.count("*").cast("int").alias("seen")))
-    counts = tokens.join(seen, "token").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("token", "seen"))).alias("counts"))
+    # In how many filings a token stands, over the whole corpus.
+    tokens = plain_names.select("_n", "_d", F.explode("parts").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count_distinct("_d").cast("int").alias("seen"))
+    counts = tokens.select("_n", "token").distinct().join(seen, "token").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("token", "seen"))).alias("counts"))
     names = cut(plain_names.join(counts, "_n"))
+    large = names.groupBy("_d").count().where(F.col("count") > LOCAL_NAMES).select("_d")
+    fixed = names.join(large, "_d", "left_anti").groupBy("_d").applyInPandas(_in_one_pass, "_n binary, root binary")
+    if large.limit(1).count():
+        some = cut(names.join(large, "_d", "left_semi"))
+        fixed = fixed.unionByName(_wide(some))
+    return mentions.join(fixed, "_n").select(F.col("_e").alias(entity), F.col("root").alias("cluster"))
+
+
+def _wide(names: DataFrame) -> DataFrame:
+    """(_n, root) of names (_n, _d, kind, parts, counts, rank) of scopes of any size, by joins on their tokens."""
+    seen = names.select(F.explode("counts").alias("token", "seen")).distinct()
     blocks = cut(names.mapInPandas(_blocks, f"_d string, _n binary, token string, initial string, given string, {_PAYLOAD}"))
     pairs = token_pairs(blocks.select("_d", "token").distinct(), seen)
     # Equal initials, or one side a single word; what the check needs travels along.
@@ -323,7 +422,7 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
         # A single word that belongs to nothing is no name.
         got = own.where(F.col("rank") == level).join(choice, "root", "left" if level else "inner")
         fixed = cut(fixed.unionByName(got.select("_n", F.coalesce("_to", "root").alias("root"))))
-    return mentions.join(fixed, "_n").select(F.col("_e").alias(entity), F.col("root").alias("cluster"))
+    return fixed
 
 
 def linked_pairs(clusters: DataFrame, entity: str) -> DataFrame:

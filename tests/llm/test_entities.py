@@ -32,12 +32,17 @@ FIRMS = [
 ]
 
 
-def test_variants_of_names(spark):
+@pytest.mark.parametrize("local", [5000, 0])
+def test_variants_of_names(spark, local, monkeypatch):
+    """In one pass, and spread by tokens."""
+    monkeypatch.setattr(names, "LOCAL_NAMES", local)
     got = clusters(spark, lambda df: names.variants(df, "entity_id", "doc_id", "text"), [t for g in PEOPLE + FIRMS for t in g] + ["Strictly", "a@b.co", "12 May 2020", None, ""])
     assert got == pairs(*PEOPLE, *FIRMS)
 
 
-def test_scopes_ambiguity_and_nothing(spark):
+@pytest.mark.parametrize("local", [5000, 0])
+def test_scopes_ambiguity_and_nothing(spark, local, monkeypatch):
+    monkeypatch.setattr(names, "LOCAL_NAMES", local)
     fn = lambda df: names.variants(df, "entity_id", "doc_id", "text")
     assert clusters(spark, fn, ["Asha Rao", "Asha Rao"], {1: "other"}) == set()
     assert clusters(spark, fn, ["Asha Rao", "Anil Rao", "A. Rao", "Rao"]) == set()
