@@ -348,9 +348,18 @@ def clustered(names: list[tuple]) -> list[tuple[bytes, bytes]]:
     return list(fixed.items())
 
 
-def _in_one_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [(bytes(n), kind, list(parts), dict(counts), int(level)) for n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_n", "kind", "parts", "counts", "rank")))]
-    return pd.DataFrame(clustered(rows), columns=["_n", "root"])
+def _in_one_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come in order of their filings; a filing may go over from one batch to the next."""
+    scope, held = None, []
+    for pdf in batches:
+        out = []
+        for d, n, kind, parts, counts, level in zip(*(pdf[c] for c in ("_d", "_n", "kind", "parts", "counts", "rank"))):
+            if d != scope:
+                out += clustered(held)
+                scope, held = d, []
+            held.append((bytes(n), kind, list(parts), dict(counts), int(level)))
+        yield pd.DataFrame(out, columns=["_n", "root"])
+    yield pd.DataFrame(clustered(held), columns=["_n", "root"])
 
 
 def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
@@ -379,7 +388,7 @@ def variants(df: DataFrame, entity: str, scope: str, text: str) -> DataFrame:
     counts = tokens.select("_n", "token").distinct().join(seen, "token").groupBy("_n").agg(F.map_from_entries(F.collect_list(F.struct("token", "seen"))).alias("counts"))
     names = cut(plain_names.join(counts, "_n"))
     large = names.groupBy("_d").count().where(F.col("count") > LOCAL_NAMES).select("_d")
-    fixed = names.join(large, "_d", "left_anti").groupBy("_d").applyInPandas(_in_one_pass, "_n binary, root binary")
+    fixed = names.join(large, "_d", "left_anti").repartition("_d").sortWithinPartitions("_d").mapInPandas(_in_one_pass, "_n binary, root binary")
     if large.limit(1).count():
         some = cut(names.join(large, "_d", "left_semi"))
         fixed = fixed.unionByName(_wide(some))
