@@ -455,11 +455,6 @@ class Tagger:
         for key, t in types.items():
             ids = [self.features[f] for f in type_features(*key) if f in self.features][:WIDTH]
             index[t, : len(ids)] = ids
-        flat = index.ravel()
-        by_feature = np.argsort(flat, kind="stable")
-        feature_starts = np.searchsorted(flat[by_feature], np.arange(len(self.features)))
-        present = np.unique(flat)
-        starts_present = feature_starts[present]
         order = sorted((i for i, t in enumerate(rows) if t), key=lambda i: len(rows[i]))
         groups = [order[i : i + 128] for i in range(0, len(order), 128)]
         w = np.zeros((len(OFFSETS), len(self.features), L), np.float32)
@@ -508,14 +503,19 @@ class Tagger:
                 gs += (left.T @ right[both]) * step
                 np.add.at(gs, (y[:, :-1][both], y[:, 1:][both]), -1)
                 gw = np.zeros_like(w)
+                # The features of the group's own token types only, in order, so that their gradients are sums of runs.
+                flat = index[used].ravel()
+                by_feature = np.argsort(flat, kind="stable")
+                ordered = flat[by_feature]
+                runs = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
                 for k, o in enumerate(OFFSETS):
                     ids = inverse[:, 2 + o : 2 + o + n].ravel()
                     s = np.argsort(ids, kind="stable")
                     firsts = np.searchsorted(ids[s], np.arange(len(used)))
                     seen = np.unique(ids)
-                    de = np.zeros((len(types), L), np.float32)
-                    de[used[seen]] = np.add.reduceat(d.reshape(-1, L)[s], firsts[seen], axis=0)
-                    gw[k, present] = np.add.reduceat(de[by_feature // WIDTH], starts_present, axis=0)
+                    de = np.zeros((len(used), L), np.float32)
+                    de[seen] = np.add.reduceat(d.reshape(-1, L)[s], firsts[seen], axis=0)
+                    gw[k, ordered[runs]] = np.add.reduceat(de[by_feature // WIDTH], runs, axis=0)
                 gw[:, 0] = 0
                 t += 1
                 lr = rate * (1 - epoch / epochs * 0.8)
