@@ -116,6 +116,21 @@ def unify(df: DataFrame, key: str, text: str, keep: dict[str, Column] | None = N
     return plain.unionByName(composed).select(F.col("_k").alias(key), *extra, F.trim("_form").alias("form"))
 
 
+def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_k, _c, _r): each different row with visible text, the hash of its one form and that of its spelling."""
+    one = df.select(F.col(key), F.col(text)).where(visible(F.col(text)) & F.col(key).isNotNull()).dropDuplicates([key])
+    forms = unify(one, key, text, {"_r": F.unhex(F.md5(F.col(text)))})
+    return forms.select(F.col(key).alias("_k"), F.unhex(F.md5("form")).alias("_c"), "_r")
+
+
+def classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id): a row for each different row with visible text; rows that print alike have one class, spelled alike or not.
+
+    Nothing is joined, so a class of any size costs its rows.
+    """
+    return _hashed(df, key, text).select(F.col("_k").alias(key), F.lower(F.hex("_c")).alias("class_id"))
+
+
 def alike(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (``key``_a < ``key``_b) of different rows that print alike but differ in code points.
 
@@ -123,9 +138,7 @@ def alike(df: DataFrame, key: str, text: str) -> DataFrame:
     their different spellings, and only groups with several are expanded to rows, so that a text repeated any
     number of times costs no more than its rows; texts are compared by 128-bit hashes.
     """
-    one = df.select(F.col(key), F.col(text)).where(visible(F.col(text)) & F.col(key).isNotNull()).dropDuplicates([key])
-    forms = unify(one, key, text, {"_r": F.unhex(F.md5(F.col(text)))})
-    hashed = cut(forms.select(F.col(key).alias("_k"), F.unhex(F.md5("form")).alias("_c"), "_r"))
+    hashed = cut(_hashed(df, key, text))
     spread = hashed.groupBy("_c").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi")).where("_lo <> _hi").select("_c")
     few = hashed.join(spread, "_c", "left_semi")
     kinds = few.select("_c", "_r").distinct()

@@ -17,6 +17,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.alike(table(spark, sf, "blocks"), "block_key", "raw_text")
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.classes(table(spark, sf, "blocks"), "block_key", "raw_text")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.linked_pairs(names.variants(table(spark, sf, "spans"), "entity_id", "doc_id", "text"), "entity_id")
 
@@ -64,7 +68,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return level.levels(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "reading_labels"), "doc_id", "band")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_masked": p5_masked, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 _BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _CLOSE = "[\"''”’)\\]»]*"
 SQL: dict[str, str] = {

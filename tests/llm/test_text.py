@@ -40,6 +40,13 @@ def test_pairs_equal_brute_force(spark, texts):
     assert got == want
 
 
+def test_classes_hold_what_pairs_say(spark):
+    texts = ["Total", "Tοtal", "Total", None, "", "other", "ｏther", "third"]
+    df = frame(spark, *texts)
+    by = {r["k"]: r["class_id"] for r in glyphs.classes(df.unionByName(df), "k", "t").collect()}
+    assert sorted(by) == [1, 2, 3, 6, 7, 8] and by[1] == by[2] == by[3] != by[6] == by[7] != by[8]
+
+
 def test_alike_on_an_empty_table(spark):
     assert glyphs.alike(spark.createDataFrame([], EMPTY), "k", "t").count() == 0
 
