@@ -41,8 +41,8 @@ def phone_number(value: Column) -> Column:
     digits = F.regexp_replace(v, r"\D", "")
     n = F.length(digits)
     foreign = F.regexp_replace(digits, "^00", "")
-    plans = [foreign.rlike(f"^{code}(?:{plan})$") for code, plan in X.DIALLING.items()]
-    abroad = v.rlike(r"^(?:\+|00)") & F.greatest(*(p.cast("int") for p in plans)).cast("boolean")
+    plans = "|".join(f"{code}(?:{plan})" for code, plan in X.DIALLING.items())
+    abroad = v.rlike(r"^(?:\+|00)") & foreign.rlike(f"^(?:{plans})$")
     mobile = (n == 10) & digits.rlike("^[6-9]") | (n == 12) & digits.rlike("^91[6-9]")
     landline = v.rlike(r"^0\d{2,4}[-\s]?\d{6,8}$") & n.between(10, 11)
     return ~v.rlike("[₹$€£%]") & n.between(7, 15) & (abroad | mobile | landline)

@@ -73,7 +73,7 @@ LUHN_OK = (
     r"ELSE (2 * reverse(regexp_replace(v, '[\s-]', '', 'g'))[i]::INT) // 10 + (2 * reverse(regexp_replace(v, '[\s-]', '', 'g'))[i]::INT) % 10 END)) % 10 = 0"
 )
 _PHONE = X.PHONE.replace(X.AFTER, r"(?:^|[\s:;,(\-])")
-_PLANS = " OR ".join(f"regexp_matches(regexp_replace(d, '^00', ''), '^{c}(?:{p})$')" for c, p in X.DIALLING.items())
+_PLANS = "regexp_matches(regexp_replace(d, '^00', ''), '^(?:" + "|".join(f"{c}(?:{p})" for c, p in X.DIALLING.items()) + ")$')"
 PHONE_OK = (
     r"NOT regexp_matches(v, '^(?:19|20)\d{2}$') AND NOT regexp_matches(t[greatest(b - 9, 1):b], '" + X.MONEY_BEFORE + r"') AND NOT regexp_matches(lower(t[b + length(v) + 1:b + length(v) + 15]), '" + X.MONEY_AFTER + r"') "
     r"AND NOT regexp_matches(lower(t[greatest(b - 9, 1):b]), '" + X.COUNT_BEFORE + r"') AND length(d) BETWEEN 7 AND 15 AND ((regexp_matches(v, '^(?:\+|00)') AND (" + _PLANS + r")) "
