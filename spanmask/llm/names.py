@@ -40,6 +40,8 @@ SHORT = dict(
 # Second words of a compound ("copper works") that shorter forms leave out; particles inside long names.
 SECOND = frozenset("foods works dyes ports systems".split())
 PARTICLES = frozenset("de del della der den da das do dos di du la le los las van von y e i bin ibn bint al el ul ur".split())
+BUSINESS = frozenset(WORDS.values()) | {"works", "foods", "agro", "dyes", "ports"}
+_DIGIT = re.compile(r"\d")
 _INITIALS = re.compile(r"[A-Z]{2,3}")
 _ACRONYM = re.compile(r"(?:[A-Z]\.?){3,6}\Z")
 
@@ -64,9 +66,12 @@ def diminutive(short: str, name: str) -> bool:
 
 def plain(text: str) -> str:
     """Folded, without accents."""
+    if text.isascii():
+        return fold(text)
     return "".join(c for c in unicodedata.normalize("NFD", fold(text)) if not unicodedata.combining(c))
 
 
+@lru_cache(100_000)
 def parse(text: str | None) -> tuple[str, list[str], str] | None:
     """(kind, parts, legal form) of a name, or None for what can't be one.
 
@@ -76,7 +81,7 @@ def parse(text: str | None) -> tuple[str, list[str], str] | None:
     if not text:
         return None
     t = plain(text).strip(" .,;:()\"'")
-    if not t or any(c.isdigit() for c in t) or "@" in t or not any(c.isalpha() for c in t) or re.search(r"\[at\]|\(at\)|\bAT\b.*\bDOT\b", t):
+    if not t or _DIGIT.search(t) or "@" in t or not any(c.isalpha() for c in t) or re.search(r"\[at\]|\(at\)|\bAT\b.*\bDOT\b", t):
         return None
     compact = re.sub(r"\s", "", t)
     if _ACRONYM.match(compact) and (" " not in t.strip()):
@@ -94,9 +99,8 @@ def parse(text: str | None) -> tuple[str, list[str], str] | None:
     if not low:
         return None
     legal = "llp" if "llp" in low else "ltd" if any(w in ("limited", "ltd", "limted") for w in low) else ""
-    business = frozenset(WORDS.values()) | {"works", "foods", "agro", "dyes", "ports"}
     core = [WORDS.get(w, w) for w in low if w not in LEGAL or len(w) == 1]
-    if firm or legal or any(w in business for w in core[1:]):
+    if firm or legal or any(w in BUSINESS for w in core[1:]):
         core = [w for w in core if w not in ("p", "ms")]
         return ("O" if len(core) > 1 else "W", core, legal) if core else None
     if len(low) == 1:
