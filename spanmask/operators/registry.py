@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanmask.functions import lexicon as X
 from spanmask.functions.spantext import NO_SPANS, SPANS, span
-from spanmask.operators.score import not_personal
+from spanmask.operators.score import not_personal, scored_one
 
 SOURCE = "document_entity_registry"
 SEED_CONFIDENCE, SHORTEST_NAME, SHORTEST_ALIAS = 0.85, 4, 5
@@ -71,12 +71,14 @@ def _grams(text: Column) -> Column:
     return F.pandas_udf(run, "array<struct<key:string,start:int>>")(text)
 
 
-def propagated(blocks: DataFrame, alias: DataFrame, key: str = "block_key", text: str = "norm_text", spans: str = "spans") -> DataFrame:
+def propagated(blocks: DataFrame, alias: DataFrame, key: str = "block_key", text: str = "norm_text", spans: str = "spans", existing: DataFrame | None = None, rescore: bool = False) -> DataFrame:
     """``blocks`` with spans of the document's names added where no span of theirs lies yet.
 
     Instead of one pattern for all names of a document, whose size would grow with the document, names meet texts by
     their first two words; a meeting counts if the whole alias stands there between word boundaries. Of meetings
     that overlap the leftmost, then the longest stays. ``key`` must be unique; blocks without doc_id or text stay as they are.
+    With ``existing`` (key, spans) the spans are there instead of in ``blocks``, and the result is ``existing`` with those added, so that
+    no text is joined for it. With ``rescore`` the added spans are scored where their text is at hand.
     """
     head = F.regexp_extract_all("alias_lc", F.lit(r"(?U)\w+"), 0)
     known = alias.withColumn("_w", head).where(F.size("_w") > 0).withColumn("key", F.array_join(F.slice("_w", 1, 2), " ")).drop("_w")
@@ -91,13 +93,15 @@ def propagated(blocks: DataFrame, alias: DataFrame, key: str = "block_key", text
     whole = met.join(usable.select(key, text), key).where((F.lower(here) == F.col("alias_lc")) & (word_end != word_next))
     best = whole.withColumn("_r", F.row_number().over(Window.partitionBy(key, "start").orderBy(n.desc(), "alias_lc"))).where("_r = 1")
     one = span(F.col("type"), F.substring(F.col(text), F.col("start") + 1, n), F.col("start"), F.col("start") + n, 0.90, SOURCE).withField("sub_type", F.col("canonical"))
-    lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", one.alias("s")))).alias("_carried"))
+    final = scored_one(F.col(text), one) if rescore else one
+    lists = best.select(key, "start", one.alias("s"), final.alias("z")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "s", "z"))).alias("_carried"))
 
     def step(acc: Column, c: Column) -> Column:
-        free = (F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= c["s"]["start"])
-        return F.when(free, F.concat(acc, F.array(c["s"]))).otherwise(acc)
+        free = (F.size(acc) == 0) | (F.element_at(acc, -1)["s"]["end"] <= c["s"]["start"])
+        return F.when(free, F.concat(acc, F.array(c))).otherwise(acc)
 
-    scan = F.aggregate("_carried", NO_SPANS(), step)
-    clear = F.filter(scan, lambda c: ~F.exists(F.coalesce(F.col(spans), NO_SPANS()), lambda s: F.greatest(s["start"], c["start"]) < F.least(s["end"], c["end"])))
-    joined = blocks.join(lists, key, "left")
+    scan = F.aggregate("_carried", F.filter("_carried", lambda c: F.lit(False)), step)
+    free = F.filter(scan, lambda c: ~F.exists(F.coalesce(F.col(spans), NO_SPANS()), lambda s: F.greatest(s["start"], c["s"]["start"]) < F.least(s["end"], c["s"]["end"])))
+    clear = F.filter(F.transform(free, lambda c: c["z"]), lambda s: s.isNotNull()).cast(SPANS)
+    joined = (blocks if existing is None else existing).join(lists, key, "left")
     return joined.withColumn(spans, F.concat(F.coalesce(F.col(spans), NO_SPANS()), F.when(F.col("_carried").isNotNull(), clear).otherwise(NO_SPANS())).cast(SPANS)).drop("_carried")

@@ -50,9 +50,8 @@ def carried(first: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """
     named = first.select("doc_id", F.col("block_ord").cast("long").alias("_o"), F.posexplode("spans").alias("_i", "s")).select("doc_id", F.struct("_o", "_i").alias("ord"), "s.type", "s.text", "s.confidence").where("doc_id is not null")
     alias = registry.aliases(registry.seeds(named))
-    both = registry.propagated(texts.join(first.select(key, "spans"), key), alias, key)
-    new = both.withColumn("_n", scored(F.col("norm_text"), F.filter("spans", registry.is_carried)))
-    return new.select(key, resolved(F.concat(F.filter("spans", lambda s: ~registry.is_carried(s)), F.col("_n"))).alias("spans"))
+    both = registry.propagated(texts, alias, key, existing=first.select(key, "spans"), rescore=True)
+    return both.select(key, resolved(F.col("spans")).alias("spans"))
 
 
 def detect_documents(blocks: DataFrame, key: str = "block_key", with_rules: bool = True, model_spans: str | None = None) -> DataFrame:
@@ -67,7 +66,7 @@ def detect_documents(blocks: DataFrame, key: str = "block_key", with_rules: bool
         found = found.withColumn("_c", numbered(F.concat(F.col("_c"), F.coalesce(F.col(model_spans), NO_SPANS()))))
     # Detection is dear and read by several branches.
     first = cut(found.withColumn("spans", scored(F.col("norm_text"), F.col("_c"))).select(key, "doc_id", "block_ord", "spans"))
-    return normal.join(carried(first, normal.select(key, "doc_id", "norm_text"), key), key)
+    return normal.join(cut(carried(first, normal.select(key, "doc_id", "norm_text"), key)), key)
 
 
 def _replaced(found: DataFrame, key: bytes) -> DataFrame:

@@ -175,9 +175,9 @@ def registry_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return registry.aliases(registry.seeds(_named(spark, sf))).select("doc_id", "alias_lc", "canonical", "type")
 
 
-def _propagated(spark: SparkSession, sf: str) -> DataFrame:
+def _propagated(spark: SparkSession, sf: str, rescore: bool = False) -> DataFrame:
     texts = _blocks(spark, sf, "doc_id").withColumnRenamed("t", "norm_text")
-    out = registry.propagated(texts.join(_span_arrays(spark, sf), "block_key", "left"), registry.aliases(registry.seeds(_named(spark, sf))))
+    out = registry.propagated(texts.join(_span_arrays(spark, sf), "block_key", "left"), registry.aliases(registry.seeds(_named(spark, sf))), rescore=rescore)
     return out.withColumn("spans", F.filter("spans", registry.is_carried))
 
 
@@ -189,7 +189,7 @@ def registry_propagate(spark: SparkSession, sf: str) -> DataFrame:
 
 def registry_rescore(spark: SparkSession, sf: str) -> DataFrame:
     """Those of them that stay by the words around them, with their confidence."""
-    new = _propagated(spark, sf).select("block_key", F.explode(score.scored(F.col("norm_text"), F.col("spans"))).alias("s"))
+    new = _propagated(spark, sf, rescore=True).select("block_key", F.explode("spans").alias("s"))
     return new.select("block_key", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.type").alias("span_type"), F.col("s.confidence").alias("confidence"))
 
 
