@@ -38,6 +38,8 @@ EPOCHS, JOINT = 10, 3  # of the fit, and how many of them, the last, have skip e
 SETTLED, MESSAGE = 0.98, 3.0
 #: Characters that are tagged at a time and tokens whose passes run side by side; they bound a worker's memory only.
 PORTION_CHARS, GROUP_TOKENS = 2_000_000, 30_000
+#: Of long texts so many run side by side all the same, up to so many tokens: the steps of a pass cost the same for one text and for many.
+LEAST_TEXTS, MOST_TOKENS = 64, 200_000
 CLASSES = ("PERSON", "ORGANIZATION", "ADDRESS", "EMAIL", "PHONE", "SSN_TAX_ID", "CREDIT_CARD", "DATE_OF_BIRTH", "IP_ADDRESS")
 #: Classes whose pieces are words; a piece of the others is mostly one token, so one label will do.
 WORDED = CLASSES[:3]
@@ -335,7 +337,7 @@ class Tagger:
         at = 0
         while at < len(order):
             group, size = [], 0
-            while at < len(order) and (not group or len(texts[order[at]]) * (len(group) + 1) <= GROUP_TOKENS):
+            while at < len(order) and (not group or len(texts[order[at]]) * (len(group) + 1) <= (GROUP_TOKENS if len(group) >= LEAST_TEXTS else MOST_TOKENS)):
                 group.append(order[at])
                 size = len(texts[order[at]])
                 at += 1
@@ -371,15 +373,19 @@ class Tagger:
         links = [linked(ts) for ts in toks]
         for group, lens, em in self.scored(toks, None, links):
             tags = self.viterbi(em, lens)
-            p = self.marginals(em, lens)[0] @ TO_CLASS
-            p[..., 0] += p[..., HEARD:].sum(axis=2)
-            p = p[..., :HEARD]
-            sure = p.max(axis=2) >= SETTLED
+            rows = [r for r, g in enumerate(group) if links[g]]
+            at_row = dict(zip(rows, range(len(rows))))
+            if rows:
+                p = self.marginals(em[rows], lens[rows])[0] @ TO_CLASS
+                p[..., 0] += p[..., HEARD:].sum(axis=2)
+                p = p[..., :HEARD]
+                sure = p.max(axis=2) >= SETTLED
             for r, g in enumerate(group):
                 found = self.decoded(cleaned[g], toks[g], tags[r, : lens[r]])
                 if not links[g]:
                     out[g] = found, [], out[g][2], 0
                     continue
+                r = at_row[r]
                 by: dict[str, list[int]] = {}
                 for i, word in links[g]:
                     by.setdefault(word, []).append(i)
