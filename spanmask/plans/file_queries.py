@@ -140,12 +140,14 @@ _RUNS = "(SELECT block_key, any_value(doc_id) AS doc_id, any_value(raw_text) AS
 #: Outer blanks that a model is not given; texts of fewer than four other characters have no match.
 _LEAD = f"(SELECT k, length(t) - length(regexp_replace(t, {q('^' + S.BLANK)}, '')) AS lead FROM {S.DOCS} AS d1)"
 _STOP = S.words_in("lower(v)", X.MODEL_STOP)
+_WORDS = "(SELECT id, id || '#' || i AS k, ws[i + 1] AS w, i AS x FROM (SELECT id, ws, unnest(range(0, len(ws))) AS i FROM (SELECT DISTINCT id, string_split(text, ' ') AS ws FROM synthetic_benchmark WHERE text IS NOT NULL)))"
 SQL: dict[str, str] = {
     "word_blocks": "SELECT doc_id AS filing, count(*) AS n_blocks, sum(coalesce(len(runs), 1))::BIGINT AS n_runs, sum(coalesce(len(list_filter(runs, lambda r: coalesce(r.is_bold, false))), 0))::BIGINT AS n_bold, "
     f"sum(length(regexp_replace(CASE WHEN runs IS NULL THEN t ELSE array_to_string(list_transform(runs, lambda r: r.text), '') END, {q(docx.NO_XML)}, '', 'g')))::BIGINT AS n_chars FROM {_RUNS} AS b GROUP BY doc_id",
     "json_records": 'SELECT id, e.label AS label, e."start" AS "start", e."end" AS "end", e.text AS text FROM (SELECT id, unnest(entities) AS e FROM synthetic_benchmark)',
     "model_slot": f"SELECT doc_id, v AS value, b AS span_start, 'ORGANIZATION' AS span_type FROM (SELECT k AS doc_id, v, b, row_number() OVER (PARTITION BY k ORDER BY b) AS n, b - lead AS inner_ FROM {S.matches(S.DOCS, _TERM.pattern)} AS m JOIN {_LEAD} AS l USING (k)) "
     f"WHERE n <= 5 AND inner_ % 3 <> 0 AND NOT {_STOP} AND (contains(v, ' ') OR regexp_matches(lower(v), 'limited|ltd|pvt')) AND length(v) >= 3",
+    "image_boxes": f"SELECT id, w AS text, x::INT AS x, length(w)::INT AS w FROM {_WORDS} AS a WHERE x % 10 <> 9 AND k IN (SELECT k FROM {S.candidates(f'(SELECT k, w AS t FROM {_WORDS} AS b)', ('identifiers',))} AS c)",
     "stream_counts": f"SELECT date_trunc('hour', filed_at) AS hour, type, count(*) AS n FROM (SELECT k, type FROM {S.resolved('(SELECT * FROM ' + S.scored(S.candidates(S.DOCS), S.DOCS) + ' AS c0)')} AS z) AS f JOIN documents ON doc_id = k WHERE filed_at IS NOT NULL GROUP BY 1, 2",
     "asof_value": "SELECT p.event_id, c.clicked FROM (SELECT * FROM events WHERE event_type <> 'click') AS p ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS clicked FROM events WHERE event_type = 'click' GROUP BY user_id, ts) AS c ON p.user_id = c.user_id AND p.ts >= c.ts",
     "top_filings": "SELECT doc_id, count(DISTINCT entity_id) AS n FROM spans GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",

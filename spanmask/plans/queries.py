@@ -279,6 +279,15 @@ SQL |= {
     "redact_documents": f"WITH found AS MATERIALIZED (SELECT * FROM {_detected(S.DOCS)} AS d0) SELECT k AS doc_id, n::INT AS n_spans, redacted FROM {S.redacted(S.DOCS, 'found', TOKEN_KEY)} AS z UNION ALL SELECT doc_id, 0, text FROM documents WHERE text IS NULL",
     "detect_filings": _IN_FILINGS + S.found(f"SELECT * FROM {S.resolved('every')} AS z", "block_key"),
 }
+SQL["redact_filings"] = (
+    _IN_FILINGS + f", final AS MATERIALIZED (SELECT * FROM {S.resolved('every')} AS z0), "
+    f"placed AS MATERIALIZED (SELECT k, doc_id, type, text, p[s + 1]::INT AS s, p[e]::INT + 1 AS e, {S.token('type', 'text', TOKEN_KEY)} AS token FROM final JOIN (SELECT k, doc_id FROM texts) AS d USING (k) JOIN (SELECT block_key AS k, string_split(places, ',') AS p FROM {S.NORMAL} AS n0) AS n USING (k)), "
+    f"known AS MATERIALIZED (SELECT * FROM {S.pseudonyms('(SELECT doc_id AS scope, type, text FROM placed)', TOKEN_KEY)} AS p0), "
+    "raws AS (SELECT block_key AS k, any_value(doc_id) AS doc_id, any_value(block_id) AS block_id, any_value(raw_text) AS t FROM blocks WHERE raw_text IS NOT NULL GROUP BY block_key), "
+    "parts AS (SELECT x.k, s, e, pseudonym, coalesce(lag(e) OVER (PARTITION BY x.k ORDER BY s), 0) AS last FROM placed AS x JOIN known AS y ON x.doc_id = y.scope AND x.token = y.token), "
+    "heads AS (SELECT k, string_agg(t[last + 1:s] || pseudonym, '' ORDER BY s) AS head, max(e) AS last FROM parts JOIN raws USING (k) GROUP BY k) "
+    "SELECT doc_id, block_id, CASE WHEN head IS NULL THEN t ELSE head || t[last + 1:] END AS redacted FROM raws LEFT JOIN heads USING (k)"
+)
 QUERIES |= {f.__name__: f for f in (detect_address, detect_names, detect_birth_dates, detect_pii, pii_by_type, redact_documents, detect_filings, redact_filings)}
 
 
